@@ -1,0 +1,18 @@
+"""Broadcast behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if the side is proven small; otherwise leave the join to a shuffle.
+
+    The check reads at most ``max_rows + 1`` rows of the dimension. Past the bound the DataFrame is
+    returned unhinted, so Spark sort-merge joins it and adaptive execution splits skewed keys.
+    """
+    n = dim.limit(max_rows + 1).count()
+    return F.broadcast(dim) if n <= max_rows else dim
