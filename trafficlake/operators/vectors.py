@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,3 +78,20 @@ def explode_embeddings(df: DataFrame, body: str = "response_body", key: str = "r
         F.coalesce("_d.truncated", F.lit(False)).alias("truncated"),
     )
     return decode_vectors(rows, "_e").select(key, "index", "vector", "truncated")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _decode_lists(rows: pd.Series) -> pd.Series:
+    def one(text):
+        if text is None:
+            return None
+        if text.lstrip().startswith("["):
+            return np.asarray(json.loads(text), dtype="float64")
+        return _decode(text)
+
+    return pd.Series([None if r is None else [one(x) for x in r] for r in rows], dtype=object)
+
+
+def decode_embedding_list(embeddings: Column) -> Column:
+    """Array of embedding texts (JSON numbers or base64) to an array of vectors."""
+    return _decode_lists(embeddings)
