@@ -84,6 +84,9 @@ def with_views(*names: str) -> str:
     return "WITH " + ", ".join(parts) + "\n"
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
 class Tables:
     """Generated tables of one scale-factor folder and the views above, as DataFrames."""
 
@@ -92,7 +95,13 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One table. Fewer input splits than cores (a small local file) are spread over the cores."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = (self.sf_dir, name)
+        if key not in _SPLITS:
+            _SPLITS[key] = df.rdd.getNumPartitions()
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if _SPLITS[key] < cores else df
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run Spark SQL over DataFrames named by ``{placeholders}``."""

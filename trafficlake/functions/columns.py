@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,26 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and build an expression from it (a one-element transform)."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters read as values.
+
+    A filter above a plain projection is pushed below it with the column's expression copied in, so a
+    parsed body would be parsed again for every mention. A one-row ``inline`` keeps the filter above.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def exploded(df: DataFrame, keep: Sequence[str | Column], items: Column, pos: str, item: str) -> DataFrame:
+    """``posexplode`` without the inferred ``size(items) > 0`` filter, which would parse the body twice."""
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def json_text(c: str | Column, path: str) -> Column:
     return F.get_json_object(col(c), path)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import non_empty, parse_struct
+from ..functions.columns import computed_once, exploded, non_empty, parse_struct
 
 BLOCK = 4096
 
@@ -120,7 +120,7 @@ def assemble_completions(chunks: DataFrame, key: str = "request_id", order: str
         F.min_by(F.transform("_c.choices", index), F.col("_o")).alias("_first"),
     )
     wanted = heads.select(key, "_last.*", "usage", F.explode("_first").alias("choice"))
-    pieces = c.select(key, "_o", F.explode("_c.choices").alias("_x")).select(
+    pieces = exploded(c, [key, "_o"], F.col("_c.choices"), "_i", "_x").select(
         key,
         F.coalesce(F.col("_x.index"), F.lit(0)).alias("choice"),
         "_o",
@@ -158,7 +158,7 @@ def assemble_messages(events: DataFrame, key: str = "request_id", order: str = "
         "delta struct<text: string, partial_json: string, thinking: string, signature: string, "
         "stop_reason: string, stop_sequence: string>, usage struct<output_tokens: bigint>"
     )
-    e = events.select(key, F.col(order).alias("_o"), parse_struct(data, ddl).alias("_e"))
+    e = computed_once(events.select(key, F.col(order).alias("_o"), F.col(data).alias("_d")), {"_e": parse_struct("_d", ddl)})
     kind = F.col("_e.type")
     heads = e.where(kind.isin("message_start", "message_delta")).groupBy(key).agg(
         _last(F.when(kind == "message_start", F.col("_e.message")), "_o").alias("_m"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket_index, content_hash
+from ..functions.columns import bucket_index, content_hash, exploded
 from ..plans.running import HOT_ROWS, prior_totals
 from ..plans.small import MAX_BROADCAST_ROWS
 from .parse import capability_flags, mcp_error_label
@@ -122,7 +122,7 @@ def mcp_capability_count(sessions: DataFrame, capabilities: str = "capabilities"
     server = F.array(
         experimental(), *[one(n, given(n)) for n in ("completions", "logging", "prompts", "resources", "tools")]
     )
-    rows = tmp.select("side", F.explode(F.when(F.col("side") == "client", client).otherwise(server)).alias("_t"))
+    rows = exploded(tmp, ["side"], F.when(F.col("side") == "client", client).otherwise(server), "_i", "_t")
     return (
         rows.select("side", F.col("_t.type").alias("type"), F.col("_t.n").alias("_n"))
         .where("_n > 0").groupBy("type", "side").agg(F.sum("_n").alias("count"))

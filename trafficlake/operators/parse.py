@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     base64_bytes,
     base64url_text,
-    col,
+    computed_once,
+    exploded,
     json_object_ok,
     json_text,
+    let,
     map_case,
     non_empty,
     parse_struct,
@@ -139,26 +141,21 @@ def parse_request(df: DataFrame, body: str = "request_body", operation: str = "o
         .when(op == "speech", F.coalesce(F.col("_req.stream_format") == "sse", F.lit(False)))
         .otherwise(F.coalesce(F.col("_req.stream"), F.lit(False)))
     )
-    return (
-        tmp.withColumn("malformed", malformed)
-        .withColumn("model", F.when(~F.col("malformed"), non_empty("_req.model")))
-        .withColumn("stream", F.when(F.col("malformed"), F.lit(False)).otherwise(stream))
-        .withColumn(
-            "include_usage",
-            ~F.col("malformed") & F.coalesce(F.col("_req.stream_options.include_usage"), F.lit(False)),
-        )
-        .withColumn(
-            "n_messages",
-            F.when(~F.col("malformed"), F.coalesce(F.size("_req.messages"), F.lit(0))).cast("bigint"),
-        )
-        .withColumn(
-            "error",
-            F.when(F.col("malformed"), F.lit("malformed_request")).when(
-                (op == "messages") & F.col("model").isNull(), F.lit("model_required")
+    tmp = tmp.withColumn("_bad", malformed)
+    bad, named = F.col("_bad"), non_empty("_req.model")
+    return computed_once(
+        tmp,
+        {
+            "malformed": bad,
+            "model": F.when(~bad, named),
+            "stream": ~bad & stream,
+            "include_usage": ~bad & F.coalesce(F.col("_req.stream_options.include_usage"), F.lit(False)),
+            "n_messages": F.when(~bad, F.coalesce(F.size("_req.messages"), F.lit(0))).cast("bigint"),
+            "error": F.when(bad, F.lit("malformed_request")).when(
+                (op == "messages") & named.isNull(), F.lit("model_required")
             ),
-        )
-        .drop("_req")
-    )
+        },
+    ).drop("_req", "_bad")
 
 
 def flag_usage_bypass(df: DataFrame, cost_configured: bool = True) -> DataFrame:
@@ -209,7 +206,7 @@ def classify_union_input(df: DataFrame, json_col: str, allow_objects: bool = Tru
 def explode_messages(df: DataFrame, body: str = "request_body", key: str = "request_id") -> DataFrame:
     """One row per chat message: ``(key, msg_idx, role, content_json)``."""
     messages = parse_struct(body, "messages array<string>")["messages"]
-    return df.select(key, F.posexplode(messages).alias("msg_idx", "content_json")).select(
+    return exploded(df, [key], messages, "msg_idx", "content_json").select(
         key, "msg_idx", json_text("content_json", "$.role").alias("role"), "content_json"
     )
 
@@ -240,10 +237,8 @@ def explode_content_parts(messages: DataFrame, content: str = "content_json") ->
         ),
     )
     keep = [c for c in messages.columns if c != content]
-    return messages.select(
-        *keep,
-        F.posexplode(F.when(parts.isNotNull(), listed).when(plain.isNotNull(), text_part)).alias("part_idx", "_p"),
-    ).select(
+    chosen = F.when(parts.isNotNull(), listed).when(plain.isNotNull(), text_part)
+    return exploded(messages, keep, chosen, "part_idx", "_p").select(
         *keep, "part_idx", F.col("_p.type").alias("part_type"), F.col("_p.text").alias("text"), F.col("_p.url").alias("url")
     )
 
@@ -254,25 +249,20 @@ def explode_tool_calls(df: DataFrame, body: str = "response_body", key: str = "r
         "choices array<struct<message: struct<tool_calls: array<struct<id: string, "
         "function: struct<name: string, arguments: string>>>>>>"
     )
-    return (
-        df.select(key, F.posexplode(parse_struct(body, ddl)["choices"]).alias("choice", "_c"))
-        .select(key, "choice", F.posexplode("_c.message.tool_calls").alias("call_idx", "_t"))
-        .select(
-            key,
-            "choice",
-            "call_idx",
-            F.col("_t.id").alias("id"),
-            F.col("_t.function.name").alias("name"),
-            F.col("_t.function.arguments").alias("arguments"),
-        )
+    choices = exploded(df, [key], parse_struct(body, ddl)["choices"], "choice", "_c")
+    return exploded(choices, [key, "choice"], F.col("_c.message.tool_calls"), "call_idx", "_t").select(
+        key,
+        "choice",
+        "call_idx",
+        F.col("_t.id").alias("id"),
+        F.col("_t.function.name").alias("name"),
+        F.col("_t.function.arguments").alias("arguments"),
     )
 
 
 def explode_tools(df: DataFrame, body: str = "request_body", key: str = "request_id") -> DataFrame:
     """Declared tools: ``(key, tool_idx, tool_json)``."""
-    return df.select(
-        key, F.posexplode(parse_struct(body, "tools array<string>")["tools"]).alias("tool_idx", "tool_json")
-    )
+    return exploded(df, [key], parse_struct(body, "tools array<string>")["tools"], "tool_idx", "tool_json")
 
 
 def _entry(role: Column, kind: Column | str, text: Column, error: Column | None = None) -> Column:
@@ -425,10 +415,9 @@ def normalize_messages(
         .when(s == "GCPVertexAI", _gemini_entries(b))
         .when(s == "AWSBedrock", _bedrock_entries(b))
     )
-    return (
-        df.select(key, F.posexplode(entries).alias("msg_idx", "_parts"))
-        .select(key, "msg_idx", F.posexplode("_parts").alias("part_idx", "_e"))
-        .select(key, "msg_idx", "part_idx", "_e.*")
+    messages = exploded(df, [key], entries, "msg_idx", "_parts")
+    return exploded(messages, [key, "msg_idx"], F.col("_parts"), "part_idx", "_e").select(
+        key, "msg_idx", "part_idx", "_e.*"
     )
 
 
@@ -451,15 +440,10 @@ def parse_sse(df: DataFrame, payload: str = "payload", key: str = "request_id")
     data = F.transform(
         F.filter(lines, lambda x: x.startswith("data: ")), lambda x: F.trim(F.substring(x, 7, 2**31 - 1))
     )
+    events = exploded(df, [key], F.split(text, "\n\n"), "event_idx", "_block")
+    named = [key, "event_idx", non_empty(last_of("event: ")).alias("event"), non_empty(last_of("id: ")).alias("id")]
     return (
-        df.select(key, F.posexplode(F.split(text, "\n\n")).alias("event_idx", "_block"))
-        .select(
-            key,
-            "event_idx",
-            non_empty(last_of("event: ")).alias("event"),
-            non_empty(last_of("id: ")).alias("id"),
-            F.posexplode(data).alias("data_idx", "data"),
-        )
+        exploded(events, named, data, "data_idx", "data")
         .where(F.try_parse_json("data").isNotNull())
         .select(key, "event_idx", "data_idx", "event", "id", "data")
     )
@@ -484,17 +468,13 @@ def parse_jsonrpc(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(F.col("_m.id").isNotNull() & answered, "response")
         .otherwise("invalid")
     )
-    return tmp.withColumn("kind", kind).select(
-        *df.columns,
-        "kind",
-        *[
-            F.when(F.col("kind") != "invalid", F.col(f"_m.{src}")).alias(out)
-            for src, out in [
-                ("id", "id"), ("method", "method"), ("params", "params"), ("result", "result"),
-                ("error.code", "error_code"), ("error.message", "error_message"),
-            ]
-        ],
-    )
+    valid = F.col("_kind") != "invalid"
+    fields = {"id": "id", "method": "method", "params": "params", "result": "result",
+              "error_code": "error.code", "error_message": "error.message"}
+    return computed_once(
+        tmp.withColumn("_kind", kind),
+        {"kind": F.col("_kind"), **{out: F.when(valid, F.col(f"_m.{src}")) for out, src in fields.items()}},
+    ).drop("_m", "_kind")
 
 
 def _split_first(df: DataFrame, source: str, sep: str, right: str) -> DataFrame:
@@ -654,11 +634,6 @@ def decode_session_id(df: DataFrame, source: str = "session", key: str = "sessio
             .alias("error"),
         ),
     )
-    # A backend named twice keeps its last entry.
-    rows = F.filter(
-        rows,
-        lambda r, i: ~F.exists(F.slice(rows, i + F.lit(2), F.size(rows)), lambda q: q["backend"] == r["backend"]),
-    )
     shaped = s.rlike(shape)
 
     def failed(message: Column) -> Column:
@@ -671,18 +646,24 @@ def decode_session_id(df: DataFrame, source: str = "session", key: str = "sessio
             )
         )
 
-    errors = F.filter(rows, lambda r: r["error"].isNotNull())
-    out = (
-        F.when(~shaped, failed(F.lit("missing '@' separator")))
-        .when(F.size(errors) > 0, failed(F.try_element_at(errors, F.lit(1))["error"]))
-        .otherwise(rows)
-    )
-    return (
-        df.withColumn("route", F.when(shaped, F.regexp_extract(s, shape, 1)))
-        .withColumn("subject", F.when(shaped, F.regexp_extract(s, shape, 2)))
-        .select(key, "route", "subject", F.explode(out).alias("_r"))
-        .select(key, "route", "subject", "_r.*")
+    def last_entries(all_rows: Column) -> Column:
+        # A backend named twice keeps its last entry.
+        return F.filter(
+            all_rows,
+            lambda r, i: ~F.exists(
+                F.slice(all_rows, i + F.lit(2), F.size(all_rows)), lambda q: q["backend"] == r["backend"]
+            ),
+        )
+
+    def checked(all_rows: Column) -> Column:
+        first_error = F.try_element_at(F.filter(all_rows, lambda r: r["error"].isNotNull()), F.lit(1))["error"]
+        return let(first_error, lambda e: F.when(e.isNotNull(), failed(e)).otherwise(last_entries(all_rows)))
+
+    out = F.when(~shaped, failed(F.lit("missing '@' separator"))).otherwise(let(rows, checked))
+    named = df.withColumns(
+        {"route": F.when(shaped, F.regexp_extract(s, shape, 1)), "subject": F.when(shaped, F.regexp_extract(s, shape, 2))}
     )
+    return exploded(named, [key, "route", "subject"], out, "_i", "_r").select(key, "route", "subject", "_r.*")
 
 
 def bearer_token(header: Column) -> Column:
@@ -692,21 +673,28 @@ def bearer_token(header: Column) -> Column:
 def jwt_payload(header: Column) -> Column:
     """Unverified token payload as JSON text; NULL for a missing or undecodable token."""
     token = bearer_token(header)
-    payload = base64url_text(F.split_part(token, F.lit("."), F.lit(2)))
-    three = F.size(F.split(token, r"\.")) == 3
-    return F.when(three & json_object_ok(payload), payload)
+    pieces = F.split(token, r"\.")
+    return let(
+        pieces,
+        lambda p: F.when(
+            F.size(p) == 3, let(base64url_text(F.get(p, F.lit(1))), lambda text: F.when(json_object_ok(text), text))
+        ),
+    )
 
 
 def scopes_of(payload: Column) -> Column:
     """Scopes from ``scope`` and ``scp``: whitespace-separated text or an array of strings."""
 
-    def one(name: str) -> Column:
-        as_list = F.from_json(payload, f"{name} array<string>")[name]
-        text = F.from_json(payload, f"{name} string")[name]
-        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-        return F.coalesce(F.filter(as_list, lambda w: w != ""), words, F.expr("array()"))
+    def both(lists: Column, texts: Column) -> Column:
+        def one(name: str) -> Column:
+            words = F.filter(F.split(texts[name], r"\s+"), lambda w: w != "")
+            return F.coalesce(F.filter(lists[name], lambda w: w != ""), words, F.expr("array()"))
+
+        return F.concat(one("scope"), one("scp"))
 
-    return F.concat(one("scope"), one("scp"))
+    lists = F.from_json(payload, "scope array<string>, scp array<string>")
+    texts = F.from_json(payload, "scope string, scp string")
+    return let(lists, lambda a: let(texts, lambda b: both(a, b)))
 
 
 def decode_jwt_claims(df: DataFrame, header: str = "authorization") -> DataFrame:
@@ -714,13 +702,15 @@ def decode_jwt_claims(df: DataFrame, header: str = "authorization") -> DataFrame
     tmp = df.withColumn("_payload", jwt_payload(F.col(header)))
     payload = F.col("_payload")
     claims = F.from_json(payload, "map<string,string>")
-    return tmp.withColumns(
+    tmp = tmp.withColumn("_claims", claims)
+    return computed_once(
+        tmp,
         {
-            "sub": json_text(payload, "$.sub"),
+            "sub": F.try_element_at("_claims", F.lit("sub")),
             "scopes": F.when(payload.isNotNull(), scopes_of(payload)).otherwise(F.expr("cast(array() as array<string>)")),
-            "claims": F.map_filter(claims, lambda k, v: ~k.isin("scope", "scp")),
-        }
-    ).drop("_payload")
+            "claims": F.map_filter("_claims", lambda k, v: ~k.isin("scope", "scp")),
+        },
+    ).drop("_payload", "_claims")
 
 
 def declared_models(route_rules: DataFrame, default_owner: str, default_created: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import hash_roll, json_text
+from ..functions.columns import computed_once, hash_roll, json_text
 from ..plans.small import small_side
 from .parse import (
     CAPABILITY_BITS,
@@ -341,9 +341,8 @@ def authorize_calls(
         return calls.withColumns(
             {"allowed": F.lit(True), "rule_idx": F.lit(None).cast("int"), "scope_challenge": F.lit(None).cast("string")}
         )
-    tmp = calls.withColumn("_payload", F.coalesce(jwt_payload(F.col(header)), F.lit("{}"))).withColumns(
-        {"_scopes": scopes_of(F.col("_payload")), "_claims": F.try_parse_json("_payload")}
-    )
+    tmp = calls.withColumn("_payload", F.coalesce(jwt_payload(F.col(header)), F.lit("{}")))
+    tmp = computed_once(tmp, {"_scopes": scopes_of(F.col("_payload")), "_claims": F.try_parse_json("_payload")})
     decided_by: Column | None = None
     gaps: list[tuple[int, int, AuthRule, Column]] = []
     for i, r in enumerate(rules):
@@ -399,7 +398,9 @@ def pair_jsonrpc(messages: DataFrame, keys: Sequence[str] = ("session", "backend
     def first(cond: Column, *cols: str) -> Column:
         return F.min_by(F.when(cond, F.struct(order, *cols)), F.when(cond, F.col(order)))
 
-    pairs = messages.where(req | resp).groupBy(*keys, "id").agg(
+    # One shuffle and one sort: the aggregate below is already clustered by its keys.
+    placed = messages.where(req | resp).repartition(*keys, "id")
+    pairs = placed.groupBy(*keys, "id").agg(
         first(req, "method", "params").alias("_q"), first(resp, "result", "error_code", "error_message").alias("_a")
     )
     return pairs.where("_q IS NOT NULL").select(
@@ -414,7 +415,7 @@ def pair_jsonrpc(messages: DataFrame, keys: Sequence[str] = ("session", "backend
 def tool_errors(pairs: DataFrame) -> DataFrame:
     """Tool calls whose result says ``isError``: tool name and the joined error text."""
     parsed = F.from_json("result", "isError boolean, content array<string>")
-    rows = pairs.where(F.col("method") == "tools/call").withColumn("_r", parsed).where("_r.isError")
+    rows = computed_once(pairs.where(F.col("method") == "tools/call"), {"_r": parsed}).where("_r.isError")
 
     def text(c: Column) -> Column:
         kind = json_text(c, "$.type")

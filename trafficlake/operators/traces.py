@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import json_text, map_case, non_empty, parse_struct
+from ..functions.columns import exploded, json_text, let, map_case, non_empty, parse_struct
 from .filtering import MAX_IMAGE_URL, TRACE_PLACEHOLDER, trimmed_image
 from .parse import MCP_SPAN_NAMES, http_error_message, http_error_type, mcp_error_label
 from .vectors import decode_embedding_list
@@ -152,37 +152,43 @@ def _messages_attrs(body: Column, images: bool, max_image: int = MAX_IMAGE_URL)
 
 
 def chat_request(body: Column) -> Column:
-    req = parse_struct(body, "model string, tools array<string>")
-    return as_map(
-        F.array(*_head("LLM", "openai", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "messages", "tools"))),
-        _messages_attrs(body, images=True),
-        _tools(req["tools"]),
-    )
+    def build(req: Column) -> Column:
+        return as_map(
+            F.array(*_head("LLM", "openai", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "messages", "tools"))),
+            _messages_attrs(body, images=True),
+            _tools(req["tools"]),
+        )
+
+    return let(parse_struct(body, "model string, tools array<string>"), build)
 
 
 def embeddings_request(body: Column) -> Column:
-    req = parse_struct(body, "model string, encoding_format string, dimensions int, user string, input string")
-    many = F.from_json(body, "input array<string>")["input"]
-    numeric = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.input", "variant"))
-    texts = F.when(many.isNull(), F.array(req["input"])).when(numeric == "ARRAY<STRING>", many)
-    params = F.to_json(
-        F.struct(*[req[c].alias(c) for c in ("model", "encoding_format", "dimensions", "user")])
-    )
-    return as_map(
-        F.array(*_head("EMBEDDING", None, body), _kv(EMBEDDING_PARAMETERS, params)),
-        F.transform(texts, lambda x, i: _kv(_name(f"{EMBEDDINGS}.", i, ".embedding.text"), x)),
-    )
+    def build(req: Column) -> Column:
+        many = F.from_json(body, "input array<string>")["input"]
+        numeric = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.input", "variant"))
+        texts = F.when(many.isNull(), F.array(req["input"])).when(numeric == "ARRAY<STRING>", many)
+        params = F.to_json(
+            F.struct(*[req[c].alias(c) for c in ("model", "encoding_format", "dimensions", "user")])
+        )
+        return as_map(
+            F.array(*_head("EMBEDDING", None, body), _kv(EMBEDDING_PARAMETERS, params)),
+            F.transform(texts, lambda x, i: _kv(_name(f"{EMBEDDINGS}.", i, ".embedding.text"), x)),
+        )
+
+    return let(parse_struct(body, "model string, encoding_format string, dimensions int, user string, input string"), build)
 
 
 def completions_request(body: Column) -> Column:
-    req = parse_struct(body, "model string, prompt string")
-    many = F.from_json(body, "prompt array<string>")["prompt"]
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.prompt", "variant"))
-    texts = F.when(many.isNull(), F.array(req["prompt"])).when(kind == "ARRAY<STRING>", many)
-    return as_map(
-        F.array(*_head("LLM", "openai", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "prompt"))),
-        F.transform(texts, lambda x, i: _kv(_name(f"{PROMPTS}.", i, ".prompt.text"), x)),
-    )
+    def build(req: Column) -> Column:
+        many = F.from_json(body, "prompt array<string>")["prompt"]
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.prompt", "variant"))
+        texts = F.when(many.isNull(), F.array(req["prompt"])).when(kind == "ARRAY<STRING>", many)
+        return as_map(
+            F.array(*_head("LLM", "openai", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "prompt"))),
+            F.transform(texts, lambda x, i: _kv(_name(f"{PROMPTS}.", i, ".prompt.text"), x)),
+        )
+
+    return let(parse_struct(body, "model string, prompt string"), build)
 
 
 _ITEM = (
@@ -261,54 +267,60 @@ def _item_attrs(item: Column, i: Column, output: bool) -> Column:
 
 
 def responses_request(body: Column, max_image: int = MAX_IMAGE_URL) -> Column:
-    req = parse_struct(body, "model string, instructions string, input string, tools array<string>")
-    items = F.from_json(body, "input array<string>")["input"]
-    said = non_empty(req["instructions"])
-    first = F.when(said.isNotNull(), 1).otherwise(0)
-    system = F.when(
-        said.isNotNull(),
-        F.array(_kv(f"{INPUT_MESSAGES}.0.message.role", "system"), _kv(f"{INPUT_MESSAGES}.0.message.content", said)),
-    )
-    plain = F.array(
-        _kv(_name(f"{INPUT_MESSAGES}.", first, ".message.role"), F.lit("user")),
-        _kv(_name(f"{INPUT_MESSAGES}.", first, ".message.content"), req["input"]),
-    )
-    listed = _all(F.transform(items, lambda x, i: _item_attrs(x, i + first, output=False)))
-    # Long inline images are replaced in the recorded body as well.
-    shown = F.regexp_replace(
-        body, '"data:image/[^"]{0,64}base64[^"]{' + str(max_image) + ',}"', f'"{TRACE_PLACEHOLDER}"'
-    )
-    return as_map(
-        F.array(
-            *_head("LLM", "openai", shown), _kv(MODEL, non_empty(req["model"])),
-            _kv(PARAMETERS, without_keys(body, "input", "tools", "instructions")),
-        ),
-        system,
-        F.when(items.isNotNull(), listed).when(req["input"].isNotNull(), plain),
-        _tools(req["tools"]),
-    )
+    def build(req: Column) -> Column:
+        items = F.from_json(body, "input array<string>")["input"]
+        said = non_empty(req["instructions"])
+        first = F.when(said.isNotNull(), 1).otherwise(0)
+        system = F.when(
+            said.isNotNull(),
+            F.array(_kv(f"{INPUT_MESSAGES}.0.message.role", "system"), _kv(f"{INPUT_MESSAGES}.0.message.content", said)),
+        )
+        plain = F.array(
+            _kv(_name(f"{INPUT_MESSAGES}.", first, ".message.role"), F.lit("user")),
+            _kv(_name(f"{INPUT_MESSAGES}.", first, ".message.content"), req["input"]),
+        )
+        listed = _all(F.transform(items, lambda x, i: _item_attrs(x, i + first, output=False)))
+        # Long inline images are replaced in the recorded body as well.
+        shown = F.regexp_replace(
+            body, '"data:image/[^"]{0,64}base64[^"]{' + str(max_image) + ',}"', f'"{TRACE_PLACEHOLDER}"'
+        )
+        return as_map(
+            F.array(
+                *_head("LLM", "openai", shown), _kv(MODEL, non_empty(req["model"])),
+                _kv(PARAMETERS, without_keys(body, "input", "tools", "instructions")),
+            ),
+            system,
+            F.when(items.isNotNull(), listed).when(req["input"].isNotNull(), plain),
+            _tools(req["tools"]),
+        )
+
+    return let(parse_struct(body, "model string, instructions string, input string, tools array<string>"), build)
 
 
 def messages_request(body: Column) -> Column:
-    req = parse_struct(body, "model string, tools array<string>")
-    return as_map(
-        F.array(*_head("LLM", "anthropic", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "messages", "tools"))),
-        _messages_attrs(body, images=False),
-        _tools(req["tools"]),
-    )
+    def build(req: Column) -> Column:
+        return as_map(
+            F.array(*_head("LLM", "anthropic", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "messages", "tools"))),
+            _messages_attrs(body, images=False),
+            _tools(req["tools"]),
+        )
+
+    return let(parse_struct(body, "model string, tools array<string>"), build)
 
 
 def rerank_request(body: Column) -> Column:
-    req = parse_struct(body, "model string, query string, top_n int, documents array<string>")
-    return as_map(
-        F.array(
-            *_head("RERANKER", "cohere", body),
-            _kv("reranker.model_name", non_empty(req["model"])),
-            _kv("reranker.top_k", req["top_n"]),
-            _kv("reranker.query", non_empty(req["query"])),
-        ),
-        F.transform(req["documents"], lambda d, i: _kv(_name(f"{RERANK_IN}.", i, ".document.content"), non_empty(d))),
-    )
+    def build(req: Column) -> Column:
+        return as_map(
+            F.array(
+                *_head("RERANKER", "cohere", body),
+                _kv("reranker.model_name", non_empty(req["model"])),
+                _kv("reranker.top_k", req["top_n"]),
+                _kv("reranker.query", non_empty(req["query"])),
+            ),
+            F.transform(req["documents"], lambda d, i: _kv(_name(f"{RERANK_IN}.", i, ".document.content"), non_empty(d))),
+        )
+
+    return let(parse_struct(body, "model string, query string, top_n int, documents array<string>"), build)
 
 
 def image_request(body: Column) -> Column:
@@ -316,64 +328,67 @@ def image_request(body: Column) -> Column:
 
 
 def speech_request(body: Column) -> Column:
-    req = parse_struct(
+    def build(req: Column) -> Column:
+        shown = F.to_json(
+            F.struct(*[req[c].alias(c) for c in ("input", "instructions", "response_format", "speed", "voice")]),
+            {"ignoreNullFields": "false"},
+        )
+        return as_map(F.array(*_head("LLM", "openai", shown), _kv(MODEL, non_empty(req["model"])), _kv(PARAMETERS, body)))
+
+    return let(parse_struct(
         body, "model string, input string, voice string, response_format string, speed double, instructions string"
-    )
-    shown = F.to_json(
-        F.struct(*[req[c].alias(c) for c in ("input", "instructions", "response_format", "speed", "voice")]),
-        {"ignoreNullFields": "false"},
-    )
-    return as_map(F.array(*_head("LLM", "openai", shown), _kv(MODEL, non_empty(req["model"])), _kv(PARAMETERS, body)))
+    ), build)
 
 
 # --- responses ------------------------------------------------------------------------------------
 
 
 def chat_response(body: Column) -> Column:
-    r = parse_struct(
-        body,
-        "model string, choices array<struct<message: struct<role: string, content: string, tool_calls: array<struct<id: string, "
-        "function: struct<name: string, arguments: string>>>>>>, usage struct<prompt_tokens: bigint, completion_tokens: bigint, "
-        "total_tokens: bigint, prompt_tokens_details: struct<audio_tokens: bigint, cached_tokens: bigint, cache_creation_input_tokens: bigint>, "
-        "completion_tokens_details: struct<audio_tokens: bigint, reasoning_tokens: bigint>>",
-    )
-
-    def choice(c: Column, i: Column) -> Column:
-        def call(t: Column, j: Column) -> Column:
-            base = _name(f"{OUTPUT_MESSAGES}.", i, ".message.tool_calls.", j, ".tool_call.")
-            return F.array(
-                _kv(F.concat(base, F.lit("id")), t["id"]),
-                _kv(F.concat(base, F.lit("function.name")), t["function"]["name"]),
-                _kv(F.concat(base, F.lit("function.arguments")), t["function"]["arguments"]),
+    def build(r: Column) -> Column:
+        def choice(c: Column, i: Column) -> Column:
+            def call(t: Column, j: Column) -> Column:
+                base = _name(f"{OUTPUT_MESSAGES}.", i, ".message.tool_calls.", j, ".tool_call.")
+                return F.array(
+                    _kv(F.concat(base, F.lit("id")), t["id"]),
+                    _kv(F.concat(base, F.lit("function.name")), t["function"]["name"]),
+                    _kv(F.concat(base, F.lit("function.arguments")), t["function"]["arguments"]),
+                )
+
+            m = c["message"]
+            return F.concat(
+                F.array(
+                    _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.role"), m["role"]),
+                    _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.content"), non_empty(m["content"])),
+                ),
+                _all(F.transform(m["tool_calls"], call)),
             )
 
-        m = c["message"]
-        return F.concat(
+        u = r["usage"]
+        pd, cd = u["prompt_tokens_details"], u["completion_tokens_details"]
+        with_pd, with_cd = (u["prompt_tokens"] > 0) & pd.isNotNull(), (u["completion_tokens"] > 0) & cd.isNotNull()
+
+        def detail(key: str, cond: Column, value: Column) -> Column:
+            return _kv(key, F.when(cond, F.coalesce(value, F.lit(0))))
+
+        return as_map(
             F.array(
-                _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.role"), m["role"]),
-                _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.content"), non_empty(m["content"])),
+                _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
+                _positive(TOKENS_PROMPT, u["prompt_tokens"]), _positive(TOKENS_COMPLETION, u["completion_tokens"]),
+                _positive(TOKENS_TOTAL, u["total_tokens"]),
+                detail(TOKENS_PROMPT_AUDIO, with_pd, pd["audio_tokens"]), detail(TOKENS_CACHE_READ, with_pd, pd["cached_tokens"]),
+                detail(TOKENS_CACHE_WRITE, with_pd, pd["cache_creation_input_tokens"]),
+                detail(TOKENS_COMPLETION_AUDIO, with_cd, cd["audio_tokens"]), detail(TOKENS_REASONING, with_cd, cd["reasoning_tokens"]),
             ),
-            _all(F.transform(m["tool_calls"], call)),
+            _all(F.transform(r["choices"], choice)),
         )
 
-    u = r["usage"]
-    pd, cd = u["prompt_tokens_details"], u["completion_tokens_details"]
-    with_pd, with_cd = (u["prompt_tokens"] > 0) & pd.isNotNull(), (u["completion_tokens"] > 0) & cd.isNotNull()
-
-    def detail(key: str, cond: Column, value: Column) -> Column:
-        return _kv(key, F.when(cond, F.coalesce(value, F.lit(0))))
-
-    return as_map(
-        F.array(
-            _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
-            _positive(TOKENS_PROMPT, u["prompt_tokens"]), _positive(TOKENS_COMPLETION, u["completion_tokens"]),
-            _positive(TOKENS_TOTAL, u["total_tokens"]),
-            detail(TOKENS_PROMPT_AUDIO, with_pd, pd["audio_tokens"]), detail(TOKENS_CACHE_READ, with_pd, pd["cached_tokens"]),
-            detail(TOKENS_CACHE_WRITE, with_pd, pd["cache_creation_input_tokens"]),
-            detail(TOKENS_COMPLETION_AUDIO, with_cd, cd["audio_tokens"]), detail(TOKENS_REASONING, with_cd, cd["reasoning_tokens"]),
-        ),
-        _all(F.transform(r["choices"], choice)),
-    )
+    return let(parse_struct(
+        body,
+        "model string, choices array<struct<message: struct<role: string, content: string, tool_calls: array<struct<id: string, "
+        "function: struct<name: string, arguments: string>>>>>>, usage struct<prompt_tokens: bigint, completion_tokens: bigint, "
+        "total_tokens: bigint, prompt_tokens_details: struct<audio_tokens: bigint, cached_tokens: bigint, cache_creation_input_tokens: bigint>, "
+        "completion_tokens_details: struct<audio_tokens: bigint, reasoning_tokens: bigint>>",
+    ), build)
 
 
 def embeddings_response(body: Column) -> Column:
@@ -391,88 +406,95 @@ def embeddings_response(body: Column) -> Column:
 
 
 def completions_response(body: Column) -> Column:
-    r = parse_struct(
+    def build(r: Column) -> Column:
+        u = r["usage"]
+        return as_map(
+            F.array(
+                _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
+                _positive(TOKENS_PROMPT, u["prompt_tokens"]), _positive(TOKENS_COMPLETION, u["completion_tokens"]),
+                _positive(TOKENS_TOTAL, u["total_tokens"]),
+            ),
+            F.transform(r["choices"], lambda c, i: _kv(_name(f"{CHOICES}.", i, ".completion.text"), c["text"])),
+        )
+
+    return let(parse_struct(
         body,
         "model string, choices array<struct<text: string>>, usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>",
-    )
-    u = r["usage"]
-    return as_map(
-        F.array(
-            _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
-            _positive(TOKENS_PROMPT, u["prompt_tokens"]), _positive(TOKENS_COMPLETION, u["completion_tokens"]),
-            _positive(TOKENS_TOTAL, u["total_tokens"]),
-        ),
-        F.transform(r["choices"], lambda c, i: _kv(_name(f"{CHOICES}.", i, ".completion.text"), c["text"])),
-    )
+    ), build)
 
 
 def responses_response(body: Column) -> Column:
-    r = parse_struct(
+    def build(r: Column) -> Column:
+        u = r["usage"]
+        return as_map(
+            F.array(
+                _kv(OUTPUT_MIME, JSON_MIME), _kv(MODEL, non_empty(r["model"])), _kv(OUTPUT_VALUE, body),
+                _positive(TOKENS_PROMPT, u["input_tokens"]), _positive(TOKENS_COMPLETION, u["output_tokens"]),
+                _positive(TOKENS_TOTAL, u["total_tokens"]),
+                _positive(TOKENS_CACHE_READ, u["input_tokens_details"]["cached_tokens"]),
+                _positive(TOKENS_CACHE_WRITE, u["input_tokens_details"]["cache_creation_input_tokens"]),
+                _positive(TOKENS_REASONING, u["output_tokens_details"]["reasoning_tokens"]),
+            ),
+            _all(F.transform(r["output"], lambda x, i: _item_attrs(x, i, output=True))),
+        )
+
+    return let(parse_struct(
         body,
         "model string, output array<string>, usage struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint, "
         "input_tokens_details: struct<cached_tokens: bigint, cache_creation_input_tokens: bigint>, "
         "output_tokens_details: struct<reasoning_tokens: bigint>>",
-    )
-    u = r["usage"]
-    return as_map(
-        F.array(
-            _kv(OUTPUT_MIME, JSON_MIME), _kv(MODEL, non_empty(r["model"])), _kv(OUTPUT_VALUE, body),
-            _positive(TOKENS_PROMPT, u["input_tokens"]), _positive(TOKENS_COMPLETION, u["output_tokens"]),
-            _positive(TOKENS_TOTAL, u["total_tokens"]),
-            _positive(TOKENS_CACHE_READ, u["input_tokens_details"]["cached_tokens"]),
-            _positive(TOKENS_CACHE_WRITE, u["input_tokens_details"]["cache_creation_input_tokens"]),
-            _positive(TOKENS_REASONING, u["output_tokens_details"]["reasoning_tokens"]),
-        ),
-        _all(F.transform(r["output"], lambda x, i: _item_attrs(x, i, output=True))),
-    )
+    ), build)
 
 
 def messages_response(body: Column) -> Column:
-    r = parse_struct(
-        body,
-        "model string, role string, content array<struct<type: string, text: string, id: string, name: string, input: string>>, "
-        "usage struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>",
-    )
+    def build(r: Column) -> Column:
+        def block(b: Column, i: Column) -> Column:
+            call = _name(f"{OUTPUT_MESSAGES}.", i, ".message.tool_calls.0.tool_call.")
+            tool = b["type"] == "tool_use"
+            return F.array(
+                _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.role"), r["role"]),
+                _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.content"), F.when(b["type"] == "text", b["text"])),
+                _kv(F.concat(call, F.lit("id")), F.when(tool, b["id"])),
+                _kv(F.concat(call, F.lit("function.name")), F.when(tool, b["name"])),
+                _kv(F.concat(call, F.lit("function.arguments")), F.when(tool, b["input"])),
+            )
 
-    def block(b: Column, i: Column) -> Column:
-        call = _name(f"{OUTPUT_MESSAGES}.", i, ".message.tool_calls.0.tool_call.")
-        tool = b["type"] == "tool_use"
-        return F.array(
-            _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.role"), r["role"]),
-            _kv(_name(f"{OUTPUT_MESSAGES}.", i, ".message.content"), F.when(b["type"] == "text", b["text"])),
-            _kv(F.concat(call, F.lit("id")), F.when(tool, b["id"])),
-            _kv(F.concat(call, F.lit("function.name")), F.when(tool, b["name"])),
-            _kv(F.concat(call, F.lit("function.arguments")), F.when(tool, b["input"])),
-        )
+        def n(c: str) -> Column:
+            return F.coalesce(r["usage"][c], F.lit(0))
 
-    def n(c: str) -> Column:
-        return F.coalesce(r["usage"][c], F.lit(0))
+        read, creation = n("cache_read_input_tokens"), n("cache_creation_input_tokens")
+        prompt = n("input_tokens") + read + creation
+        return as_map(
+            F.array(
+                _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
+                _kv(TOKENS_PROMPT, prompt), _kv(TOKENS_CACHE_READ, read), _kv(TOKENS_CACHE_WRITE, creation),
+                _kv(TOKENS_COMPLETION, n("output_tokens")), _kv(TOKENS_TOTAL, prompt + n("output_tokens")),
+            ),
+            _all(F.transform(r["content"], block)),
+        )
 
-    read, creation = n("cache_read_input_tokens"), n("cache_creation_input_tokens")
-    prompt = n("input_tokens") + read + creation
-    return as_map(
-        F.array(
-            _kv(MODEL, r["model"]), _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body),
-            _kv(TOKENS_PROMPT, prompt), _kv(TOKENS_CACHE_READ, read), _kv(TOKENS_CACHE_WRITE, creation),
-            _kv(TOKENS_COMPLETION, n("output_tokens")), _kv(TOKENS_TOTAL, prompt + n("output_tokens")),
-        ),
-        _all(F.transform(r["content"], block)),
-    )
+    return let(parse_struct(
+        body,
+        "model string, role string, content array<struct<type: string, text: string, id: string, name: string, input: string>>, "
+        "usage struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>",
+    ), build)
 
 
 def rerank_response(body: Column) -> Column:
-    r = parse_struct(
+    def build(r: Column) -> Column:
+        inp, out = (F.floor(r["meta"]["tokens"][c]).cast("bigint") for c in ("input_tokens", "output_tokens"))
+        total = F.coalesce(inp, F.lit(0)) + F.coalesce(out, F.lit(0))
+        return as_map(
+            F.array(
+                _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body), _kv(TOKENS_PROMPT, inp), _positive(TOKENS_TOTAL, total)
+            ),
+            F.transform(r["results"], lambda x, i: _kv(_name(f"{RERANK_OUT}.", i, ".document.score"), x["relevance_score"])),
+        )
+
+    return let(parse_struct(
         body,
         "results array<struct<relevance_score: double>>, meta struct<tokens: struct<input_tokens: double, output_tokens: double>>",
-    )
-    inp, out = (F.floor(r["meta"]["tokens"][c]).cast("bigint") for c in ("input_tokens", "output_tokens"))
-    total = F.coalesce(inp, F.lit(0)) + F.coalesce(out, F.lit(0))
-    return as_map(
-        F.array(
-            _kv(OUTPUT_MIME, JSON_MIME), _kv(OUTPUT_VALUE, body), _kv(TOKENS_PROMPT, inp), _positive(TOKENS_TOTAL, total)
-        ),
-        F.transform(r["results"], lambda x, i: _kv(_name(f"{RERANK_OUT}.", i, ".document.score"), x["relevance_score"])),
-    )
+    ), build)
 
 
 # --- DataFrame operators --------------------------------------------------------------------------
@@ -631,7 +653,8 @@ def unflatten_attrs(spans: DataFrame, ids: Sequence[str] = ("request_id",), attr
     message's own fields).
     """
     shape = r"^llm\.(input|output)_messages\.([0-9]+)\.(?:message\.(?:(contents|tool_calls)\.([0-9]+)\.(?:message_content|tool_call|message)\.)?|(?=tool_call\.))(.+)$"
-    rows = spans.select(*ids, F.explode(attributes).alias("key", "value")).where(F.col("key").rlike(shape))
+    entries = exploded(spans, list(ids), F.map_entries(attributes), "_i", "_e")
+    rows = entries.select(*ids, F.col("_e.key").alias("key"), F.col("_e.value").alias("value")).where(F.col("key").rlike(shape))
 
     def g(n: int) -> Column:
         return F.regexp_extract("key", shape, n)

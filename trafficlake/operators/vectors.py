@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import parse_struct
+from ..functions.columns import exploded, parse_struct
 
 
 def rerank_topn(
@@ -34,7 +34,7 @@ def rerank_topn(
     )
     limit = F.lit(top_n) if top_n is not None else F.coalesce("_q.top_n", F.size("_a.results"))
     best = F.slice(ranked, F.lit(1), F.greatest(limit, F.lit(0)))
-    return tmp.select(key, "_q", F.posexplode(best).alias("_pos", "_r")).select(
+    return exploded(tmp, [key, "_q"], best, "_pos", "_r").select(
         key,
         (F.col("_pos") + 1).alias("rank"),
         F.col("_r.index").alias("index"),
@@ -73,7 +73,7 @@ def decode_vectors(df: DataFrame, source: str = "embedding", out: str = "vector"
 def explode_embeddings(df: DataFrame, body: str = "response_body", key: str = "request_id") -> DataFrame:
     """Vectors of an embeddings response: ``(key, index, vector, truncated)``."""
     data = parse_struct(body, "data array<struct<index: int, embedding: string, truncated: boolean>>")["data"]
-    rows = df.select(key, F.posexplode(data).alias("_pos", "_d")).select(
+    rows = exploded(df, [key], data, "_pos", "_d").select(
         key, F.coalesce("_d.index", "_pos").alias("index"), F.col("_d.embedding").alias("_e"),
         F.coalesce("_d.truncated", F.lit(False)).alias("truncated"),
     )

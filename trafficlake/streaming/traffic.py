@@ -68,6 +68,11 @@ def _sorted_rows(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(by, kind="stable") if len(frames) > 1 else frames[0].sort_values(by, kind="stable")
 
 
+def _drop_timers(handle: StatefulProcessorHandle) -> None:
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+
+
 class _FixedWindow(StatefulProcessor):
     """State: current window and the cost used in it. An expired key is forgotten by its timer."""
 
@@ -79,7 +84,8 @@ class _FixedWindow(StatefulProcessor):
         self.state = handle.getValueState("window", "window_us long, used long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        window, used = self.state.get() if self.state.exists() else (-1, 0)
+        known = self.state.exists()
+        window, used = self.state.get() if known else (-1, 0)
         pdf = _sorted_rows(rows, ["at_us", "request_id"])
         out = []
         for rid, at, cost in zip(pdf["request_id"], pdf["at_us"], pdf["cost"]):
@@ -90,8 +96,8 @@ class _FixedWindow(StatefulProcessor):
             out.append((rid, int(at), int(used), refused))
             used += int(cost)
         self.state.update((int(window), int(used)))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if known:
+            _drop_timers(self.handle)
         self.handle.registerTimer((window + self.width) // 1000 + 1)
         yield pd.DataFrame(out, columns=["request_id", "at_us", "used", "refused"])
 
@@ -115,7 +121,8 @@ class _TrailingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fold = TrailingFold([self.bucket], "Shared")
-        if self.state.exists():
+        known = self.state.exists()
+        if known:
             for at, cost in self.state.get():
                 fold.queues[0].append((at, cost))
                 fold.used[0] += cost
@@ -124,12 +131,13 @@ class _TrailingWindow(StatefulProcessor):
         for rid, at, cost in zip(pdf["request_id"], pdf["at_us"], pdf["cost"]):
             allowed = fold.admit(int(at), int(cost), [True])
             out.append((rid, int(at), int(fold.used[0]), not allowed))
-        self.state.clear()
         if fold.queues[0]:
             self.state.put([(int(a), int(c)) for a, c in fold.queues[0]])
+        elif known:
+            self.state.clear()
         last = int(pdf["at_us"].iloc[-1])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if known:
+            _drop_timers(self.handle)
         self.handle.registerTimer((last + self.bucket.duration_s * 1_000_000) // 1000 + 1)
         yield pd.DataFrame(out, columns=["request_id", "at_us", "used", "refused"])
 
@@ -205,12 +213,9 @@ class _Latency(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("stream", "first_ms long, tokens long")
 
-    def _drop_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, tokens = self.state.get() if self.state.exists() else (None, 0)
+        known = self.state.exists()
+        first, tokens = self.state.get() if known else (None, 0)
         pdf = _sorted_rows(rows, ["seq"])
         ended, last = None, None
         for ms, tok, end, at in zip(pdf["recv_ms"], pdf["output_tokens"], pdf["end_of_stream"], pdf["at_ms"]):
@@ -224,12 +229,14 @@ class _Latency(StatefulProcessor):
                 tokens = int(tok)
             if end:
                 ended = int(ms), False
-        self._drop_timers()
+        if known:
+            _drop_timers(self.handle)
         if ended is None:
             self.state.update((int(first), int(tokens)))
             self.handle.registerTimer(last + self.timeout_ms)
             return
-        self.state.clear()
+        if known:
+            self.state.clear()
         end_ms, single = ended
         tpot = (end_ms - first) / 1000.0 / (tokens - 1) if tokens > 1 and not single else None
         yield pd.DataFrame({"ttft_s": [first / 1000.0], "tpot_s": pd.array([tpot], dtype="Float64")})
