@@ -8,16 +8,18 @@ truly sequential; they are folded over sorted rows, cut into independent stretch
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.running import HOT_ROWS, prior_totals
+from ..plans.small import small_side
 from .usage import USAGE
 
 # Seconds per duration suffix (no suffix means seconds) and per limit unit.
@@ -151,7 +153,7 @@ def quota_resolution(requests: DataFrame, per_model: DataFrame, service: DataFra
     s = service.select(
         backend, F.col("limit").alias("_sl"), F.col("duration").alias("_sd"), F.col("expression").alias("_se")
     )
-    j = requests.join(m, [backend, model], "left").join(s, [backend], "left")
+    j = requests.join(small_side(m), [backend, model], "left").join(small_side(s), [backend], "left")
     own = F.coalesce(F.col("_own"), F.lit(False))
 
     def pick(a: str, b: str) -> Column:
@@ -260,17 +262,47 @@ class TrailingFold:
         self.queues = [deque() for _ in self.buckets]
         self.used = [0] * len(self.buckets)
 
+    def _below(self, i: int, used: int) -> bool:
+        return used <= self.buckets[i].limit if self.strict else used < self.buckets[i].limit
+
     def _room(self, i: int) -> bool:
-        b = self.buckets[i]
-        if b.shadow:
-            return True
-        return self.used[i] <= b.limit if self.strict else self.used[i] < b.limit
+        return self.buckets[i].shadow or self._below(i, self.used[i])
 
-    def admit(self, at_us: int, cost: int, matches: Sequence[bool]) -> bool:
+    def _expire(self, i: int, at_us: int) -> None:
+        q, edge = self.queues[i], at_us - self.buckets[i].duration_s * 1_000_000
+        while q and q[0][0] <= edge:
+            self.used[i] -= q.popleft()[1]
+
+    def _closed_until(self, at_us: int) -> float | None:
+        """When every request passes one enforced default bucket that is full: the time it has room."""
         for i, b in enumerate(self.buckets):
-            q, edge = self.queues[i], at_us - b.duration_s * 1_000_000
-            while q and q[0][0] <= edge:
-                self.used[i] -= q.popleft()[1]
+            if self.mode == "Shared" and b.when is None and not b.shadow:
+                self._expire(i, at_us)
+                used = self.used[i]
+                if self._below(i, used):
+                    continue
+                for t, c in self.queues[i]:
+                    used -= c
+                    if self._below(i, used):
+                        return t + b.duration_s * 1_000_000
+                return math.inf
+        return None
+
+    def run(self, at: np.ndarray, cost: np.ndarray, matches: list[Sequence[bool]]) -> np.ndarray:
+        """Verdicts of consecutive requests. While the default bucket is full, all refused ones are skipped at once."""
+        allowed, i, times, costs = np.zeros(len(at), dtype=bool), 0, at.tolist(), cost.tolist()
+        while i < len(times):
+            opens = self._closed_until(times[i])
+            if opens is not None:
+                i = len(times) if opens == math.inf else i + int(np.searchsorted(at[i:], opens, "left"))
+                continue
+            allowed[i] = self.admit(times[i], costs[i], matches[i])
+            i += 1
+        return allowed
+
+    def admit(self, at_us: int, cost: int, matches: Sequence[bool]) -> bool:
+        for i in range(len(self.buckets)):
+            self._expire(i, at_us)
         ruled = [i for i, b in enumerate(self.buckets) if b.when is not None and matches[i]]
         default = [i for i, b in enumerate(self.buckets) if b.when is None]
         if self.mode == "Shared":
@@ -286,22 +318,25 @@ class TrailingFold:
         return ok
 
 
-def _fold_sorted(buckets: Sequence[Bucket], mode: str, strict: bool, group: list[str], order: list[str], match_cols: list[str]):
+def _fold_sorted(buckets: Sequence[Bucket], mode: str, strict: bool, group: list[str], match_cols: list[str]):
     def run(batches):
         fold, current = TrailingFold(buckets, mode, strict), None
         for pdf in batches:
-            allowed = []
             # NULL keys read back as NaN, which never equals itself
             groups = list(zip(*[[None if v != v else v for v in pdf[g].tolist()] for g in group]))
-            flags = list(zip(*[pdf[m].tolist() for m in match_cols])) if match_cols else [()] * len(pdf)
-            for g, at, cost, m in zip(groups, pdf["_at"].tolist(), pdf["_cost"].tolist(), flags):
-                if g != current:
+            flags = list(zip(*[pdf[m].tolist() for m in match_cols]))
+            at, cost = pdf["_at"].to_numpy(), pdf["_cost"].to_numpy()
+            allowed, start = np.zeros(len(pdf), dtype=bool), 0
+            while start < len(groups):
+                end = start + 1
+                while end < len(groups) and groups[end] == groups[start]:
+                    end += 1
+                if groups[start] != current:
                     fold.reset()
-                    current = g
-                allowed.append(fold.admit(at, cost, m))
-            out = pdf.drop(columns=["_at", "_cost", *match_cols])
-            out["allowed"] = pd.array(allowed, dtype="boolean")
-            yield out
+                    current = groups[start]
+                allowed[start:end] = fold.run(at[start:end], cost[start:end], flags[start:end])
+                start = end
+            yield pdf.drop(columns=["_at", "_cost", *match_cols]).assign(allowed=allowed)
 
     return run
 
@@ -317,7 +352,8 @@ def bucket_mode(
 
     Verdicts are sequential, so rows are cut into independent stretches, hashed by (key, stretch),
     sorted, and streamed through a fold whose state is one window's admitted requests. A group is never
-    collected; one key that never leaves its limit is still one stretch.
+    collected. A key that never leaves its limit stays one stretch; there nearly all requests are
+    refused, and while the default bucket is full the fold jumps over them by binary search.
     """
     if mode not in ("Exclusive", "Shared"):
         raise ValueError(f"unknown bucket mode {mode!r}")
@@ -336,7 +372,7 @@ def bucket_mode(
     group = [*keys, "_stretch"]
     ordered = prepared.repartition(*group).sortWithinPartitions(*group, at_us, tie)
     schema = T.StructType([*[f for f in cut.schema.fields], T.StructField("allowed", T.BooleanType())])
-    fold = _fold_sorted(list(buckets), mode, strict, group, [at_us, tie], match_cols)
+    fold = _fold_sorted(list(buckets), mode, strict, group, match_cols)
     return ordered.mapInPandas(fold, schema).drop("_stretch")
 
 

@@ -105,7 +105,7 @@ def fallback_outcome(attempts: DataFrame, keys: Sequence[str] = ("request_id",),
 def apply_model_override(requests: DataFrame, refs: DataFrame, backend: str = "backend", model: str = "original_model") -> DataFrame:
     """``request_model``: the override of the backend reference, else the original model."""
     o = refs.select(backend, F.nullif(F.col("model_override"), F.lit("")).alias("_override"))
-    return requests.join(o, backend, "left").withColumn("request_model", F.coalesce("_override", model)).drop("_override")
+    return requests.join(small_side(o), backend, "left").withColumn("request_model", F.coalesce("_override", model)).drop("_override")
 
 
 # --- mutations ------------------------------------------------------------------------------------
@@ -241,7 +241,7 @@ def select_tools(tools: DataFrame, selectors: DataFrame, keys: Sequence[str] = (
     s = selectors.select(
         *keys, *[F.coalesce(c, none).alias(f"_{c}") for c in ("include", "exclude", "include_regex", "exclude_regex")]
     )
-    j = tools.join(s, list(keys), "left")
+    j = tools.join(small_side(s), list(keys), "left")
     name = F.col(tool)
 
     def hits(c: str) -> Column:
@@ -398,9 +398,7 @@ def pair_jsonrpc(messages: DataFrame, keys: Sequence[str] = ("session", "backend
     def first(cond: Column, *cols: str) -> Column:
         return F.min_by(F.when(cond, F.struct(order, *cols)), F.when(cond, F.col(order)))
 
-    # One shuffle and one sort: the aggregate below is already clustered by its keys.
-    placed = messages.where(req | resp).repartition(*keys, "id")
-    pairs = placed.groupBy(*keys, "id").agg(
+    pairs = messages.where(req | resp).groupBy(*keys, "id").agg(
         first(req, "method", "params").alias("_q"), first(resp, "result", "error_code", "error_message").alias("_a")
     )
     return pairs.where("_q IS NOT NULL").select(

@@ -66,10 +66,11 @@ def prior_totals(
     ).otherwise(F.lit(-1).cast("bigint"))
     sliced = marked.select("d.*", slice_expr.alias("_slice"))
 
+    # Inner join: with no hot group this branch is empty before anything is read.
+    hot = df.alias("d").join(F.broadcast(sizes.alias("s")), _null_safe("d", "s", keys)).select("d.*", slice_expr.alias("_slice"))
     earlier_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carries = (
-        sliced.where(F.col("_slice") >= 0)
-        .groupBy(*keys, "_slice")
+        hot.groupBy(*keys, "_slice")
         .agg(*[F.sum(c).alias(f"_t_{o}") for o, c in values.items()])
         .select(
             *keys,

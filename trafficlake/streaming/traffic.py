@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,36 +74,60 @@ def _drop_timers(handle: StatefulProcessorHandle) -> None:
         handle.deleteTimer(t)
 
 
+STATE_BUCKETS = 256
+_BUCKET = "_bucket"
+
+
+def _bucketed(stream: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Groups of many keys share one state call per micro-batch, which costs far more than its rows."""
+    return stream.withColumn(_BUCKET, F.pmod(F.hash(*keys), F.lit(buckets)))
+
+
+def _schema_of(stream: DataFrame, names: Sequence[str], ddl: str = "") -> T.StructType:
+    fields = [T.StructField(n, stream.schema[n].dataType) for n in names]
+    return T.StructType(fields + (T.StructType.fromDDL(ddl).fields if ddl else []))
+
+
+def _plain(values) -> tuple:
+    """State keys as plain Python values (NULLs read back as NaN)."""
+    return tuple(None if v != v else v.item() if hasattr(v, "item") else v for v in values)
+
+
 class _FixedWindow(StatefulProcessor):
-    """State: current window and the cost used in it. An expired key is forgotten by its timer."""
+    """State per key of a bucket: current window and the cost used in it. Passed windows are swept by a timer."""
 
-    def __init__(self, limit: int, width_us: int):
-        self.limit, self.width = limit, width_us
+    def __init__(self, limit: int, width_us: int, keys: list[str], key_schema: T.StructType):
+        self.limit, self.width, self.keys, self.key_schema = limit, width_us, keys, key_schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("window", "window_us long, used long")
+        self.state = handle.getMapState("windows", self.key_schema, "window_us long, used long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        window, used = self.state.get() if known else (-1, 0)
         pdf = _sorted_rows(rows, ["at_us", "request_id"])
-        out = []
-        for rid, at, cost in zip(pdf["request_id"], pdf["at_us"], pdf["cost"]):
-            w = int(at) // self.width * self.width
-            if w > window:
-                window, used = w, 0
-            refused = used >= self.limit
-            out.append((rid, int(at), int(used), refused))
-            used += int(cost)
-        self.state.update((int(window), int(used)))
-        if known:
-            _drop_timers(self.handle)
-        self.handle.registerTimer((window + self.width) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["request_id", "at_us", "used", "refused"])
+        owner = pdf.groupby(self.keys, dropna=False, sort=False)
+        pdf["_owner"] = owner.ngroup()
+        names = pdf.drop_duplicates("_owner").set_index("_owner")[self.keys]
+        ids = {i: _plain(row) for i, row in zip(names.index, names.itertuples(index=False))}
+        known = {i: self.state.getValue(k) or (-1, 0) for i, k in ids.items()}
+        base = pdf["_owner"].map({i: v[0] for i, v in known.items()})
+        pdf["_w"] = np.maximum(pdf["at_us"] // self.width * self.width, base)
+        pdf["_w"] = pdf.groupby("_owner")["_w"].cummax()
+        carried = pdf["_owner"].map({i: v[1] for i, v in known.items()}).where(pdf["_w"] == base, 0)
+        pdf["used"] = pdf.groupby(["_owner", "_w"])["cost"].cumsum() - pdf["cost"] + carried
+        last = pdf.drop_duplicates("_owner", keep="last")
+        for i, w, used in zip(last["_owner"], last["_w"], last["used"] + last["cost"]):
+            self.state.updateValue(ids[i], (int(w), int(used)))
+        _drop_timers(self.handle)
+        self.handle.registerTimer((int(last["_w"].max()) + self.width) // 1000 + 1)
+        pdf["refused"] = pdf["used"] >= self.limit
+        yield pdf[[*self.keys, "request_id", "at_us", "used", "refused"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for k, (window, _used) in list(self.state.iterator()):
+            if window + self.width <= now_us:
+                self.state.removeKey(k)
         return iter([])
 
     def close(self) -> None:
@@ -160,24 +185,22 @@ def stream_rate_limit(
     after it (trailing).
     """
     use_rocksdb(stream.sparkSession)
+    keys = list(keys)
     rows = stream.withWatermark(at, delay).select(
         *keys, at, F.col(request_id).alias("request_id"), F.unix_micros(at).alias("at_us"),
         F.coalesce(F.col(cost), F.lit(0)).cast("bigint").alias("cost"),
     )
-    processor = (
-        _TrailingWindow(limit, duration_s) if duration_s else _FixedWindow(limit, UNIT_SECONDS[unit] * 1_000_000)
-    )
-    schema = _keyed(stream, keys, "request_id long, at_us long, used long, refused boolean")
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Keyed(processor, list(keys)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    result = "request_id long, at_us long, used long, refused boolean"
+    if duration_s:
+        grouped, processor = rows.groupBy(*keys), _Keyed(_TrailingWindow(limit, duration_s), keys)
+    else:
+        grouped = _bucketed(rows, keys, STATE_BUCKETS).groupBy(_BUCKET)
+        processor = _FixedWindow(limit, UNIT_SECONDS[unit] * 1_000_000, keys, _schema_of(stream, keys))
+    return grouped.transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=_schema_of(stream, keys, result), outputMode="Append", timeMode="EventTime"
     )
 
 
-def _keyed(stream: DataFrame, keys: Sequence[str], ddl: str) -> T.StructType:
-    fields = [T.StructField(k, stream.schema[k].dataType) for k in keys]
-    return T.StructType(fields + T.StructType.fromDDL(ddl).fields)
-
-
 class _Keyed(StatefulProcessor):
     """Puts the key columns in front of what the wrapped processor yields."""
 
@@ -204,45 +227,67 @@ class _Keyed(StatefulProcessor):
 
 
 class _Latency(StatefulProcessor):
-    """State: first chunk time and highest token count. Gone at the end of the stream or on timeout."""
+    """State per unfinished stream of a bucket: first chunk time, highest token count, last event time.
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    Chunks combine without order, frame by frame; a stream that begins and ends inside one micro-batch
+    never touches the state. Silent streams are swept by a timer.
+    """
+
+    def __init__(self, key: str, key_schema: T.StructType, timeout_ms: int):
+        self.key, self.key_schema, self.timeout_ms = key, key_schema, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("stream", "first_ms long, tokens long")
+        self.open = handle.getMapState("open", self.key_schema, "first_ms long, tokens long, last_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        first, tokens = self.state.get() if known else (None, 0)
-        pdf = _sorted_rows(rows, ["seq"])
-        ended, last = None, None
-        for ms, tok, end, at in zip(pdf["recv_ms"], pdf["output_tokens"], pdf["end_of_stream"], pdf["at_ms"]):
-            last = int(at)
-            if first is None:
-                first = int(ms)
-                if end:
-                    ended = int(ms), True
-                continue
-            if tok == tok and tok is not None and int(tok) > tokens:
-                tokens = int(tok)
-            if end:
-                ended = int(ms), False
-        if known:
-            _drop_timers(self.handle)
-        if ended is None:
-            self.state.update((int(first), int(tokens)))
-            self.handle.registerTimer(last + self.timeout_ms)
-            return
-        if known:
-            self.state.clear()
-        end_ms, single = ended
-        tpot = (end_ms - first) / 1000.0 / (tokens - 1) if tokens > 1 and not single else None
-        yield pd.DataFrame({"ttft_s": [first / 1000.0], "tpot_s": pd.array([tpot], dtype="Float64")})
+        parts = []
+        for pdf in rows:
+            later, ends = pdf["seq"] > 0, pdf["end_of_stream"].astype(bool)
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "id": pdf[self.key], "first": pdf["recv_ms"], "tokens": pdf["output_tokens"].where(later).astype("float64"),
+                        "end": pdf["recv_ms"].where(later & ends).astype("float64"), "single": ends & ~later, "last": pdf["at_ms"],
+                    }
+                ).groupby("id").agg({"first": "min", "tokens": "max", "end": "max", "single": "max", "last": "max"})
+            )
+        g = pd.concat(parts).groupby(level=0).agg({"first": "min", "tokens": "max", "end": "max", "single": "max", "last": "max"})
+        pending = {k[0]: v for k, v in self.open.iterator()}
+        for rid in g.index.intersection(list(pending)):
+            first, tokens, last = pending[rid]
+            g.loc[rid, "first"] = min(first, g.loc[rid, "first"])
+            g.loc[rid, "tokens"] = np.nanmax([tokens, g.loc[rid, "tokens"]])
+            g.loc[rid, "last"] = max(last, g.loc[rid, "last"])
+        done = g["end"].notna() | g["single"]
+        for rid in g.index[done].intersection(list(pending)):
+            self.open.removeKey(_plain((rid,)))
+            del pending[rid]
+        for rid, first, tokens, last in g.loc[~done, ["first", "tokens", "last"]].itertuples():
+            entry = (int(first), 0 if tokens != tokens else int(tokens), int(last))
+            self.open.updateValue(_plain((rid,)), entry)
+            pending[rid] = entry
+        self._set_timer(v[2] for v in pending.values())
+        out = g[done]
+        tpot = ((out["end"] - out["first"]) / 1000.0 / (out["tokens"] - 1)).where(out["tokens"] > 1)
+        yield pd.DataFrame(
+            {self.key: out.index, "ttft_s": (out["first"] / 1000.0).to_numpy(), "tpot_s": pd.array(tpot.to_numpy(), dtype="Float64")}
+        )
+
+    def _set_timer(self, last_seen) -> None:
+        _drop_timers(self.handle)
+        oldest = min(last_seen, default=None)
+        if oldest is not None:
+            self.handle.registerTimer(oldest + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now, kept = expiredTimerInfo.getExpiryTimeInMs(), []
+        for k, (_first, _tokens, last) in list(self.open.iterator()):
+            if last + self.timeout_ms <= now:
+                self.open.removeKey(k)
+            else:
+                kept.append(last)
+        self._set_timer(kept)
         return iter([])
 
     def close(self) -> None:
@@ -261,9 +306,9 @@ def stream_latency_state(
         key, at, "seq", F.col("recv_ms").cast("bigint").alias("recv_ms"), F.col("output_tokens").cast("bigint").alias("output_tokens"),
         "end_of_stream", F.unix_millis(at).alias("at_ms"),
     )
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Keyed(_Latency(timeout * 1000), [key]),
-        outputStructType=_keyed(chunks, [key], "ttft_s double, tpot_s double"),
+    return _bucketed(rows, [key], STATE_BUCKETS).groupBy(_BUCKET).transformWithStateInPandas(
+        statefulProcessor=_Latency(key, _schema_of(chunks, [key]), timeout * 1000),
+        outputStructType=_schema_of(chunks, [key], "ttft_s double, tpot_s double"),
         outputMode="Append",
         timeMode="EventTime",
     )
@@ -292,7 +337,7 @@ def stream_inflight(moves: DataFrame, by: Sequence[str]) -> DataFrame:
     use_rocksdb(moves.sparkSession)
     return moves.select(*by, "at_us", "delta").groupBy(*by).transformWithStateInPandas(
         statefulProcessor=_Keyed(_Inflight(), list(by)),
-        outputStructType=_keyed(moves, by, "at_us long, inflight long"),
+        outputStructType=_schema_of(moves, by, "at_us long, inflight long"),
         outputMode="Append",
         timeMode="None",
     )
