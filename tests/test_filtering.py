@@ -45,6 +45,15 @@ def test_request_walk(spark, rows):
     assert out[1] == '{"prompt":"p"}' and out[2] is None
 
 
+def test_response_walk(spark, rows):
+    nested = {"reasoningContent": {"reasoningText": {"text": "t", "signature": "s"}}}
+    body = {"choices": [{"message": {"content": "c", "audio": {"data": "d", "transcript": "x", "id": "i"}, "reasoning_content": "r"}}, {"message": {"content": None, "reasoning_content": nested}}]}
+    df = spark.createDataFrame([(json.dumps(body),)], "response_body string")
+    first, second = [c["message"] for c in json.loads(rows(R.redact_responses(df))[0]["response_body"])["choices"]]
+    assert first == {"content": mark("c"), "audio": {"data": mark("d"), "transcript": mark("x"), "id": "i"}, "reasoning_content": mark("r")}
+    assert second["reasoning_content"]["reasoningContent"]["reasoningText"] == {"text": mark("t"), "signature": "s"}
+
+
 def test_status_truth_table(spark, rows):
     cases = list(itertools.product([True, False], [None, True, False], [True, False], ["Shadow", "Enforce", ""], ["pass", "redact", "reject", "error"], [None, "Fail", "PassThrough"], [True, False], [True, False]))
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, configured boolean, enabled boolean, global_disable boolean, mode string, outcome string, failure_policy string, body_equal boolean, replacement_valid boolean")

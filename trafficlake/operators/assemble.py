@@ -113,29 +113,48 @@ def assemble_completions(chunks: DataFrame, key: str = "request_id", order: str
         "choices array<struct<index: int, text: string, finish_reason: string>>"
     )
     c = chunks.select(key, F.col(order).alias("_o"), parse_struct(chunk, ddl).alias("_c"))
-    index = lambda x: F.coalesce(x["index"], F.lit(0))
-    heads = c.groupBy(key).agg(
-        F.max_by(F.struct("_c.id", "_c.model", "_c.created"), F.col("_o")).alias("_last"),
-        _last(F.col("_c.usage"), "_o").alias("usage"),
-        F.min_by(F.transform("_c.choices", index), F.col("_o")).alias("_first"),
-    )
-    wanted = heads.select(key, "_last.*", "usage", F.explode("_first").alias("choice"))
-    pieces = exploded(c, [key, "_o"], F.col("_c.choices"), "_i", "_x").select(
-        key,
-        F.coalesce(F.col("_x.index"), F.lit(0)).alias("choice"),
-        "_o",
-        F.floor(F.col("_o") / BLOCK).alias("_b"),
-        F.col("_x.text").alias("_t"),
-        non_empty("_x.finish_reason").alias("_f"),
+    number = lambda x: F.coalesce(x["index"], F.lit(0))
+    none = F.lit(None).cast("string")
+    # One pass: each chunk gives a row for its own fields (choice -1) and one per choice it carries.
+    own = F.struct(
+        F.lit(-1).alias("choice"), none.alias("text"), none.alias("finish"),
+        F.struct("_c.id", "_c.model", "_c.created").alias("meta"), F.col("_c.usage").alias("usage"),
+        F.transform("_c.choices", number).alias("choices"),
+    )
+    empty = F.lit(None)
+    carried = F.transform(
+        "_c.choices",
+        lambda x: F.struct(
+            number(x).alias("choice"), x["text"].alias("text"), non_empty(x["finish_reason"]).alias("finish"),
+            empty.cast("struct<id: string, model: string, created: bigint>").alias("meta"),
+            empty.cast(_USAGE).alias("usage"), empty.cast("array<int>").alias("choices"),
+        ),
+    )
+    rows = exploded(c, [key, "_o"], F.concat(F.array(own), F.coalesce(carried, F.expr("array()"))), "_i", "_x").select(
+        key, "_o", F.floor(F.col("_o") / BLOCK).alias("_b"), "_x.*"
     )
-    texts = (
-        pieces.groupBy(key, "choice", "_b")
-        .agg(joined_text("_o", "_t").alias("_t"), _last(F.col("_f"), "_o").alias("_f"))
-        .groupBy(key, "choice")
-        .agg(joined_text("_b", "_t").alias("text"), _last(F.col("_f"), "_b").alias("finish_reason"))
+
+    def combine(df: DataFrame, by: list[str], pos: str) -> DataFrame:
+        return df.groupBy(*by).agg(
+            joined_text(pos, "text").alias("text"),
+            _last(F.col("finish"), pos).alias("finish"),
+            _last(F.col("meta"), pos).alias("meta"),
+            _last(F.col("usage"), pos).alias("usage"),
+            F.min_by("choices", F.when(F.col("choice") < 0, F.col(pos))).alias("choices"),
+        )
+
+    per_choice = combine(combine(rows, [key, "choice", "_b"], "_o"), [key, "choice"], "_b")
+    head = F.when(F.col("choice") < 0, F.lit(1))
+    whole = per_choice.groupBy(key).agg(
+        F.max_by(F.struct("meta", "usage", "choices"), head).alias("_h"),
+        F.collect_list(F.when(F.col("choice") >= 0, F.struct("choice", "text", "finish"))).alias("_parts"),
     )
-    return wanted.join(texts, [key, "choice"], "left").select(
-        key, "choice", "id", "model", "created", "usage", F.coalesce("text", F.lit("")).alias("text"), "finish_reason"
+    return exploded(whole, [key, "_h", "_parts"], F.col("_h.choices"), "_i", "choice").select(
+        key, "choice", "_h.meta.id", "_h.meta.model", "_h.meta.created", "_h.usage",
+        F.get(F.filter("_parts", lambda p: p["choice"] == F.col("choice")), F.lit(0)).alias("_p"),
+    ).select(
+        key, "choice", "id", "model", "created", "usage", F.coalesce("_p.text", F.lit("")).alias("text"),
+        F.col("_p.finish").alias("finish_reason"),
     )
 
 
@@ -160,61 +179,55 @@ def assemble_messages(events: DataFrame, key: str = "request_id", order: str = "
     )
     e = computed_once(events.select(key, F.col(order).alias("_o"), F.col(data).alias("_d")), {"_e": parse_struct("_d", ddl)})
     kind = F.col("_e.type")
-    heads = e.where(kind.isin("message_start", "message_delta")).groupBy(key).agg(
-        _last(F.when(kind == "message_start", F.col("_e.message")), "_o").alias("_m"),
-        _last(F.when(kind == "message_delta", F.coalesce(F.col("_e.usage.output_tokens"), F.lit(0))), "_o").alias("_out"),
-        _last(F.when(kind == "message_delta", F.col("_e.delta.stop_reason")), "_o").alias("stop_reason"),
-    )
-    piece = (
-        e.where(kind.startswith("content_block_"))
-        .select(
-            key,
-            F.coalesce(F.col("_e.index"), F.lit(0)).alias("idx"),
-            "_o",
-            F.floor(F.col("_o") / BLOCK).alias("_b"),
-            F.when(kind == "content_block_start", F.col("_e.content_block")).alias("_start"),
-            F.coalesce("_e.content_block.text", "_e.delta.text").alias("_text"),
-            F.col("_e.delta.partial_json").alias("_json"),
-            F.coalesce("_e.content_block.thinking", "_e.delta.thinking").alias("_think"),
-            non_empty(F.coalesce("_e.delta.signature", "_e.content_block.signature")).alias("_sig"),
-            (kind == "content_block_stop").alias("_stop"),
-        )
+    start, delta = kind == "message_start", kind == "message_delta"
+    # One pass: message events are block -1, content events belong to their block.
+    rows = e.where(start | delta | kind.startswith("content_block_")).select(
+        key,
+        F.when(start | delta, F.lit(-1)).otherwise(F.coalesce(F.col("_e.index"), F.lit(0))).alias("idx"),
+        "_o",
+        F.floor(F.col("_o") / BLOCK).alias("_b"),
+        F.when(start, F.col("_e.message")).alias("_m"),
+        F.when(delta, F.coalesce(F.col("_e.usage.output_tokens"), F.lit(0))).alias("_out"),
+        F.when(delta, F.col("_e.delta.stop_reason")).alias("_reason"),
+        F.when(kind == "content_block_start", F.col("_e.content_block")).alias("_start"),
+        F.coalesce("_e.content_block.text", "_e.delta.text").alias("_text"),
+        F.col("_e.delta.partial_json").alias("_json"),
+        F.coalesce("_e.content_block.thinking", "_e.delta.thinking").alias("_think"),
+        non_empty(F.coalesce("_e.delta.signature", "_e.content_block.signature")).alias("_sig"),
+        (kind == "content_block_stop").alias("_stop"),
     )
 
     def combine(df: DataFrame, by: list[str], pos: str) -> DataFrame:
         return df.groupBy(*by).agg(
-            _last(F.col("_start"), pos).alias("_start"),
-            joined_text(pos, "_text").alias("_text"),
-            joined_text(pos, "_json").alias("_json"),
-            joined_text(pos, "_think").alias("_think"),
-            _last(F.col("_sig"), pos).alias("_sig"),
+            *[joined_text(pos, c).alias(c) for c in ("_text", "_json", "_think")],
+            *[_last(F.col(c), pos).alias(c) for c in ("_m", "_out", "_reason", "_start", "_sig")],
             F.bool_or("_stop").alias("_stop"),
         )
 
-    blocks = combine(combine(piece, [key, "idx", "_b"], "_o"), [key, "idx"], "_b").select(
-        key,
-        F.struct(
-            "idx",
-            F.col("_start.type").alias("type"),
-            F.when(F.col("_start.type") == "text", F.col("_text")).alias("text"),
-            F.col("_start.id").alias("tool_id"),
-            F.col("_start.name").alias("tool_name"),
-            F.when(F.col("_stop") & F.try_parse_json("_json").isNotNull(), F.col("_json")).alias("tool_input"),
-            F.when(F.col("_start.type") == "thinking", F.col("_think")).alias("thinking"),
-            F.when(F.col("_start.type") == "thinking", F.col("_sig")).alias("signature"),
-        ).alias("_block"),
-    )
-    content = blocks.where(F.col("_block.type").isNotNull()).groupBy(key).agg(
-        F.array_sort(F.collect_list("_block")).alias("content")
-    )
-    return heads.join(content, key, "left").select(
+    kind_of = F.col("_start.type")
+    block = F.struct(
+        "idx",
+        kind_of.alias("type"),
+        F.when(kind_of == "text", F.col("_text")).alias("text"),
+        F.col("_start.id").alias("tool_id"),
+        F.col("_start.name").alias("tool_name"),
+        F.when(F.col("_stop") & F.try_parse_json("_json").isNotNull(), F.col("_json")).alias("tool_input"),
+        F.when(kind_of == "thinking", F.col("_think")).alias("thinking"),
+        F.when(kind_of == "thinking", F.col("_sig")).alias("signature"),
+    )
+    head = F.when(F.col("idx") < 0, F.lit(1))
+    whole = combine(combine(rows, [key, "idx", "_b"], "_o"), [key, "idx"], "_b").groupBy(key).agg(
+        F.max_by(F.struct("_m", "_out", "_reason"), head).alias("_h"),
+        F.array_sort(F.collect_list(F.when((F.col("idx") >= 0) & kind_of.isNotNull(), block))).alias("content"),
+    )
+    return whole.where("_h IS NOT NULL").select(
         key,
-        F.col("_m.id").alias("id"),
-        F.col("_m.model").alias("model"),
-        F.col("_m.role").alias("role"),
-        F.col("_m.usage.input_tokens").alias("input_tokens"),
-        F.coalesce("_out", "_m.usage.output_tokens").alias("output_tokens"),
-        "stop_reason",
+        F.col("_h._m.id").alias("id"),
+        F.col("_h._m.model").alias("model"),
+        F.col("_h._m.role").alias("role"),
+        F.col("_h._m.usage.input_tokens").alias("input_tokens"),
+        F.coalesce("_h._out", "_h._m.usage.output_tokens").alias("output_tokens"),
+        F.col("_h._reason").alias("stop_reason"),
         "content",
     )
 

@@ -52,15 +52,11 @@ def cost_by_type(df: DataFrame, rules: Sequence[CostRule], ids: list[str]) -> Da
     return df.select(*ids, F.explode(F.array(*entries)).alias("_r")).select(*ids, "_r.*")
 
 
-def _schema() -> T.StructType:
-    text = [T.StructField(c, T.StringType()) for c in ("model", "backend")]
-    return T.StructType(text + [T.StructField(c, T.LongType()) for c in USAGE])
-
-
 def validate_cost_expression(spark: SparkSession, expr: str) -> None:
     """Reject an expression at plan time: unknown names, aggregates, non-integer results, failure on zeros."""
     try:
-        probe = spark.createDataFrame([("dummy", "dummy", 0, 0, 0, 0, 0, 0)], _schema())
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in USAGE]
+        probe = spark.range(1).select(F.lit("dummy").alias("model"), F.lit("dummy").alias("backend"), *zeros)
         probe.where(F.expr(expr).isNotNull())  # aggregates and windows are not allowed in a filter
         result = probe.select(F.expr(expr).alias("cost"))
         kind = result.schema["cost"].dataType

@@ -154,6 +154,16 @@ def _mask_request(body: dict) -> dict:
     return body
 
 
+def _mask_reasoning(msg: dict) -> None:
+    """Reasoning is plain text or nested blocks that end in ``reasoningText``; signatures stay."""
+    _mask_fields(msg, "reasoning_content")
+    node = msg.get("reasoning_content")
+    while isinstance(node, dict):
+        if isinstance(node.get("reasoningText"), dict):
+            _mask_fields(node["reasoningText"], "text")
+        node = node.get("reasoningContent")
+
+
 def _mask_response(body: dict) -> dict:
     for choice in body.get("choices") or []:
         msg = choice.get("message") if isinstance(choice, dict) else None
@@ -162,6 +172,7 @@ def _mask_response(body: dict) -> dict:
             _mask_calls(msg)
             if isinstance(msg.get("audio"), dict):
                 _mask_fields(msg["audio"], "data", "transcript")
+            _mask_reasoning(msg)
     return body
 
 
