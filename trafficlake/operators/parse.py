@@ -350,9 +350,7 @@ def _anthropic_entries(body: Column) -> Column:
 
 def _gemini_entries(body: Column) -> Column:
     parts = "parts: array<struct<text: string, functionCall: struct<name: string>>>"
-    req = parse_struct(
-        body, f"systemInstruction struct<{parts}>, contents array<struct<role: string, {parts}>>"
-    )
+    ddl = f"systemInstruction struct<{parts}>, contents array<struct<role: string, {parts}>>"
 
     def lines(role: Column, ps: Column) -> Column:
         return F.transform(
@@ -364,27 +362,25 @@ def _gemini_entries(body: Column) -> Column:
             ),
         )
 
-    system = F.when(
-        req["systemInstruction"]["parts"].isNotNull(),
-        F.array(lines(F.lit("system"), req["systemInstruction"]["parts"])),
-    ).otherwise(F.expr("array()"))
-    turns = F.transform(
-        req["contents"],
-        lambda c: lines(F.when(c["role"] == "model", F.lit("assistant")).otherwise(F.coalesce(c["role"], F.lit("user"))), c["parts"]),
-    )
-    return F.concat(system, F.coalesce(turns, F.expr("array()")))
+    def build(req: Column) -> Column:
+        system = F.when(
+            req["systemInstruction"]["parts"].isNotNull(),
+            F.array(lines(F.lit("system"), req["systemInstruction"]["parts"])),
+        ).otherwise(F.expr("array()"))
+        turns = F.transform(
+            req["contents"],
+            lambda c: lines(F.when(c["role"] == "model", F.lit("assistant")).otherwise(F.coalesce(c["role"], F.lit("user"))), c["parts"]),
+        )
+        return F.concat(system, F.coalesce(turns, F.expr("array()")))
+
+    return let(parse_struct(body, ddl), build)
 
 
 def _bedrock_entries(body: Column) -> Column:
-    req = parse_struct(
-        body,
+    ddl = (
         "system array<struct<text: string>>, messages array<struct<role: string, "
-        "content: array<struct<text: string, toolUse: struct<name: string>, toolResult: struct<content: array<struct<text: string>>>>>>>",
+        "content: array<struct<text: string, toolUse: struct<name: string>, toolResult: struct<content: array<struct<text: string>>>>>>>"
     )
-    system = F.when(
-        req["system"].isNotNull(),
-        F.array(F.transform(req["system"], lambda s: _entry(F.lit("system"), "text", s["text"]))),
-    ).otherwise(F.expr("array()"))
 
     def one(m: Column) -> Column:
         return F.transform(
@@ -398,7 +394,14 @@ def _bedrock_entries(body: Column) -> Column:
             ),
         )
 
-    return F.concat(system, F.coalesce(F.transform(req["messages"], one), F.expr("array()")))
+    def build(req: Column) -> Column:
+        system = F.when(
+            req["system"].isNotNull(),
+            F.array(F.transform(req["system"], lambda s: _entry(F.lit("system"), "text", s["text"]))),
+        ).otherwise(F.expr("array()"))
+        return F.concat(system, F.coalesce(F.transform(req["messages"], one), F.expr("array()")))
+
+    return let(parse_struct(body, ddl), build)
 
 
 def normalize_messages(
@@ -791,12 +794,15 @@ def classify_mcp_error(df: DataFrame, code: str = "error_code") -> DataFrame:
 
 def classify_joined_mcp_errors(df: DataFrame, keys: list[str], code: str = "error_code", order: str = "err_idx") -> DataFrame:
     """Joined errors: the first label that is not internal, else internal."""
-    label = mcp_error_label(F.col(code))
-    specific = label != "internal_error"
-    return df.groupBy(*keys).agg(
-        F.coalesce(
-            F.min_by(F.when(specific, label), F.when(specific, F.col(order))), F.max(label)
-        ).alias("mcp_error_type")
+    # Codes, not labels, go through the aggregate: fixed-width values need no sort.
+    specific = F.col(code).isin(*JSONRPC_ERRORS)
+    first = F.min_by(F.when(specific, F.col(code)), F.when(specific, F.col(order)))
+    agg = df.groupBy(*keys).agg(first.alias("_code"), F.count(F.col(code)).alias("_n"))
+    return agg.select(
+        *keys,
+        F.when(F.col("_code").isNotNull(), mcp_error_label(F.col("_code")))
+        .when(F.col("_n") > 0, "internal_error")
+        .alias("mcp_error_type"),
     )
 
 

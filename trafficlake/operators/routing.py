@@ -45,14 +45,8 @@ def match_route(requests: DataFrame, rules: DataFrame, model: str = "model", hea
         F.array_sort(F.collect_list(entry)).alias("_rules")
     )
     named = small_side(per_model.where(F.col("_model") != ANY_MODEL))
-    general = small_side(per_model.where(F.col("_model") == ANY_MODEL)).select(
-        F.col("_model").alias("_any"), F.col("_rules").alias("_general")
-    )
-    joined = (
-        requests.join(named, F.col(model) == F.col("_model"), "left")
-        .withColumn("_star", F.lit(ANY_MODEL))
-        .join(general, F.col("_star") == F.col("_any"), "left")
-    )
+    general = per_model.where(F.col("_model") == ANY_MODEL).select("_rules").scalar()
+    joined = requests.join(named, F.col(model) == F.col("_model"), "left").withColumn("_general", general)
 
     def first_hit(rule_list: Column) -> Column:
         hits = F.filter(
@@ -65,7 +59,7 @@ def match_route(requests: DataFrame, rules: DataFrame, model: str = "model", hea
 
     return joined.withColumn(
         "rule_idx", F.least(first_hit(F.col("_rules")), first_hit(F.col("_general")))
-    ).drop("_model", "_rules", "_any", "_general", "_star")
+    ).drop("_model", "_rules", "_general")
 
 
 @dataclass(frozen=True)

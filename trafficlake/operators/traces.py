@@ -162,11 +162,16 @@ def chat_request(body: Column) -> Column:
     return let(parse_struct(body, "model string, tools array<string>"), build)
 
 
+def _texts(body: Column, name: str, plain: Column) -> Column:
+    """A text or a list of texts as a list; lists of token ids give none."""
+    many = F.from_json(body, f"{name} array<string>")[name]
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant"))
+    return let(many, lambda m: F.when(m.isNull(), F.array(plain)).when(kind == "ARRAY<STRING>", m))
+
+
 def embeddings_request(body: Column) -> Column:
     def build(req: Column) -> Column:
-        many = F.from_json(body, "input array<string>")["input"]
-        numeric = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.input", "variant"))
-        texts = F.when(many.isNull(), F.array(req["input"])).when(numeric == "ARRAY<STRING>", many)
+        texts = _texts(body, "input", req["input"])
         params = F.to_json(
             F.struct(*[req[c].alias(c) for c in ("model", "encoding_format", "dimensions", "user")])
         )
@@ -180,9 +185,7 @@ def embeddings_request(body: Column) -> Column:
 
 def completions_request(body: Column) -> Column:
     def build(req: Column) -> Column:
-        many = F.from_json(body, "prompt array<string>")["prompt"]
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.prompt", "variant"))
-        texts = F.when(many.isNull(), F.array(req["prompt"])).when(kind == "ARRAY<STRING>", many)
+        texts = _texts(body, "prompt", req["prompt"])
         return as_map(
             F.array(*_head("LLM", "openai", body), _kv(MODEL, req["model"]), _kv(PARAMETERS, without_keys(body, "prompt"))),
             F.transform(texts, lambda x, i: _kv(_name(f"{PROMPTS}.", i, ".prompt.text"), x)),
@@ -201,69 +204,72 @@ _ITEM_PARTS = "array<struct<type: string, text: string, refusal: string, image_u
 def _item_attrs(item: Column, i: Column, output: bool) -> Column:
     """Attributes of one typed item of a responses request (input) or response (output)."""
     prefix = OUTPUT_MESSAGES if output else INPUT_MESSAGES
-    p = F.from_json(item, _ITEM)
-    parts = F.from_json(item, f"content {_ITEM_PARTS}")["content"]
-    kind = F.coalesce(p["type"], F.when(p["role"].isNotNull(), F.lit("message")))
-
-    def field(suffix: str, value: str | Column) -> Column:
-        return _kv(_name(f"{prefix}.", i, f".{suffix}"), value)
-
-    def call(identity: Column, name: Column | None = None, arguments: Column | None = None) -> list[Column]:
-        base = "message.tool_calls.0.tool_call."
-        out = [field(base + "id", identity)]
-        if name is not None:
-            out.append(field(base + "function.name", name))
-        if arguments is not None:
-            out.append(field(base + "function.arguments", arguments))
-        return out
-
-    assistant, tool = field("message.role", "assistant"), field("message.role", "tool")
-    output_json = F.to_json(F.try_variant_get(F.try_parse_json(item), "$.output", "variant"))
-    answer = F.array(tool, field("tool_call.id", p["call_id"]), field("message.content", output_json))
-
-    def part(x: Column, j: Column) -> Column:
-        return (
-            F.when(x["type"].isin("input_text", "output_text"), _part_pair(prefix, i, j, "text", x["text"], "text"))
-            .when(x["type"] == "refusal", _part_pair(prefix, i, j, "text", x["refusal"], "text"))
-            .when(
-                (x["type"] == "input_image") & F.lit(not output),
-                _part_pair(prefix, i, j, "image.image.url", x["image_url"], "image"),
+
+    def build(p: Column, parts: Column) -> Column:
+        kind = F.coalesce(p["type"], F.when(p["role"].isNotNull(), F.lit("message")))
+
+        def field(suffix: str, value: str | Column) -> Column:
+            return _kv(_name(f"{prefix}.", i, f".{suffix}"), value)
+
+        def call(identity: Column, name: Column | None = None, arguments: Column | None = None) -> list[Column]:
+            base = "message.tool_calls.0.tool_call."
+            out = [field(base + "id", identity)]
+            if name is not None:
+                out.append(field(base + "function.name", name))
+            if arguments is not None:
+                out.append(field(base + "function.arguments", arguments))
+            return out
+
+        assistant, tool = field("message.role", "assistant"), field("message.role", "tool")
+        output_json = F.to_json(F.try_variant_get(F.try_parse_json(item), "$.output", "variant"))
+        answer = F.array(tool, field("tool_call.id", p["call_id"]), field("message.content", output_json))
+
+        def part(x: Column, j: Column) -> Column:
+            return (
+                F.when(x["type"].isin("input_text", "output_text"), _part_pair(prefix, i, j, "text", x["text"], "text"))
+                .when(x["type"] == "refusal", _part_pair(prefix, i, j, "text", x["refusal"], "text"))
+                .when(
+                    (x["type"] == "input_image") & F.lit(not output),
+                    _part_pair(prefix, i, j, "image.image.url", x["image_url"], "image"),
+                )
+                .otherwise(_none())
             )
-            .otherwise(_none())
-        )
 
-    # Replayed and produced assistant messages with plain text count as one text part.
-    produced = F.lit(output) | (p["id"].isNotNull() & (p["role"] == "assistant"))
-    plain = F.when(
-        produced, _part_pair(prefix, i, F.lit(0), "text", p["content"], "text")
-    ).otherwise(F.array(field("message.content", p["content"])))
-    message = F.concat(
-        F.array(field("message.role", p["role"])),
-        F.when(parts.isNotNull(), _all(F.transform(parts, part))).otherwise(plain),
-    )
-    thoughts = p["summary"] if output else F.transform(
-        p["summary"], lambda s: F.when(s["type"] == "summary_text", s)
-    )
-    reasoning = _all(F.transform(thoughts, lambda s, j: _part_pair(prefix, i, j, "text", s["text"], "text")))
-    if not output:
-        reasoning = F.concat(F.array(assistant), reasoning)
-    wrapped = F.to_json(F.struct(p["input"].alias("input")))
-    computer = F.array(
-        assistant, field("message.tool_calls.0.message.role", "tool"), *call(p["call_id"])
-    )
-    out = (
-        F.when(kind == "message", message)
-        .when(kind.isin("file_search_call", "web_search_call"), F.array(assistant, *call(p["id"], p["type"])))
-        .when(kind == "computer_call", computer)
-        .when(kind == "function_call", F.array(assistant, *call(p["call_id"], p["name"], p["arguments"])))
-        .when(kind == "custom_tool_call", F.array(assistant, *call(p["call_id"], p["name"], wrapped)))
-        .when(kind == "reasoning", reasoning)
-    )
-    if not output:
-        out = out.when(
-            kind.isin("function_call_output", "computer_call_output", "custom_tool_call_output"), answer
+        # Replayed and produced assistant messages with plain text count as one text part.
+        produced = F.lit(output) | (p["id"].isNotNull() & (p["role"] == "assistant"))
+        plain = F.when(
+            produced, _part_pair(prefix, i, F.lit(0), "text", p["content"], "text")
+        ).otherwise(F.array(field("message.content", p["content"])))
+        message = F.concat(
+            F.array(field("message.role", p["role"])),
+            F.when(parts.isNotNull(), _all(F.transform(parts, part))).otherwise(plain),
+        )
+        thoughts = p["summary"] if output else F.transform(
+            p["summary"], lambda s: F.when(s["type"] == "summary_text", s)
+        )
+        reasoning = _all(F.transform(thoughts, lambda s, j: _part_pair(prefix, i, j, "text", s["text"], "text")))
+        if not output:
+            reasoning = F.concat(F.array(assistant), reasoning)
+        wrapped = F.to_json(F.struct(p["input"].alias("input")))
+        computer = F.array(
+            assistant, field("message.tool_calls.0.message.role", "tool"), *call(p["call_id"])
         )
-    return out.otherwise(_none())
+        out = (
+            F.when(kind == "message", message)
+            .when(kind.isin("file_search_call", "web_search_call"), F.array(assistant, *call(p["id"], p["type"])))
+            .when(kind == "computer_call", computer)
+            .when(kind == "function_call", F.array(assistant, *call(p["call_id"], p["name"], p["arguments"])))
+            .when(kind == "custom_tool_call", F.array(assistant, *call(p["call_id"], p["name"], wrapped)))
+            .when(kind == "reasoning", reasoning)
+        )
+        if not output:
+            out = out.when(
+                kind.isin("function_call_output", "computer_call_output", "custom_tool_call_output"), answer
+            )
+        return out.otherwise(_none())
+
+    parts_of = F.from_json(item, f"content {_ITEM_PARTS}")["content"]
+    return let(F.from_json(item, _ITEM), lambda p: let(parts_of, lambda parts: build(p, parts)))
 
 
 def responses_request(body: Column, max_image: int = MAX_IMAGE_URL) -> Column:

@@ -46,8 +46,8 @@ def _(t: Tables):
     return H.weighted_backend(t.llm_requests.select("request_id"), refs)
 
 
-ATTEMPTS = """SELECT request_id, a.attempt, concat('b', CAST(a.attempt AS STRING)) AS backend, success AND a.attempt = 1 + request_id % 3 AS success
-  FROM {r} JOIN (VALUES (1), (2), (3)) AS a(attempt) ON a.attempt <= 1 + request_id % 3"""
+ATTEMPTS = """SELECT request_id, attempt, concat('b', attempt) AS backend, success AND attempt = 1 + request_id % 3 AS success
+  FROM {r} LATERAL VIEW explode(sequence(1, 1 + CAST(request_id % 3 AS INT))) a AS attempt"""
 
 
 @query(
