@@ -131,7 +131,7 @@ def _bucket_sql(mode: str) -> str:
   SELECT request_id, allowed FROM f"""
 
 
-@query("bucket_mode_exclusive", REQ.replace("WITH ", "WITH RECURSIVE ", 1) + _bucket_sql("Exclusive"))
+@query("bucket_mode", REQ.replace("WITH ", "WITH RECURSIVE ", 1) + _bucket_sql("Exclusive"))
 def _(t: Tables):
     return _bucketed(t, "Exclusive")
 

@@ -322,8 +322,8 @@ class _Inflight(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         gauge = self.state.get()[0] if self.state.exists() else 0
-        pdf = _sorted_rows(rows, ["at_us"])
-        net = pdf.groupby("at_us", sort=True)["delta"].sum()
+        # Frames are netted one by one; only distinct instants are kept.
+        net = pd.concat([f.groupby("at_us")["delta"].sum() for f in rows]).groupby(level=0).sum().sort_index()
         values = net.cumsum() + gauge
         self.state.update((int(values.iloc[-1]),))
         yield pd.DataFrame({"at_us": values.index.astype("int64"), "inflight": values.to_numpy()})
