@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from trafficlake.operators import quota as Q
 from trafficlake.plans.running import prior_totals

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..plans.running import HOT_ROWS, prior_totals
 from ..plans.small import small_side
-from .usage import USAGE
 
 # Seconds per duration suffix (no suffix means seconds) and per limit unit.
 DURATION_SECONDS = {"s": 1, "m": 60, "h": 3600}

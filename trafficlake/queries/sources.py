@@ -25,10 +25,9 @@ MCP = with_views("mcp_calls")
 LOG_LINES = """SELECT to_json(named_struct('gen_ai.request.model', original_model, 'gen_ai.response.model', coalesce(model_override, original_model),
     'gen_ai.provider.name', concat('default/b', request_id % 4, '/route/r/rule/0/ref/0'),
     'gen_ai.usage.input_tokens', CASE WHEN request_id % 3 = 0 THEN '-' ELSE CAST(input_tokens AS STRING) END, 'gen_ai.usage.output_tokens', output_tokens,
-    'session.id', CASE WHEN request_id % 5 = 0 THEN '-' ELSE session_id END, 'start_time', date_format(timestamp_micros(start_us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+    'session.id', CASE WHEN request_id % 5 = 0 THEN '-' ELSE session_id END, 'start_time', date_format(start_ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
     'response_code', status, 'duration', duration_ms, 'x-envoy-upstream-service-time', CAST(duration_ms AS STRING), 'x-request-id', CAST(request_id AS STRING),
-    'response_flags', '-', ':authority', 'api.example'), map('ignoreNullFields', CASE WHEN true THEN 'false' END)) AS value FROM {r}"""
-LOG_LINES = LOG_LINES.replace("map('ignoreNullFields', CASE WHEN true THEN 'false' END)", "map('ignoreNullFields', 'false')")
+    'response_flags', '-', ':authority', 'api.example'), map('ignoreNullFields', 'false')) AS value FROM {r}"""
 
 
 def write_lines(t: Tables, lines, label: str) -> str:
