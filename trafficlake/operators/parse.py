@@ -454,13 +454,15 @@ def parse_sse(df: DataFrame, payload: str = "payload", key: str = "request_id")
 
 def parse_jsonrpc(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``kind, id, method, params, result, error_code, error_message`` of a JSON-RPC 2.0 message."""
-    text = F.regexp_replace(F.regexp_replace(F.col(raw), r"^\s+|\s+$", ""), "^﻿", "")
+    trimmed = F.call_function("btrim", F.col(raw), F.lit(" \t\n\r\f\v"))
+    bare = F.when(trimmed.startswith("\ufeff"), F.substring(trimmed, 2, 2**31 - 1)).otherwise(trimmed)
+    text = F.col("_text")
     msg = F.from_json(
         text,
         "jsonrpc string, id string, method string, params string, result string, "
         "error struct<code: bigint, message: string>",
     )
-    tmp = df.withColumn("_m", msg)
+    tmp = df.withColumn("_text", bare).withColumn("_m", msg)
     ok = json_object_ok(text) & F.coalesce(F.col("_m.jsonrpc") == "2.0", F.lit(False))
     has_method = F.coalesce(F.col("_m.method") != "", F.lit(False))
     answered = F.col("_m.result").isNotNull() | F.col("_m.error").isNotNull()
@@ -477,7 +479,7 @@ def parse_jsonrpc(df: DataFrame, raw: str = "raw") -> DataFrame:
     return computed_once(
         tmp.withColumn("_kind", kind),
         {"kind": F.col("_kind"), **{out: F.when(valid, F.col(f"_m.{src}")) for out, src in fields.items()}},
-    ).drop("_m", "_kind")
+    ).drop("_m", "_kind", "_text")
 
 
 def _split_first(df: DataFrame, source: str, sep: str, right: str) -> DataFrame:
