@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from trafficlake import queries as library
 from tools.check_oracle import TABLES, canon
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = library.QUERIES, library.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="generated tables not present")
 

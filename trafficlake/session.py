@@ -30,7 +30,8 @@ def local_session(cpus: int | str = 8, app: str = "trafficlake", memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the session names one.
 
-    Only a session without that setting (tests, local runs) falls back to a temporary folder.
+    Only a local session without that setting (tests) falls back to a temporary folder; on a cluster its absence
+    is an error, as executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -38,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     existing = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="trafficlake-")
 
 
