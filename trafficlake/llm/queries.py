@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_codes
+from . import impact_search, minhash, mixing, near_vectors, packing, quality, repeats, token_codes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_nnpu_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_impact_topk")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -42,3 +52,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_source_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op6_pca_near_vectors")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_bwt_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_hyperminhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op10_additive_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
