@@ -63,7 +63,7 @@ def mix_sources(
     Equal hashes (repeated ids) are ordered by size, then text hash; rows equal in all of these share the goal's border
     in any order. Null sources form one source. An empty table gives no rows.
     """
-    own = [k for k in keep if k not in ("doc_id", "size", "source")]
+    own = [k for k in keep if k not in ("doc_id", "size", "source_size", "target", "taken", "copies")]
     rows = docs.select(
         F.col("doc_id"),
         F.col("source"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact_search, minhash, mixing, near_vectors, packing, quality, repeats, token_codes, toxicity
+from . import impact_search, lines, minhash, mixing, near_vectors, packing, quality, repeats, token_codes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op8_line_winnowing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeated_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
 @query("op9_hyperminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
