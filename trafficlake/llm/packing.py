@@ -151,18 +151,23 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Plan for all pieces of ``histogram`` (length to count; lengths from 1 to ``capacity``).
 
     Rounding: configurations by falling amount, each as often as its amount rounded up and what is left allow; the
-    pieces that remain go by best fit, longest first. That also packs small inputs, where amounts are below one.
+    pieces that remain go by best fit, longest first. That also packs small inputs, where amounts are below one. Amounts
+    below a limit are left to the best fit instead; the limit that needs the fewest sequences is kept.
     """
+    lengths = np.array(sorted(n for n in histogram if n < capacity and histogram[n]), dtype=np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], dtype=np.int64)
+    solved = sorted(solve_configurations(lengths, counts, capacity), key=lambda x: -x[1]) if len(lengths) else []
+    return min((_rounded(histogram, lengths, counts, solved, capacity, limit) for limit in (0.0, 1.0, 8.0, np.inf)), key=lambda p: p.n_sequences)
+
+
+def _rounded(histogram: dict[int, int], lengths: np.ndarray, counts: np.ndarray, solved: list, capacity: int, limit: float) -> Plan:
+    """Plan from fractional amounts; those below ``limit`` are not rounded up to sequences."""
     plan = Plan(capacity)
     if histogram.get(capacity):
         plan.add({capacity: 1}, histogram[capacity])
-    lengths = np.array(sorted(n for n in histogram if n < capacity and histogram[n]), dtype=np.int64)
-    if not len(lengths):
-        return plan
-    counts = np.array([histogram[n] for n in lengths.tolist()], dtype=np.int64)
     left = counts.copy()
-    for config, amount in sorted(solve_configurations(lengths, counts, capacity), key=lambda x: -x[1]):
-        copies = min(int(np.ceil(amount)), *(int(left[k] // a) for k, a in config.items()))
+    for config, amount in solved:
+        copies = min(int(np.ceil(amount)), *(int(left[k] // a) for k, a in config.items())) if amount >= limit else 0
         if copies > 0 and sum(int(lengths[k]) * a for k, a in config.items()) >= capacity - capacity // 512:
             for k, a in config.items():
                 left[k] -= copies * a
