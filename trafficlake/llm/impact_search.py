@@ -25,6 +25,7 @@ BLOCK = 4096
 QUERIES = 512
 #: Values up to which sums of products are exact in double precision (times the number of dimensions).
 _SAFE = 1 << 50
+_LONG = (1 << 63) - 1
 
 
 @dataclass
@@ -52,7 +53,8 @@ class Block:
         n, dims = self.values.shape
         if not self._safe(query):
             at = np.flatnonzero(self.ids != own)
-            exact = [int(sum(int(x) * int(y) for x, y in zip(self.values[i], query, strict=True))) for i in at]
+            exact = [sum(int(x) * int(y) for x, y in zip(self.values[i], query, strict=True)) for i in at]
+            exact = [max(-_LONG, min(_LONG, s)) for s in exact]
             return sorted(((s, int(self.ids[i])) for s, i in zip(exact, at, strict=True)), key=lambda x: (-x[0], x[1]))[:k], 0
         levels = self.begins.shape[1] - 1
         start = self.low[:, None] + self.width[:, None] * np.arange(levels)
@@ -137,7 +139,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Columns: query_id, rank (from 1), vec_id, score: integer inner product of floor(256 * x), ties to the smaller vec_id;
     fewer rows where there are fewer others of the same length. Rows without id and vectors that are null, empty or hold
     null or non-finite components take no part. Rows that repeat an id are each a query and a candidate of other ids;
-    a query's repeated rows give one answer, and a repeated candidate can fill several ranks. No queries give no rows.
+    scores beyond a long are held at its bounds; a query's repeated rows give one answer, and a repeated candidate can fill several ranks. No queries give no rows.
 
     Every group of queries meets every block of the index once; a task holds one of each.
     """
