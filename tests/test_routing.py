@@ -150,10 +150,15 @@ def test_config_diff_empty_when_reordered(spark):
     assert H.config_diff(a, a.orderBy(F.desc("v"))).isEmpty()
 
 
-def test_large_dimension_is_not_broadcast(spark):
-    from trafficlake.plans.small import small_side
-
-    big, fact = spark.range(50), spark.range(10)
-    assert "BroadcastHint" not in "".join(str(small_side(big, 10)._jdf.queryExecution().analyzed().toString()))
-    hinted = fact.join(small_side(big, 100), "id")._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in hinted
+def test_repeated_ids_pair_by_occurrence(spark, rows):
+    schema = "session string, backend string, id string, kind string, at_us long, method string, params string, result string, error_code long, error_message string"
+    m = [("s", "b", "1", k, at, "ping" if k == "request" else None, None, r, None, None) for k, at, r in (("request", 1, None), ("request", 5, None), ("response", 6, "x"), ("response", 9, "y"))]
+    out = rows(H.pair_jsonrpc(spark.createDataFrame(m, schema)), "requested_us")
+    assert [(r["requested_us"], r["answered_us"], r["result"]) for r in out] == [(1, None, None), (5, 6, "x")]
+
+
+def test_header_patterns_of_routes(spark, rows):
+    schema = "rule_idx int, match_idx int, model string, headers map<string,string>, header_patterns map<string,string>"
+    rules = spark.createDataFrame([(0, 0, None, {"a": "1"}, {"b": "x[0-9]+"}), (1, 0, None, None, {"b": "x.*"})], schema)
+    reqs = spark.createDataFrame([(1, "m", {"a": "1", "b": "x12"}), (2, "m", {"a": "1", "b": "x12y"}), (3, "m", {"b": "ax1"})], "id int, model string, headers map<string,string>")
+    assert [(r["id"], r["rule_idx"]) for r in rows(H.match_route(reqs, rules), "id")] == [(1, 0), (2, 1), (3, None)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tolerant import tolerant
 from .usage import USAGE, normalize_usage
 
 # Cost types and the counter each one reads.
@@ -70,9 +71,10 @@ def validate_cost_expression(spark: SparkSession, expr: str) -> None:
 
 
 def expression_cost(df: DataFrame, expr: str, out: str = "cost", error: str = "cost_error") -> DataFrame:
-    """Evaluate ``expr`` with unset counters as zero; a negative or NULL result is a row error.
+    """Evaluate ``expr`` with unset counters as zero; a negative or missing result is a row error.
 
-    The expression sees only ``model, backend`` and the six counters, whatever else ``df`` holds.
+    The expression sees only ``model, backend`` and the six counters, whatever else ``df`` holds. What fails in a row
+    (division by zero, a cast, an overflow, a difference below zero) is NULL there and ends no job.
     """
     zeroed = {
         c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")) if c in df.columns else F.lit(0).cast("bigint")
@@ -80,12 +82,16 @@ def expression_cost(df: DataFrame, expr: str, out: str = "cost", error: str = "c
     }
     texts = {c: F.col(c) if c in df.columns else F.lit("") for c in ("model", "backend")}
     closed = df.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in {**texts, **zeroed}.items()])
-    value = closed.withColumn("_v", F.expr(expr).cast("bigint"))
-    bad = F.col("_v").isNull() | (F.col("_v") < 0)
+    spark = df.sparkSession
+    value = closed.withColumns(
+        {"_v": F.expr(tolerant(spark, expr, unsigned=True)).try_cast("bigint"), "_signed": F.expr(tolerant(spark, expr)).try_cast("bigint")}
+    )
+    below = (F.col("_v") < 0) | (F.col("_v").isNull() & F.col("_signed").isNotNull())
+    bad = F.col("_v").isNull() | below
     return value.select(
         "_row.*",
         F.when(~bad, F.col("_v")).alias(out),
-        F.when(F.col("_v").isNull(), "no result").when(bad, "negative result").alias(error),
+        F.when(below, "negative result").when(bad, "no result").alias(error),
     )
 
 

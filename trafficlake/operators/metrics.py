@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_index, content_hash, exploded
 from ..plans.running import HOT_ROWS, prior_totals
-from ..plans.small import MAX_BROADCAST_ROWS
 from .parse import capability_flags, mcp_error_label
 from .usage import TOKEN_TYPES
 
@@ -179,16 +178,14 @@ def inflight_gauge(
 def cardinality_guard(df: DataFrame, labels: Sequence[str], order: str, cap: int) -> DataFrame:
     """Replace label sets past the first ``cap`` (by first appearance) with the overflow label.
 
-    Ordering runs over distinct label sets, not rows. The admitted sets are at most ``cap``, so they
-    are broadcast while ``cap`` is below the broadcast bound and shuffled otherwise.
+    Ordering runs over distinct label sets, not rows; equal first appearances are ordered by the labels. The admitted
+    sets are at most ``cap``; Spark broadcasts them when their size allows it.
     """
     cap = max(cap, 1)
     admitted = (
-        df.groupBy(*labels).agg(F.min(order).alias("_first")).orderBy("_first").limit(cap)
+        df.groupBy(*labels).agg(F.min(order).alias("_first")).orderBy("_first", *labels).limit(cap)
         .select(*[F.col(x).alias(f"_a_{x}") for x in labels], F.lit(True).alias("_ok"))
     )
-    if cap <= MAX_BROADCAST_ROWS:
-        admitted = F.broadcast(admitted)
     same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"_a_{x}")) for x in labels])
     joined = df.join(admitted, same, "left")
     over = F.col("_ok").isNull()
@@ -223,10 +220,16 @@ def audit_rollup(audit: DataFrame, by: Sequence[str] = ("route", "outcome"), sta
     )
 
 
-def silent_routes(routes: DataFrame, audit: DataFrame, at_us: str, now_us: int, hours: float) -> DataFrame:
-    """Routes without an audit event in the trailing hours."""
-    recent = audit.where((F.col(at_us) > now_us - int(hours * 3_600_000_000)) & (F.col(at_us) <= now_us))
-    return routes.join(recent.select("route").distinct(), "route", "left_anti")
+def silent_routes(routes: DataFrame, audit: DataFrame, at_us: str, hours: float, now_us: int | None = None) -> DataFrame:
+    """Routes without an audit event in the trailing hours before ``now_us``, or before the latest event.
+
+    One aggregation gives each route's last event; the latest of all is their maximum.
+    """
+    events = audit if now_us is None else audit.where(F.col(at_us) <= now_us)
+    last = events.groupBy("route").agg(F.max(at_us).alias("_last"))
+    now = last.agg(F.max("_last").alias("_now")) if now_us is None else audit.sparkSession.range(1).select(F.lit(now_us).alias("_now"))
+    recent = last.join(F.broadcast(now), F.col("_last") > F.col("_now") - int(hours * 3_600_000_000))  # one row
+    return routes.join(recent.select("route"), "route", "left_anti")
 
 
 def shadow_vs_enforce(calls: DataFrame, by: Sequence[str] = ("route",)) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.running import HOT_ROWS, prior_totals
-from ..plans.small import small_side
 
 # Seconds per duration suffix (no suffix means seconds) and per limit unit.
 DURATION_SECONDS = {"s": 1, "m": 60, "h": 3600}
@@ -90,7 +89,10 @@ class ClientSelector:
 
 
 def client_selectors(df: DataFrame, selectors: Sequence[ClientSelector], headers: str = "headers") -> DataFrame:
-    """Keep the requests a rule applies to and add ``client_key``, the budget they draw on."""
+    """Keep the requests a rule applies to and add ``client_key``, the budget they draw on.
+
+    The key is the JSON list of the distinguishing header values, so no two lists of values share a budget.
+    """
     parts, cond = [], F.lit(True)
     for s in selectors:
         value = F.try_element_at(F.col(headers), F.lit(s.header))
@@ -101,7 +103,7 @@ def client_selectors(df: DataFrame, selectors: Sequence[ClientSelector], headers
             parts.append(value)
         else:
             raise ValueError(f"unknown selector kind {s.kind!r}")
-    return df.where(cond).withColumn("client_key", F.concat_ws("|", *parts) if parts else F.lit(""))
+    return df.where(cond).withColumn("client_key", F.to_json(F.array(*parts)) if parts else F.lit("[]"))
 
 
 @dataclass(frozen=True)
@@ -152,7 +154,7 @@ def quota_resolution(requests: DataFrame, per_model: DataFrame, service: DataFra
     s = service.select(
         backend, F.col("limit").alias("_sl"), F.col("duration").alias("_sd"), F.col("expression").alias("_se")
     )
-    j = requests.join(small_side(m), [backend, model], "left").join(small_side(s), [backend], "left")
+    j = requests.join(m, [backend, model], "left").join(s, [backend], "left")
     own = F.coalesce(F.col("_own"), F.lit(False))
 
     def pick(a: str, b: str) -> Column:

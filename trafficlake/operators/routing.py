@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import computed_once, hash_roll, json_text
-from ..plans.small import small_side
+from ..functions.tolerant import tolerant
 from .parse import (
     CAPABILITY_BITS,
     TOOL_SEPARATOR,
@@ -36,15 +36,17 @@ ANY_MODEL = "*"
 def match_route(requests: DataFrame, rules: DataFrame, model: str = "model", headers: str = "headers") -> DataFrame:
     """Add ``rule_idx`` of the first matching route rule (NULL: none).
 
-    ``rules`` holds ``(rule_idx, match_idx, model, headers)``: every header of a match must hold, any
-    match of a rule suffices, a NULL model matches all. The rules are first collected per model (that
+    ``rules`` holds ``(rule_idx, match_idx, model, headers)`` and, if wanted, ``header_patterns`` (regular expressions
+    that the whole value must match): every header of a match must hold, any match of a rule suffices, a NULL model matches all. The rules are first collected per model (that
     is configuration, a few rows), so requests are joined once and never multiplied.
     """
-    entry = F.struct("rule_idx", "match_idx", F.coalesce(F.map_entries("headers"), F.expr("array()")).alias("headers"))
+    none = F.expr("cast(array() AS array<struct<key:string,value:string>>)")
+    patterns = F.coalesce(F.map_entries("header_patterns"), none) if "header_patterns" in rules.columns else none
+    entry = F.struct("rule_idx", "match_idx", F.coalesce(F.map_entries("headers"), F.expr("array()")).alias("headers"), patterns.alias("patterns"))
     per_model = rules.groupBy(F.coalesce("model", F.lit(ANY_MODEL)).alias("_model")).agg(
         F.array_sort(F.collect_list(entry)).alias("_rules")
     )
-    named = small_side(per_model.where(F.col("_model") != ANY_MODEL))
+    named = per_model.where(F.col("_model") != ANY_MODEL)
     general = per_model.where(F.col("_model") == ANY_MODEL).select("_rules").scalar()
     joined = requests.join(named, F.col(model) == F.col("_model"), "left").withColumn("_general", general)
 
@@ -53,6 +55,9 @@ def match_route(requests: DataFrame, rules: DataFrame, model: str = "model", hea
             rule_list,
             lambda r: F.forall(
                 r["headers"], lambda h: F.coalesce(F.try_element_at(F.col(headers), h["key"]) == h["value"], F.lit(False))
+            ) & F.forall(
+                r["patterns"],
+                lambda h: F.coalesce(F.regexp_like(F.try_element_at(F.col(headers), h["key"]), F.concat(F.lit("^(?:"), h["value"], F.lit(")$"))), F.lit(False)),
             ),
         )
         return F.try_element_at(hits, F.lit(1))["rule_idx"]
@@ -99,7 +104,7 @@ def fallback_outcome(attempts: DataFrame, keys: Sequence[str] = ("request_id",),
 def apply_model_override(requests: DataFrame, refs: DataFrame, backend: str = "backend", model: str = "original_model") -> DataFrame:
     """``request_model``: the override of the backend reference, else the original model."""
     o = refs.select(backend, F.nullif(F.col("model_override"), F.lit("")).alias("_override"))
-    return requests.join(small_side(o), backend, "left").withColumn("request_model", F.coalesce("_override", model)).drop("_override")
+    return requests.join(o, backend, "left").withColumn("request_model", F.coalesce("_override", model)).drop("_override")
 
 
 # --- mutations ------------------------------------------------------------------------------------
@@ -235,7 +240,7 @@ def select_tools(tools: DataFrame, selectors: DataFrame, keys: Sequence[str] = (
     s = selectors.select(
         *keys, *[F.coalesce(c, none).alias(f"_{c}") for c in ("include", "exclude", "include_regex", "exclude_regex")]
     )
-    j = tools.join(small_side(s), list(keys), "left")
+    j = tools.join(s, list(keys), "left")
     name = F.col(tool)
 
     def hits(c: str) -> Column:
@@ -340,7 +345,7 @@ def authorize_calls(
     decided_by: Column | None = None
     gaps: list[tuple[int, int, AuthRule, Column]] = []
     for i, r in enumerate(rules):
-        applies = F.coalesce(F.expr(r.condition), F.lit(False)) if r.condition else F.lit(True)
+        applies = F.coalesce(F.expr(tolerant(calls.sparkSession, r.condition)), F.lit(False)) if r.condition else F.lit(True)
         if r.targets:
             on_target = F.lit(False)
             for backend, tool in r.targets:
@@ -369,13 +374,16 @@ def authorize_calls(
     return out.withColumns({"allowed": allowed, "scope_challenge": shown}).drop("_payload", "_scopes", "_claims")
 
 
+# The scheme and texts of the challenge header.
+_CHALLENGE = 'Bearer {}'
+_CHALLENGE_ERROR = "insufficient_scope"
+_CHALLENGE_TEXT = "The token is missing required scopes"
+
+
 def scope_challenge(scopes: Sequence[str], resource_metadata: str = "") -> str:
-    """Header text naming the scopes a token lacks."""
-    parts = ['Bearer error="insufficient_scope"', f'scope="{" ".join(scopes)}"']
-    if resource_metadata:
-        parts.append(f'resource_metadata="{resource_metadata}"')
-    parts.append('error_description="The token is missing required scopes"')
-    return ", ".join(parts)
+    """Header text naming the scopes a token lacks; parameters without a value are left out."""
+    shown = {"error": _CHALLENGE_ERROR, "scope": " ".join(scopes), "resource_metadata": resource_metadata, "error_description": _CHALLENGE_TEXT}
+    return _CHALLENGE.format(", ".join(f'{name}="{value}"' for name, value in shown.items() if value or name == "scope"))
 
 
 # --- messages, batches, configuration -------------------------------------------------------------
@@ -384,18 +392,18 @@ def scope_challenge(scopes: Sequence[str], resource_metadata: str = "") -> str:
 def pair_jsonrpc(messages: DataFrame, keys: Sequence[str] = ("session", "backend"), order: str = "at_us") -> DataFrame:
     """Requests with their responses by (session, backend, id); unanswered ones keep NULLs.
 
-    Both kinds go through one aggregation instead of a join, so a busy session spreads by its ids and
-    nothing is multiplied. Ids are unique in a session; of a repeated one the first message counts.
+    A repeated id pairs by occurrence in time: an answer belongs to the latest request of its id that came before it,
+    and of several answers to one request the first counts. Every request gives one row. Requests at the same time are
+    told apart by method and parameters. The window holds the messages of one id in one session.
     """
-    req, resp = F.col("kind") == "request", F.col("kind") == "response"
-
-    def first(cond: Column, *cols: str) -> Column:
-        return F.min_by(F.when(cond, F.struct(order, *cols)), F.when(cond, F.col(order)))
-
-    pairs = messages.where(req | resp).groupBy(*keys, "id").agg(
-        first(req, "method", "params").alias("_q"), first(resp, "result", "error_code", "error_message").alias("_a")
-    )
-    return pairs.where("_q IS NOT NULL").select(
+    asked = F.col("kind") == "request"
+    near = Window.partitionBy(*keys, "id").orderBy(order, F.when(asked, 0).otherwise(1), "method", "params").rowsBetween(Window.unboundedPreceding, 0)
+    turn = messages.where(F.col("kind").isin("request", "response")).withColumn("_turn", F.sum(asked.cast("int")).over(near))
+    cols = ["result", "error_code", "error_message"]
+    answer = F.when(~asked, F.struct(order, *cols))
+    question = F.max(F.when(asked, F.struct(order, "method", "params")))
+    pairs = turn.where("_turn > 0").groupBy(*keys, "id", "_turn").agg(question.alias("_q"), F.min(answer).alias("_a"))
+    return pairs.select(
         *keys, "id", "_q.method", "_q.params",
         F.col(f"_q.{order}").alias("requested_us"),
         F.col(f"_a.{order}").alias("answered_us"),

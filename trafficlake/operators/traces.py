@@ -288,7 +288,7 @@ def responses_request(body: Column, max_image: int = MAX_IMAGE_URL) -> Column:
         listed = _all(F.transform(items, lambda x, i: _item_attrs(x, i + first, output=False)))
         # Long inline images are replaced in the recorded body as well.
         shown = F.regexp_replace(
-            body, '"data:image/[^"]{0,64}base64[^"]{' + str(max_image) + ',}"', f'"{TRACE_PLACEHOLDER}"'
+            body, '"data:image/[^",]*base64[^"]{' + str(max_image) + ',}"', f'"{TRACE_PLACEHOLDER}"'
         )
         return as_map(
             F.array(
@@ -607,7 +607,7 @@ def build_spans(
     """One span row per request: name, attributes, status and the exception of a failed one.
 
     Reads ``operation, request_body, response_body, status``. Request attributes, header attributes
-    and, for successes, response attributes are merged; later ones win.
+    and, for successes, response attributes are merged; later ones win, also among headers mapped to one attribute.
     """
     op, status = F.col("operation"), F.col("status")
     ok = F.coalesce(status.between(200, 299), F.lit(False))
@@ -620,8 +620,11 @@ def build_spans(
                 case = F.when(op == name, built) if case is None else case.when(op == name, built)
         return F.lit(None).cast("map<string,string>") if case is None else case
 
+    sources: dict[str, list[str]] = {}  # attribute to its headers, the last mapping first
+    for h, a in (header_mapping or {}).items():
+        sources.setdefault(a, []).insert(0, h)
     extra = F.array(
-        *[_kv(a, F.try_element_at(F.col(headers), F.lit(h))) for h, a in (header_mapping or {}).items()]
+        *[_kv(a, F.coalesce(*[F.try_element_at(F.col(headers), F.lit(h)) for h in hs])) for a, hs in sources.items()]
     ).cast(_ENTRY)
     tmp = df.withColumns(
         {

@@ -41,13 +41,33 @@ def _(t: Tables):
     "cost_expression",
     REQ
     + f""", v AS (SELECT request_id, CASE WHEN coalesce(model_override, original_model) = 'model-1'
-        THEN (input_tokens - coalesce(cached_input_tokens, 0) - coalesce(cache_creation_input_tokens, 0)) * coalesce(output_tokens, 0) ELSE total_tokens END AS c FROM ({TOTALLED}))
-  SELECT request_id, CASE WHEN c >= 0 THEN c END AS cost, CASE WHEN c < 0 THEN 'negative result' END AS cost_error FROM v""",
+        THEN nullif(greatest(input_tokens - coalesce(cached_input_tokens, 0) - coalesce(cache_creation_input_tokens, 0), -1), -1) * coalesce(output_tokens, 0)
+        ELSE total_tokens END AS c FROM ({TOTALLED}))
+  SELECT request_id, c AS cost, CASE WHEN c IS NULL THEN 'negative result' END AS cost_error FROM v""",
 )
 def _(t: Tables):
     return C.cost_expression(priced(t), EXPR).select("request_id", "cost", "cost_error")
 
 
+@query(
+    "cost_expression_errors",
+    REQ
+    + f""", u AS (SELECT request_id, input_tokens AS i, coalesce(output_tokens, 0) AS o, total_tokens AS t FROM ({TOTALLED})),
+  c AS (SELECT request_id, i, CASE WHEN i > 50 THEN o // (i - 50) END AS divided, CASE WHEN i >= 60 THEN i - 60 + 100 END AS less,
+    CASE WHEN t <= 922 THEN t * 10000000000000000 END AS large, CASE WHEN i % 3 <> 0 THEN CAST(7 AS BIGINT) END AS cast_ FROM u)
+  SELECT * EXCLUDE (i), CASE WHEN i < 50 THEN 'negative result' WHEN i = 50 THEN 'no result' END AS divided_error, CASE WHEN less IS NULL THEN 'negative result' END AS less_error,
+    CASE WHEN large IS NULL THEN 'no result' END AS large_error, CASE WHEN cast_ IS NULL THEN 'no result' END AS cast_error FROM c""",
+)
+def _(t: Tables):
+    out = priced(t)
+    for name, expr in (
+        ("divided", "output_tokens DIV (input_tokens - 50)"), ("less", "(input_tokens - 60) + 100"), ("large", "total_tokens * 10000000000000000"),
+        ("cast_", "CAST(CASE WHEN input_tokens % 3 = 0 THEN model || 'x' ELSE '7' END AS BIGINT)"),
+    ):
+        out = C.expression_cost(out, expr, name, f"{name.rstrip('_')}_error")
+    return out.select("request_id", "divided", "less", "large", "cast_", "divided_error", "less_error", "large_error", "cast_error")
+
+
 @query(
     "cost_metadata",
     REQ

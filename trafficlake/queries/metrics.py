@@ -246,8 +246,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     audit = t.sql("SELECT concat('user-', user_id) AS route, {us} AS at_us FROM {e}", e=t.events)
-    now = audit.agg(F.max("at_us")).first()[0]
-    return M.silent_routes(audit.select("route").distinct(), audit, "at_us", now, 24)
+    return M.silent_routes(audit.select("route").distinct(), audit, "at_us", 24)
 
 
 @query(

@@ -33,7 +33,7 @@ def _(t: Tables):
 
 @query(
     "client_selectors",
-    "SELECT user_id AS client, count(*) AS n FROM (SELECT CAST(user_id AS STRING) AS user_id FROM events WHERE event_type = 'click' AND event_id % 4 <> 0) GROUP BY 1",
+    "SELECT concat('[\"', user_id, '\"]') AS client, count(*) AS n FROM (SELECT CAST(user_id AS STRING) AS user_id FROM events WHERE event_type = 'click' AND event_id % 4 <> 0) GROUP BY 1",
 )
 def _(t: Tables):
     r = t.sql(

@@ -223,6 +223,47 @@ def _(t: Tables):
     return H.authorize_calls(auth_calls(t), AUTH_RULES).select("event_id", "scope_challenge")
 
 
+@query(
+    "authorize_failing_condition",
+    """WITH e AS (SELECT event_id, event_type, user_id FROM events)
+   SELECT event_id, CASE WHEN user_id % 4 = 1 AND user_id > 30 THEN 0 WHEN user_id % 4 >= 2 AND 1000 // (user_id % 4 - 1) > 500 THEN 1 END AS rule_idx,
+     coalesce(CASE WHEN user_id % 4 = 1 AND user_id > 30 THEN true WHEN user_id % 4 >= 2 AND 1000 // (user_id % 4 - 1) > 500 THEN false END, false) AS allowed FROM e""",
+)
+def _(t: Tables):
+    calls = t.sql(
+        """SELECT event_id, 'b' AS backend, event_type AS tool, '' AS authorization, user_id % 4 AS part,
+             CASE WHEN user_id % 4 = 1 THEN CAST(user_id AS STRING) ELSE event_type END AS arg FROM {e}""",
+        e=t.events,
+    )
+    rules = [H.AuthRule("Allow", condition="CAST(arg AS INT) > 30"), H.AuthRule("Deny", condition="part > 0 AND 1000 DIV (part - 1) > 500")]
+    return H.authorize_calls(calls, rules).select("event_id", "rule_idx", "allowed")
+
+
+@query(
+    "pair_repeated_ids",
+    MCP
+    + """, m AS (SELECT route AS session, CAST(call_id % 3 AS STRING) AS id, start_us AS t0, call_id FROM mcp_calls),
+   q AS (SELECT *, row_number() OVER (PARTITION BY session, id ORDER BY t0, call_id) AS n FROM m)
+   SELECT session, id, t0 AS requested_us, CASE WHEN n % 2 = 0 THEN t0 END AS answered_us, n % 2 = 0 AS answered,
+     CASE WHEN n % 2 = 0 THEN concat('{"n":', CAST(call_id AS STRING), '}') END AS result FROM q""",
+)
+def _(t: Tables):
+    return H.pair_jsonrpc(repeated_ids(t), keys=("session",)).select("session", "id", "requested_us", "answered_us", "answered", "result")
+
+
+def repeated_ids(t: Tables):
+    """Messages whose ids come again in a session; every second request is answered at once, some twice."""
+    return t.sql(
+        """SELECT session, id, at + CASE WHEN x.result LIKE '%late%' THEN 1 ELSE 0 END AS at_us, x.kind, CASE WHEN x.kind = 'request' THEN 'tools/call' END AS method,
+             CASE WHEN x.kind = 'request' THEN lpad(call_id, 12, '0') END AS params, x.result, CAST(NULL AS BIGINT) AS error_code, CAST(NULL AS STRING) AS error_message
+           FROM (SELECT *, row_number() OVER (PARTITION BY session, id ORDER BY at, call_id) AS n FROM
+             (SELECT route AS session, CAST(call_id % 3 AS STRING) AS id, start_us AS at, call_id FROM {m}))
+           LATERAL VIEW explode(CASE WHEN n % 2 = 0 THEN array(struct('request' AS kind, CAST(NULL AS STRING) AS result), struct('response' AS kind, to_json(named_struct('n', call_id)) AS result),
+             struct('response' AS kind, to_json(named_struct('n', call_id, 'late', 1)) AS result)) ELSE array(struct('request' AS kind, CAST(NULL AS STRING) AS result)) END) e AS x""",
+        m=t.mcp_calls,
+    )
+
+
 def mcp_messages(t: Tables):
     """Requests of all calls and responses of most of them, as parsed JSON-RPC."""
     raw = t.sql(

@@ -26,10 +26,14 @@ def write_audit_events(audit: DataFrame, path: str, mode: str = "append") -> Non
 
 
 def export_nonempty(stream: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """A stream writer that calls ``sink`` only for micro-batches holding rows."""
+    """A stream writer that calls ``sink`` only for micro-batches holding rows; the batch is computed once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            sink(batch, batch_id)
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write)
