@@ -151,3 +151,10 @@ def test_filter_above_parsed_columns_is_not_copied(spark):
     df = spark.createDataFrame([("{}",)], "raw string")
     plan = P.parse_jsonrpc(df).where(F.col("kind") == "request").select("id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_tool_calls_and_unknown_schemas_give_rows(spark, rows):
+    body = '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null,"tool_calls":[{"id":"c1","function":{"name":"look","arguments":"{}"}}]}]}'
+    df = spark.createDataFrame([(1, "OpenAI", body), (2, "Other", body)], "request_id int, api_schema string, request_body string")
+    out = [(r["request_id"], r["msg_idx"], r["part_type"], r["text"], r["error"] is not None) for r in rows(P.normalize_messages(df), "request_id", "msg_idx")]
+    assert out == [(1, 0, "text", "hi", False), (1, 1, "tool_use", "look", False), (2, 0, None, None, True)]

@@ -303,7 +303,15 @@ def _openai_entries(body: Column) -> Column:
         plain = F.array(_entry(m["role"], "text", m["text"]))
         return F.when(m["blocks"].isNotNull(), listed).when(m["text"].isNotNull(), plain)
 
-    return F.transform(_text_or_blocks(body, "struct<type: string, text: string>"), one)
+    none = F.expr("cast(array() AS array<struct<role: string, part_type: string, text: string, error: string>>)")
+    calls = parse_struct(body, "messages array<struct<role: string, tool_calls: array<struct<function: struct<name: string>>>>>")["messages"]
+    said = F.transform(_text_or_blocks(body, "struct<type: string, text: string>"), one)
+
+    def with_calls(rows: Column, m: Column) -> Column:
+        used = F.transform(m["tool_calls"], lambda c: _entry(m["role"], F.lit("tool_use"), c["function"]["name"]))
+        return F.concat(F.coalesce(rows, none), F.coalesce(used, none))
+
+    return F.zip_with(said, calls, with_calls)
 
 
 def _anthropic_entries(body: Column) -> Column:
@@ -410,6 +418,8 @@ def normalize_messages(
     """Provider bodies to one canonical message table, in a single pass over the requests.
 
     Output ``(key, msg_idx, part_idx, role, part_type, text, error)``; system prompts come first.
+    Tool calls of an assistant are ``tool_use`` parts with the function's name, after its text. A schema without a known
+    form gives one row with an error.
     """
     s, b = F.col(schema), F.col(body)
     entries = (
@@ -417,6 +427,7 @@ def normalize_messages(
         .when(s.isin("Anthropic", "AWSAnthropic", "GCPAnthropic"), _anthropic_entries(b))
         .when(s == "GCPVertexAI", _gemini_entries(b))
         .when(s == "AWSBedrock", _bedrock_entries(b))
+        .otherwise(F.array(F.array(_entry(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("no message form for schema "), F.coalesce(s, F.lit("")))))))
     )
     messages = exploded(df, [key], entries, "msg_idx", "_parts")
     return exploded(messages, [key, "msg_idx"], F.col("_parts"), "part_idx", "_e").select(
