@@ -25,7 +25,7 @@ from .common import in_groups, materialize, prefix_hash, span_hash, text_of
 LENGTH = 400
 GRAM = 64
 #: Bytes of contexts that one transform takes; an anchor with more of its own is counted string by string.
-TRANSFORM_BYTES = 4 << 20
+TRANSFORM_BYTES = 2 << 20
 _POSITION_BITS = 31
 
 
@@ -41,19 +41,20 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(codes)
     ends = np.flatnonzero(codes == 0)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(min(8, n)):
-        inside = to_end[: n - k] >= k
-        key[: n - k] |= np.where(inside, codes[k:], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.argsort(key)
+    to_end = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((codes, np.zeros(7, dtype=np.uint8))), 8)
+    key = np.ascontiguousarray(wide).view(">u8").ravel().astype(np.uint64)
+    near = np.flatnonzero(to_end < 8)  # what follows an end does not count
+    key[near] &= ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * to_end[near].astype(np.uint64)) % np.uint64(64)) - np.uint64(1))
+    key[ends] = 0
+    order = np.argsort(key).astype(np.int32)
     cut = np.flatnonzero(to_end[order] < 8)  # equal keys that hold an end: in order of their place
     some = order[cut]
     order[cut] = some[np.lexsort((some, key[some]))]
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])) | (to_end[order] < 8)
-    slots = np.arange(n)
-    rank = np.empty(n, dtype=np.int64)
+    slots = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, dtype=np.int32)
     first = np.maximum.accumulate(np.where(new, slots, 0))
     rank[order] = first
     h = 8
@@ -63,7 +64,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         if not len(slots):
             break
         some = order[slots]
-        pair = rank[some] << 32 | rank[some + h]
+        pair = rank[some].astype(np.int64) << 32 | rank[some + h]
         by = np.argsort(pair)
         some, pair = some[by], pair[by]
         order[slots] = some
@@ -88,17 +89,17 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     begins = np.concatenate(([0], ends[:-1] + 1))
     is_end = np.zeros(len(data), dtype=bool)
     is_end[ends] = True
-    codes = np.cumsum(used).astype(np.int64)[data]  # 1, 2, ... in byte order; UTF-8 never uses all 256 values
+    codes = np.cumsum(used).astype(np.uint8)[data]  # 1, 2, ... in byte order; UTF-8 never uses all 256 values
     codes[is_end] = 0
     n = len(codes)
     order = suffix_order(codes, length)
-    before = np.where(is_end[order - 1] | (order == 0), 0, codes[order - 1]).astype(np.uint16)
-    by_symbol = np.argsort(before, kind="stable")
-    extended = np.empty(n, dtype=np.int64)  # the row of a row's suffix with the symbol before it in front
-    extended[by_symbol] = np.arange(n)
+    before = codes[order - 1]  # 0 at the first symbol of a string
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
+    extended = np.empty(n, dtype=np.int32)  # the row of a row's suffix with the symbol before it in front
+    extended[by_symbol] = np.arange(n, dtype=np.int32)
     # An end is never put in front: those rows map to the first rows, which are the ends themselves.
     same = before[by_symbol][1:] == before[by_symbol][:-1]
-    previous, following = np.full(n, -1, dtype=np.int64), np.full(n, n, dtype=np.int64)
+    previous, following = np.full(n, -1, dtype=np.int32), np.full(n, n, dtype=np.int32)
     previous[by_symbol[1:][same]] = by_symbol[:-1][same]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     counts = np.bincount(codes)
@@ -196,14 +197,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     same row or another; strings never cross rows and are judged on the input. Texts below ``length`` bytes keep all. Null
     and repeated ids are rows like others; an empty table gives no rows.
 
-    Equal contexts are looked at once and enter the transform twice at most, since further copies add no new answer.
+    A text that stands in two rows goes as a whole. Equal contexts are looked at once: they enter the transform once if only
+    copies of one text hold them and twice else, since further copies add no new answer.
     """
     gram = min(GRAM, length)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 40
         pack = zstandard.ZstdCompressor(level=1)
-        for f in in_groups(frames):
+        for f in in_groups(frames, chars=1_500_000):
             blobs = [t.encode("utf-8", "surrogatepass") for t in f["text"]]
             owner, gram_hash, context, lo, k = anchors(blobs, length, gram)
             cut = np.searchsorted(owner, np.arange(1, len(blobs)))
@@ -218,9 +220,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     schema = "row long, doc_id long, n_bytes long, sha string, packed binary, h array<long>, c array<long>, lo array<int>, k array<int>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = materialize(texts.mapInPandas(measure, schema), "anchors")
-    each = rows.select("row", F.explode(F.arrays_zip("h", "c", "lo", "k")).alias("a")).select("row", "a.h", "a.c", "a.lo", "a.k")
-    classes = each.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo", "k")).alias("at"))
-    classes = materialize(classes.select("h", "c", F.least("times", F.lit(2)).alias("times"), "at.*"), "contexts")
+    copied = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
+    copies = materialize(rows.select("row", "sha").join(copied, "sha").select("row"), "copies")
+    text = F.xxhash64("sha").alias("t")
+    each = rows.select("row", text, F.explode(F.arrays_zip("h", "c", "lo", "k")).alias("a")).select("row", "t", "a.h", "a.c", "a.lo", "a.k")
+    classes = each.groupBy("h", "c").agg(F.min(F.struct("t", "lo", "row", "k")).alias("at"), F.max(F.struct("t", "lo")).alias("z"))
+    once = (F.col("at.t") == F.col("z.t")) & (F.col("at.lo") == F.col("z.lo"))
+    classes = materialize(classes.select("h", "c", F.when(once, 1).otherwise(2).cast("long").alias("times"), "at.row", "at.lo", "at.k"), "contexts")
     size = F.col("times") * (F.col("k") + length)
     groups = classes.groupBy("h").agg(F.sum("times").alias("n"), F.sum(size).alias("bytes")).where("n > 1")
     live = materialize(classes.join(groups.select("h", (F.col("bytes") > transform_bytes).alias("hot"), "bytes"), "h"), "live")
@@ -270,6 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     marks = materialize(marks, "marks")
 
     found = each.select("row", "h", "c", "lo").join(marks, ["h", "c"]).groupBy("row").agg(F.collect_list(F.transform("starts", lambda x: x + F.col("lo"))).alias("starts"))
+    found = materialize(found.join(copies, "row", "left_anti"), "starts")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
@@ -290,14 +297,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     if keep_text:
         kinds |= {"kept": "binary", "spans": "array<long>"}
     names = list(kinds)
+
+    def tail(gone: bool) -> list:
+        if not keep_text:
+            return []
+        if gone:
+            return [F.lit(b"").alias("kept"), F.array(F.lit(0), F.col("n_bytes")).cast("array<long>").alias("spans")]
+        return [F.pandas_udf(_unpack, BinaryType())(F.col("packed")).alias("kept"), F.array().cast("array<long>").alias("spans")]
+
     cut = rows.select("row", "doc_id", "packed").join(found.hint("shuffle_hash"), "row").select("doc_id", "packed", "starts")
     cut = cut.mapInPandas(apply, ", ".join(f"{k} {v}" for k, v in kinds.items()))
-    untouched = rows.join(found.select("row"), "row", "left_anti")
-    zero = F.lit(0).cast("long")
-    whole = [F.col("doc_id"), F.col("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")]
-    if keep_text:
-        whole += [F.pandas_udf(_unpack, BinaryType())(F.col("packed")).alias("kept"), F.array().cast("array<long>").alias("spans")]
-    return cut.unionByName(untouched.select(*whole))
+    zero, all_ = F.lit(0).cast("long"), F.col("n_bytes")
+    untouched = rows.join(found.select("row").union(copies), "row", "left_anti").select("doc_id", all_, zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *tail(False))
+    whole = rows.join(copies, "row").select("doc_id", all_, all_.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), *tail(True))
+    return cut.unionByName(untouched).unionByName(whole)
 
 
 def _unpack(packed: pd.Series) -> pd.Series:
