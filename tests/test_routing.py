@@ -162,3 +162,10 @@ def test_header_patterns_of_routes(spark, rows):
     rules = spark.createDataFrame([(0, 0, None, {"a": "1"}, {"b": "x[0-9]+"}), (1, 0, None, None, {"b": "x.*"})], schema)
     reqs = spark.createDataFrame([(1, "m", {"a": "1", "b": "x12"}), (2, "m", {"a": "1", "b": "x12y"}), (3, "m", {"b": "ax1"})], "id int, model string, headers map<string,string>")
     assert [(r["id"], r["rule_idx"]) for r in rows(H.match_route(reqs, rules), "id")] == [(1, 0), (2, 1), (3, None)]
+
+
+def test_bad_values_keep_the_body(spark, rows):
+    schema = "id int, request_body string, body_sets map<string,string>, body_removes array<string>"
+    df = spark.createDataFrame([(1, '{"a":1,"b":null}', {"t": "1-2"}, ["a"]), (2, '{"a":1,"b":null}', {"t": "null"}, None), (3, "[1]", {}, []), (4, '{"a":1}', None, ["a"])], schema)
+    out = [(r["request_body"], r["mutation_error"] is None) for r in rows(H.apply_body_mutation(df), "id")]
+    assert out == [('{"a":1,"b":null}', False), ('{"a":1,"b":null,"t":null}', True), (None, False), ("{}", True)]

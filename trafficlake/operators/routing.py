@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import computed_once, hash_roll, json_text
 from ..functions.tolerant import tolerant
@@ -160,38 +156,26 @@ def apply_header_mutation(
     return df.withColumn(headers, F.when(F.col(on_retry), retry).otherwise(first_try))
 
 
-_RAW_JSON = re.compile(r'^(".*"|\{.*\}|\[.*\]|true|false|null|[0-9+-][0-9.eE+-]*)$', re.S)
-
-
-@F.pandas_udf(T.StringType())
-def _mutate_bodies(bodies: pd.Series, removes: pd.Series, sets: pd.Series) -> pd.Series:
-    def one(text, gone, new):
-        try:
-            body = json.loads(text)
-        except (TypeError, ValueError):
-            return None
-        if not isinstance(body, dict):
-            return None
-        for name in [] if gone is None else gone:
-            body.pop(name, None)
-        for name, value in (dict(new) if new is not None else {}).items():
-            if not name:
-                continue
-            raw = value.strip()
-            body[name] = value
-            if _RAW_JSON.match(raw):
-                try:
-                    body[name] = json.loads(raw)
-                except ValueError:
-                    return None
-        return json.dumps(body, separators=(",", ":"), ensure_ascii=False)
-
-    return pd.Series([one(t, g, n) for t, g, n in zip(bodies, removes, sets)], dtype=object)
+_LOOKS_JSON = r'^(?s)(".*"|\{.*\}|\[.*\]|true|false|null|[0-9+-][0-9.eE+-]*)$'
 
 
 def apply_body_mutation(df: DataFrame, body: str = "request_body", sets: str = "body_sets", removes: str = "body_removes") -> DataFrame:
-    """Top-level removes, then sets; a value that looks like JSON is set as JSON, else as a string."""
-    return df.withColumn(body, _mutate_bodies(F.col(body), F.col(removes), F.col(sets)))
+    """Top-level removes, then sets; a value that looks like JSON is set as JSON, else as a string.
+
+    Adds ``mutation_error``. Where a value looks like JSON and is none, the body stays as it was; a body that is no JSON
+    object becomes NULL. Both are errors of the row. Empty names are ignored.
+    """
+    fields = F.from_json(F.col(body), "map<string,variant>")
+    gone = F.coalesce(F.col(removes), F.expr("cast(array() AS array<string>)"))
+    new = F.coalesce(F.map_filter(F.col(sets), lambda k, v: (k != "") & v.isNotNull()), F.expr("cast(map() AS map<string,string>)"))
+    raw = F.transform_values(new, lambda k, v: F.when(F.trim(v).rlike(_LOOKS_JSON), F.try_parse_json(F.trim(v))).otherwise(v.cast("variant")))
+    tmp = computed_once(df, {"_fields": fields, "_new": raw})
+    bad = F.exists(F.map_values("_new"), lambda v: v.isNull())
+    kept = F.map_filter("_fields", lambda k, v: ~F.array_contains(gone, k) & ~F.map_contains_key("_new", k))
+    changed = F.to_json(F.map_concat(kept, "_new"))
+    error = F.when(F.col("_fields").isNull(), "body is not a JSON object").when(bad, "value is not JSON")
+    shown = F.when(F.col("_fields").isNotNull(), F.when(bad, F.col(body)).otherwise(changed))
+    return tmp.withColumns({body: shown, "mutation_error": error}).drop("_fields", "_new")
 
 
 # --- policies, tools, catalogs --------------------------------------------------------------------
