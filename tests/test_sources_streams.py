@@ -155,3 +155,16 @@ def test_nonempty_export(spark, tmp_path):
     calls = []
     sinks.export_nonempty(src, lambda b, i: calls.append(b.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert calls == [10]
+
+
+def test_late_rows_draw_on_their_own_window(spark, tmp_path):
+    hour = 3_600_000_000
+    files = [[(1, 10, 1)], [(2, hour + 5, 9)], [(3, 20, 5)], [(4, 30, 5)]]  # id, at_us, cost: the third comes late
+    for i, rows_ in enumerate(files):
+        spark.createDataFrame([("k", r, a, c) for r, a, c in rows_], "k string, request_id long, at_us long, cost long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, request_id long, at_us long, cost long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("at", F.timestamp_micros("at_us"))
+    q = S.stream_rate_limit(stream, ["k"], "at", "cost", 8, delay="2 hours").writeStream.format("memory").queryName("late_rows")
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["request_id"]: (r["used"], r["refused"]) for r in spark.table("late_rows").collect()}
+    assert got == {1: (0, False), 2: (0, False), 3: (1, False), 4: (6, False)}

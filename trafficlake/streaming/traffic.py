@@ -94,39 +94,38 @@ def _plain(values) -> tuple:
 
 
 class _FixedWindow(StatefulProcessor):
-    """State per key of a bucket: current window and the cost used in it. Passed windows are swept by a timer."""
+    """State per key of a bucket and open window: the cost used in it. A timer sweeps a window once the watermark has
+    passed its end, so a late row draws on the window it belongs to."""
 
     def __init__(self, limit: int, width_us: int, keys: list[str], key_schema: T.StructType):
-        self.limit, self.width, self.keys, self.key_schema = limit, width_us, keys, key_schema
+        self.limit, self.width, self.keys = limit, width_us, keys
+        self.key_schema = T.StructType([*key_schema.fields, T.StructField("window_us", T.LongType())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("windows", self.key_schema, "window_us long, used long")
+        self.state = handle.getMapState("windows", self.key_schema, "used long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _sorted_rows(rows, ["at_us", "request_id"])
-        owner = pdf.groupby(self.keys, dropna=False, sort=False)
-        pdf["_owner"] = owner.ngroup()
-        names = pdf.drop_duplicates("_owner").set_index("_owner")[self.keys]
+        pdf["_w"] = pdf["at_us"] // self.width * self.width
+        by = [*self.keys, "_w"]
+        pdf["_owner"] = pdf.groupby(by, dropna=False, sort=False).ngroup()
+        names = pdf.drop_duplicates("_owner").set_index("_owner")[by]
         ids = {i: _plain(row) for i, row in zip(names.index, names.itertuples(index=False))}
-        known = {i: self.state.getValue(k) or (-1, 0) for i, k in ids.items()}
-        base = pdf["_owner"].map({i: v[0] for i, v in known.items()})
-        pdf["_w"] = np.maximum(pdf["at_us"] // self.width * self.width, base)
-        pdf["_w"] = pdf.groupby("_owner")["_w"].cummax()
-        carried = pdf["_owner"].map({i: v[1] for i, v in known.items()}).where(pdf["_w"] == base, 0)
-        pdf["used"] = pdf.groupby(["_owner", "_w"])["cost"].cumsum() - pdf["cost"] + carried
+        carried = {i: (self.state.getValue(k) or (0,))[0] for i, k in ids.items()}
+        pdf["used"] = pdf.groupby("_owner")["cost"].cumsum() - pdf["cost"] + pdf["_owner"].map(carried)
         last = pdf.drop_duplicates("_owner", keep="last")
-        for i, w, used in zip(last["_owner"], last["_w"], last["used"] + last["cost"]):
-            self.state.updateValue(ids[i], (int(w), int(used)))
-        _drop_timers(self.handle)
-        self.handle.registerTimer((int(last["_w"].max()) + self.width) // 1000 + 1)
+        for i, used in zip(last["_owner"], last["used"] + last["cost"]):
+            self.state.updateValue(ids[i], (int(used),))
+        for w in last["_w"].unique():
+            self.handle.registerTimer((int(w) + self.width) // 1000 + 1)
         pdf["refused"] = pdf["used"] >= self.limit
         yield pdf[[*self.keys, "request_id", "at_us", "used", "refused"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for k, (window, _used) in list(self.state.iterator()):
-            if window + self.width <= now_us:
+        for k, _used in list(self.state.iterator()):
+            if k[-1] + self.width <= now_us:
                 self.state.removeKey(k)
         return iter([])
 
