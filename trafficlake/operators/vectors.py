@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import json
 
 import numpy as np
 import pandas as pd
@@ -82,16 +81,15 @@ def explode_embeddings(df: DataFrame, body: str = "response_body", key: str = "r
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _decode_lists(rows: pd.Series) -> pd.Series:
-    def one(text):
-        if text is None:
-            return None
-        if text.lstrip().startswith("["):
-            return np.asarray(json.loads(text), dtype="float64")
-        return _decode(text)
-
-    return pd.Series([None if r is None else [one(x) for x in r] for r in rows], dtype=object)
+    return pd.Series([None if r is None else [None if x is None else _decode(x) for x in r] for r in rows], dtype=object)
 
 
 def decode_embedding_list(embeddings: Column) -> Column:
-    """Array of embedding texts (JSON numbers or base64) to an array of vectors."""
-    return _decode_lists(embeddings)
+    """Array of embedding texts (JSON numbers or base64) to an array of vectors.
+
+    Number lists are read natively; only base64 texts go to Arrow batches.
+    """
+    listed = F.transform(embeddings, lambda e: F.when(F.ltrim(e).startswith("["), F.from_json(e, "array<double>")))
+    encoded = F.transform(embeddings, lambda e: F.when(~F.ltrim(e).startswith("["), e))
+    decoded = _decode_lists(F.when(F.exists(encoded, lambda e: e.isNotNull()), encoded))
+    return F.when(decoded.isNull(), listed).otherwise(F.zip_with(listed, decoded, lambda a, b: F.coalesce(a, b)))
