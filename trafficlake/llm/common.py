@@ -43,7 +43,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def in_groups(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+#: Rows of one Arrow batch where rows hold whole texts; Spark's default of 10,000 can take hundreds of megabytes.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small enough for whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
+def in_groups(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that one group holds about ``chars`` characters (one longer text is a group alone)."""
     for frame in frames:
         if not len(frame):

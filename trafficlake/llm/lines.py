@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, materialize, text_of
+from .common import in_groups, materialize, text_batches, text_of
 
 STRETCH_WORDS = 25
 WINDOW_WORDS = 50
@@ -91,6 +91,7 @@ def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, w
     fingerprint; what has less than ``stretch_words`` words stays. Lines without words are not counted as lines, match
     nothing and stay, except for those next to a removed line after it. Null text is empty; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     own = [k for k in keep if k not in ("doc_id", "text")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_ids, in_groups, materialize, text_of
+from .common import crc32_ids, in_groups, materialize, text_batches, text_of
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -183,7 +183,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, batch = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        for rows in in_groups(frames):
+        for rows in in_groups(frames, chars=2_500_000):
             out = []
             for at, ids in enumerate(tokens.encode_each(rows["text"].tolist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -197,6 +197,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             yield frame
             batch += 1
 
+    text_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, batch long, rank long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(cut, schema)
 

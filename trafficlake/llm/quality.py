@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, in_groups, text_of
+from .common import crc32_of, in_groups, text_batches, text_of
 
 #: Bound of the fit: labelled rows.
 MAX_LABELLED = 20_000
@@ -219,6 +219,7 @@ def score_quality(
     ``held_out``); of several labels of an id the smallest counts. Null text is empty, null ids are scored but never
     learnt from, every row gives one row, an empty table none. Without labels every score is 0.5.
     """
+    text_batches(docs.sparkSession)
     model = learn(docs, labels, folds, held_out, max_labelled)
     fold = F.pmod(crc32_of("doc_id"), F.lit(folds)) == held_out
     own = [k for k in keep if k != "doc_id"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import crc32_ids, in_groups, text_of
+from .common import crc32_ids, in_groups, text_batches, text_of
 from .tokens import encoder
 
 MAGIC = b"DACTOK1\0"
@@ -184,7 +184,7 @@ def write_tokens(
             return row
 
         store.create_dir(base, recursive=True)
-        for rows in in_groups(frames):
+        for rows in in_groups(frames, chars=2_500_000):
             for doc_id, null, ids in zip(rows["doc_id"], rows["no_id"], tokens.encode_each(rows["text"].tolist()), strict=True):
                 if size and size + len(ids) + 1 > tokens_per_file:
                     yield flush()
@@ -196,6 +196,7 @@ def write_tokens(
             yield flush()
 
     spark = docs.sparkSession
+    text_batches(spark)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
         .repartitionByRange("doc_id")

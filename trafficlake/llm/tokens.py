@@ -15,8 +15,8 @@ import numpy as np
 from .common import prefix_hash, span_hash
 
 #: Chunks and ids kept per worker before the cache starts anew.
-CACHED_CHUNKS = 3_000_000
-CACHED_IDS = 16_000_000
+CACHED_CHUNKS = 2_000_000
+CACHED_IDS = 10_000_000
 
 _OTHER_BLANK = re.compile(r"[^\S \n]")
 _MARK = "\x01"
