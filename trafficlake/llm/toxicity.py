@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, in_groups, materialize, prefix_hash, span_hash, text_of
+from .common import crc32_of, in_groups, materialize, prefix_hash, span_hash, text_batches, text_of
 
 #: Bounds of the fit: confirmed examples, unlabelled texts, words of the vocabulary.
 MAX_POSITIVE = 8_000
@@ -106,16 +106,30 @@ def fit_nnpu(
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w -= step[:n_words]
+            w = np.maximum(w - step[:n_words], 0)  # words were chosen as evidence for the class; none speaks against it
             b -= float(step[n_words])
-    return w, b
+    return w, b - _cut(_sums(unlabelled, w, b), prior)
 
 
-def fit(positive_texts: DataFrame, unlabelled_texts: DataFrame, prior: float, classifiers: int = 3, min_z: float = 4.0) -> Model:
+def _cut(values: np.ndarray, prior: float) -> float:
+    """Where the class begins: the widest gap among unlabelled values whose rank is within a tenth of the prior's share.
+
+    Logistic outputs of short steps stay on the side of the larger class; the prior says how many belong to the other.
+    """
+    ordered = np.sort(values)[::-1]
+    first, last = int(0.9 * prior * len(ordered)), int(np.ceil(1.1 * prior * len(ordered)))
+    gaps = ordered[first : last - 1] - ordered[first + 1 : last]
+    if not len(gaps) or gaps.max() <= 1e-6:
+        return 0.0
+    k = first + int(gaps.argmax())
+    return float((ordered[k] + ordered[k + 1]) / 2)
+
+
+def fit(positive_texts: DataFrame, unlabelled_texts: DataFrame, prior: float, classifiers: int = 3, min_z: float = 4.0, min_lift: float = 3.0) -> Model:
     """Fit on two bounded tables with a ``text``.
 
     The vocabulary is the words whose share of confirmed texts is above their share of unlabelled ones by ``min_z``
-    standard errors (counted on executors); only these and each text's few words of them reach the driver. Without
+    standard errors and ``min_lift`` times (counted on executors); only these and each text's few words of them reach the driver. Without
     confirmed texts or such words the score is the prior.
     """
     both = positive_texts.select("text", F.lit(1).alias("p")).union(unlabelled_texts.select("text", F.lit(0).alias("p")))
@@ -136,7 +150,8 @@ def fit(positive_texts: DataFrame, unlabelled_texts: DataFrame, prior: float, cl
     counts = both.mapInPandas(count, "word long, np long, nu long").groupBy("word").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     share = (F.col("np") + F.col("nu") + 1) / (n[0] + n[1] + 2)
     z = (F.col("np") / n[1] - F.col("nu") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    found = counts.where(F.col("np") >= 3).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect()
+    lifted = F.col("np") / n[1] >= min_lift * F.col("nu") / n[0]
+    found = counts.where((F.col("np") >= 3) & lifted).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect()
     vocabulary = np.sort(np.array([r["word"] for r in found], dtype=np.int64).view(np.uint64))
     if not len(vocabulary):
         return flat
@@ -164,6 +179,7 @@ def score_toxicity(
     is the share of 1 among labels outside the fold. Null text is empty, null ids are scored but never learnt from, and
     every row gives one row. With no labels the score is the smallest prior.
     """
+    text_batches(docs.sparkSession)
     fold = F.pmod(crc32_of("doc_id"), F.lit(folds)) == held_out
     rows = docs.select(F.col("doc_id"), text_of().alias("text"), fold.alias("held_out"))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~fold)
