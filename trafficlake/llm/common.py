@@ -209,12 +209,3 @@ class Forest:
             return False
         self.parent[max(x, y)] = min(x, y)
         return True
-
-
-def ids_type(df: DataFrame, name: str) -> str:
-    """The SQL type of a column, for schemas of pandas stages."""
-    return df.schema[name].dataType.simpleString()
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
