@@ -9,13 +9,14 @@ of compressed registers goes before the exact comparison of the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_groups, materialize, mix, shingle_sets, text_of
+from .common import Forest, broadcast_if_small, components, in_groups, materialize, mix, shingle_sets, text_batches, text_of
 
 BUCKETS = 128
 ROWS = 4
@@ -23,7 +24,7 @@ MANTISSA = 10
 _SEEDS = np.random.default_rng(20240607).integers(0, 1 << 63, size=(2, BUCKETS), dtype=np.uint64)
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint64(2)
 #: Members of one tile when a group is compared in full.
-TILE = 512
+TILE = 2048
 
 
 def compress(smallest: np.ndarray) -> np.ndarray:
@@ -56,6 +57,13 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(packed + np.arange(packed.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+@cache
+def _collisions() -> np.ndarray:
+    """``collision_rate`` of sizes 2 ** (i / 8) and 2 ** (j / 8)."""
+    sizes = 2.0 ** (np.arange(256) / 8)
+    return collision_rate(np.repeat(sizes, 256), np.tile(sizes, 256)).reshape(256, 256)
+
+
 def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Chance that the registers of two sets of these sizes agree though their smallest hashes differ."""
     edge = 2.0 ** -np.arange(54)
@@ -68,10 +76,17 @@ def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the number of equal registers."""
-    c = collision_rate(n_a, n_b)
+    a, b = (np.minimum(np.rint(8 * np.log2(n)).astype(np.int64), 255) for n in (n_a, n_b))
+    c = _collisions()[a, b]
     return (equal / BUCKETS - c) / (1 - c)
 
 
+def reaching(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor: float) -> np.ndarray:
+    """Places whose estimate is at least ``floor``; the correction only lowers the plain share, which goes first."""
+    at = np.flatnonzero(equal >= floor * BUCKETS)
+    return at[estimate(equal[at], n_a[at], n_b[at]) >= floor]
+
+
 def _floor(similarity: float) -> float:
     """Five standard errors below the threshold: nothing above it is dropped by the estimate in practice."""
     return similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / BUCKETS))
@@ -85,12 +100,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     an empty set is linked with nothing. Rows of one doc_id are one document; null ids are linked with nothing (null
     component, kept). An empty table gives no rows.
 
-    Equal sets are one class from the start. The members of a band's group are first compared with one of them (the
-    smallest id, then one by a hash per group); only groups whose members are still in different components are
-    compared in full, tile by tile, by sketches. Every link comes from full sets.
+    Equal sets are one class from the start. The members of a band's group are first compared with one of them: the one
+    that shares most groups with others, as an original does with its copies, then the one that shares fewest. Only groups
+    of more than three whose members are still in different components are compared in full, tile by tile; a tile gives
+    links that join components, not pairs. Every link comes from full sets.
     """
-    similarity = percent / 100
-    floor = _floor(similarity)
+    floor = _floor(percent / 100)
+    text_batches(docs.sparkSession)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in in_groups(frames):
@@ -114,14 +130,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
                 yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(f["id"].to_numpy(), keys.shape[1])})
 
     entries = classes.select("id", "sketch").mapInPandas(bands, "key long, id long")
-    shared = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     groups = materialize(entries.join(shared, "key"), "groups")
+    met = groups.groupBy("id").agg(F.sum("k").alias("met"))
+    groups = materialize(groups.join(met, "id"), "met")
 
     def set_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in in_groups(frames):
             yield pd.DataFrame({"id": f["doc_id"], "set": [s.tobytes() for s in shingle_sets(f["text"].tolist(), shingle)]})
 
-    wanted = texts.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = materialize(groups.select(F.col("id").alias("doc_id")).distinct(), "members")
+    wanted = texts.join(broadcast_if_small(members, 16), "doc_id", "left_semi")
     full = wanted.mapInPandas(set_of, "id long, set binary")
     # Rows of one id may have several texts: links are looked for from each class's own set.
     measured = classes.select("id", "n", "sketch")
@@ -133,17 +152,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
                 continue
             a, b = (np.frombuffer(b"".join(f[c]), dtype="<u2").reshape(len(f), BUCKETS) for c in ("sketch_a", "sketch_b"))
             na, nb = f["na"].to_numpy(), f["nb"].to_numpy()
-            good = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (estimate((a == b).sum(axis=1), na, nb) >= floor)
-            yield f.loc[good, ["a", "b", "na", "nb"]]
+            f, equal = f[["a", "b", "na", "nb"]], np.where(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb), (a == b).sum(axis=1), 0)
+            yield f.iloc[reaching(equal, na, nb, floor)]
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             linked = []
             for x, y in zip(f["set_a"], f["set_b"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                linked.append(similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield f.loc[np.array(linked, dtype=bool), ["a", "b"]]
 
     def side(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -152,10 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     def verify(pairs: DataFrame) -> DataFrame:
         guess = pairs.join(side(measured, "a", "sketch"), "a").join(side(measured, "b", "sketch"), "b")
         guess = guess.mapInPandas(likely, "a long, b long, na long, nb long")
-        return check(guess)
-
-    def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side(full, "a", "set"), ["a", "na"]).join(side(full, "b", "set"), ["b", "nb"])
+        both = guess.join(side(full, "a", "set"), ["a", "na"]).join(side(full, "b", "set"), ["b", "nb"])
         return both.select("a", "b", "set_a", "set_b").mapInPandas(exact, "a long, b long")
 
     def stars(entries: DataFrame, order, apart: bool) -> DataFrame:
@@ -165,20 +178,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             pairs = pairs.where(F.col("comp") != F.col("m.cc"))
         return pairs.select(F.least("id", "m.c").alias("a"), F.greatest("id", "m.c").alias("b")).distinct()
 
-    def unresolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the groups whose members are in several of them."""
+    def unresolved(found: DataFrame, met_all: int) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the groups whose members are in several of them. Groups of up to ``met_all`` members
+        have had all their pairs compared and are left out."""
         comps = materialize(components(found), "found")
-        entries = groups.join(comps, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-        apart = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("key", "k")
+        entries = groups.join(comps, "id", "left").select("key", "id", "met", F.coalesce("component_id", "id").alias("comp"))
+        apart = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where(f"lo < hi AND k > {met_all}").select("key", "k")
         return comps, materialize(entries.join(apart, "key"), "apart")
 
-    links = materialize(verify(stars(groups, F.col("id"), False)), "links")
-    comps, open_ = unresolved(links)
+    links = materialize(verify(stars(groups, F.struct(-F.col("met"), F.col("id")), False)), "links")
+    comps, open_ = unresolved(links, 2)
+    if open_.limit(1).count():  # from the other end of the same order, so that the centre is another member
+        links = materialize(links.union(verify(stars(open_, F.struct(F.col("met"), -F.col("id")), True))), "links")
+        comps, open_ = unresolved(links, 3)
     if open_.limit(1).count():
-        links = materialize(links.union(verify(stars(open_, F.xxhash64("id", "key"), True))), "links")
-        comps, open_ = unresolved(links)
-    if open_.limit(1).count():
-        links = links.union(check(_tiles(open_.join(measured, "id"), percent, floor)))
+        links = links.union(_tiles(open_.join(measured, "id").join(full, ["id", "n"]), percent, floor))
         comps = components(links)
 
     reach = classes.select(*same, "id").join(comps, "id", "left").select(*same, F.coalesce("component_id", "id").alias("reach"))
@@ -188,30 +202,64 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test on two sorted sets."""
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets: products of 0/1 matrices, some elements at a time."""
+    element, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    shared = np.bincount(code, minlength=len(element)) > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], place[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(code, [first, first + columns])
+        m = np.zeros((len(left) + len(right), columns), dtype=np.float32)
+        m[owner[a:b], code[a:b] - first] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
 def _tiles(members: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Pairs of different components in one group that sketches do not rule out: a, b, na, nb.
+    """Links a, b that join components inside one group (key, k, id, n, sketch, set, comp).
 
     A group is cut into tiles by a hash; each pair of tiles is a group of its own with at most about ``2 * TILE`` rows.
+    Rows with a likely partner in another component, by sketches, are compared on their full sets.
     """
     n_tiles = F.ceil(F.col("k") / TILE).cast("int")
     tiled = members.withColumn("t", F.pmod(F.xxhash64("id"), n_tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), n_tiles - 1)))
-    tiled = tiled.select("key", "id", "n", "sketch", "comp", "t", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"))
+    tiled = tiled.select("key", "id", "n", "sketch", "set", "comp", "t", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = f[f["t"] == f["lo"]], f[f["t"] == f["hi"]]
-        out = []
-        if len(lo) and len(hi):
-            b = np.frombuffer(b"".join(hi["sketch"]), dtype="<u2").reshape(len(hi), BUCKETS)
-            ids, n, comp = hi["id"].to_numpy(), hi["n"].to_numpy(), hi["comp"].to_numpy()
-            for r in lo.itertuples():
-                a = np.frombuffer(r.sketch, dtype="<u2")
-                ok = (comp != r.comp) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n)) & ((ids > r.id) | (r.lo != r.hi))
-                at = np.flatnonzero(ok)
-                at = at[estimate((b[at] == a).sum(axis=1), n[at], np.full(len(at), r.n)) >= floor]
-                out += [(min(r.id, i), max(r.id, i), r.n if r.id < i else m, m if r.id < i else r.n) for i, m in zip(ids[at].tolist(), n[at].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
-
-    return tiled.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long, na long, nb long").distinct()
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        f = f.sort_values("id", ignore_index=True)
+        lo, hi = (np.flatnonzero(f["t"].to_numpy() == f[c].iloc[0]) for c in ("lo", "hi"))
+        ids, n, comp = f["id"].to_numpy(), f["n"].to_numpy(), np.unique(f["comp"], return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(f["sketch"]), dtype="<u2").reshape(len(f), BUCKETS)
+        likely = np.zeros((len(lo), len(hi)), dtype=bool)
+        for r, i in enumerate(lo.tolist()):
+            j = np.flatnonzero((comp[hi] != comp[i]) & (100 * np.minimum(n[hi], n[i]) >= percent * np.maximum(n[hi], n[i])))
+            likely[r, j[reaching((sketch[hi[j]] == sketch[i]).sum(axis=1), n[hi[j]], np.full(len(j), n[i]), floor)]] = True
+        rows, cols = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+        if not len(rows):
+            return none
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in f["set"]]
+        left, right = lo[rows], hi[cols]
+        common = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+        linked = likely[np.ix_(rows, cols)] & (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+        forest = Forest(int(comp.max()) + 1)
+        pairs = [(ids[left[i]], ids[right[j]]) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if forest.union(comp[left[i]], comp[right[j]])]
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64") if pairs else none
+
+    return tiled.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
