@@ -48,7 +48,7 @@ class Block:
         begins = np.stack([np.searchsorted(np.sort(level[:, d]), np.arange(levels + 1)) for d in range(values.shape[1])])
         return cls(ids, values, low, width, np.ascontiguousarray(postings), begins)
 
-    def top(self, query: np.ndarray, own: int, k: int, chunk: int = 96) -> tuple[list[tuple[int, int]], int]:
+    def top(self, query: np.ndarray, own: int, k: int, chunk: int = 300) -> tuple[list[tuple[int, int]], int]:
         """The ``k`` best (score, id) of the rows other than ``own``, ties to the smaller id; and segments processed."""
         n, dims = self.values.shape
         if not self._safe(query):
@@ -59,47 +59,38 @@ class Block:
         levels = self.begins.shape[1] - 1
         start = self.low[:, None] + self.width[:, None] * np.arange(levels)
         first, last = query[:, None] * start, query[:, None] * (start + self.width[:, None] - 1)
-        lower, upper = np.minimum(first, last), np.maximum(first, last)
-        worst = lower.min(axis=1)
-        filled = (self.begins[:, 1:] > self.begins[:, :-1]).ravel()
-        impact = (upper - worst[:, None]).ravel()
-        order = np.flatnonzero(filled)
+        upper = np.maximum(first, last)
+        # A segment's impact is the most it adds over the least of its dimension; no row has less than that minus error.
+        impact = (upper - np.minimum(first, last).min(axis=1)[:, None]).ravel()
+        error = float((np.abs(query) * (self.width - 1)).sum())
+        order = np.flatnonzero((self.begins[:, 1:] > self.begins[:, :-1]).ravel())
         order = order[np.argsort(-impact[order], kind="stable")]
-        base = int(worst.sum())
-        low_sum, high_sum, seen = np.zeros(n), np.zeros(n), np.zeros(n)
-        mine = self.ids == own
-        possible = np.flatnonzero(~mine)
-        goal = max(16, 4 * k, n // 16)
+        unit = 1 << int(dims).bit_length()  # sums of impacts and the number of segments met, in one number
+        met = np.zeros(n)
+        mine = np.flatnonzero(self.ids == own)
+        others = possible = np.flatnonzero(self.ids != own)
+        goal = max(16, 4 * k, n // 8)
         done = 0
-        while done < len(order):
+        while done < len(order) and len(possible) > goal:
             part = order[done : done + chunk]
             done += len(part)
             d, level = part // levels, part % levels
             size = self.begins[d, level + 1] - self.begins[d, level]
             rows = np.concatenate([self.postings[i, self.begins[i, v] : self.begins[i, v + 1]] for i, v in zip(d.tolist(), level.tolist(), strict=True)])
-            low_sum += np.bincount(rows, weights=np.repeat(lower[d, level] - worst[d], size), minlength=n)
-            high_sum += np.bincount(rows, weights=np.repeat(impact[part], size), minlength=n)
-            seen += np.bincount(rows, minlength=n)
-            if done < len(order):
-                # What a row has not met yet lies in segments of at most the next one's impact.
-                bound = high_sum + (dims - seen) * impact[order[done]]
-                others = low_sum[~mine]
-                sure = np.partition(others, len(others) - k)[len(others) - k] if len(others) > k else -1.0
-                possible = np.flatnonzero((bound >= sure) & ~mine)
-                if len(possible) <= goal:
-                    break
-        else:
-            others = low_sum[~mine]
-            if len(others) > k:
-                possible = np.flatnonzero((high_sum >= np.partition(others, len(others) - k)[len(others) - k]) & ~mine)
-        assert base + (low_sum.max() if n else 0) < _SAFE * 4
+            met += np.bincount(rows, weights=np.repeat(impact[part] * unit + 1.0, size), minlength=n)
+            total = np.floor(met / unit)
+            # What a row has not met yet lies in segments of at most the next one's impact.
+            rest = (dims - (met - total * unit)) * (impact[order[done]] if done < len(order) else 0)
+            total[mine] = -np.inf
+            sure = np.partition(total, n - k)[n - k] - error if len(others) > k else -1.0
+            possible = np.flatnonzero(total + rest >= sure)
         exact = self.values[possible] @ query
         best = np.lexsort((self.ids[possible], -exact))[:k]
         return [(int(exact[i]), int(self.ids[possible[i]])) for i in best], done
 
     def _safe(self, query: np.ndarray) -> bool:
         most = max(abs(int(self.values.max())), abs(int(self.values.min())), 1) + int(self.width.max())
-        return most * max(1, int(np.abs(query).max())) * len(query) < _SAFE
+        return 2 * most * max(1, int(np.abs(query).max())) * len(query) ** 2 < _SAFE
 
 
 def quantise(v: np.ndarray) -> np.ndarray:
