@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import in_groups, materialize, prefix_hash, span_hash, text_of
+from .common import in_groups, materialize, prefix_hash, span_hash, text_batches, text_of
 
 LENGTH = 400
 GRAM = 64
@@ -201,11 +201,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     copies of one text hold them and twice else, since further copies add no new answer.
     """
     gram = min(GRAM, length)
+    text_batches(docs.sparkSession)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 40
         pack = zstandard.ZstdCompressor(level=1)
-        for f in in_groups(frames, chars=1_500_000):
+        for f in in_groups(frames):
             blobs = [t.encode("utf-8", "surrogatepass") for t in f["text"]]
             owner, gram_hash, context, lo, k = anchors(blobs, length, gram)
             cut = np.searchsorted(owner, np.arange(1, len(blobs)))
@@ -234,11 +235,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, transform_bytes: int =
     buckets = max(1, -(-total // transform_bytes))
 
     def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
         for f in frames:
             for packed, places in zip(f["packed"], f["places"], strict=True):
                 text = unpack.decompress(packed)
-                yield pd.DataFrame([(p["h"], p["c"], p["times"], text[p["lo"] : p["lo"] + p["k"] + length - 1]) for p in places], columns=["h", "c", "times", "context"])
+                held += [(p["h"], p["c"], p["times"], text[p["lo"] : p["lo"] + p["k"] + length - 1]) for p in places]
+                size += sum(p["k"] + length for p in places)
+                if size > transform_bytes:
+                    yield pd.DataFrame(held, columns=["h", "c", "times", "context"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["h", "c", "times", "context"])
 
     def extract(part: DataFrame) -> DataFrame:
         places = part.groupBy("row").agg(F.collect_list(F.struct("h", "c", "times", "lo", "k")).alias("places"))
