@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; those with nothing left go."""
-    kept = lines.remove_repeated_lines(docs, keep=("lang", "source", "n_chars"))
+    kept = lines.remove_repeated_lines(docs, keep=("lang", "source", "n_chars"), tails=True)
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     kept = kept.where(~((F.col("n_removed") > 0) & (F.trim("text") == ""))).withColumn("n_chars", size.cast("long"))
     return kept.select(*COLUMNS)

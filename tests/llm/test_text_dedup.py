@@ -73,6 +73,50 @@ def test_lines_match_brute_force(spark, stretch, window):
     assert [(r["text"], r["n_removed"]) for r in got] == line_repeats(list(enumerate(texts)), stretch, window)
 
 
+def repeated_runs(texts, least):
+    """Per text, whether each line with words is in a run of lines with ``least`` words that stands earlier: all pairs of lines."""
+    parsed = [[x.strip(" \t\r\v\f") for x in (t or "").split("\n") if x.strip(" \t\r\v\f")] for t in texts]
+    gone = [[False] * len(p) for p in parsed]
+    for d, own in enumerate(parsed):
+        for e in range(d + 1):
+            for i in range(len(own)):
+                for j in range(len(parsed[e]) if e < d else i):
+                    k = 0
+                    while i + k < len(own) and j + k < len(parsed[e]) and own[i + k] == parsed[e][j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in own[i : i + k]) >= least:
+                        gone[d][i : i + k] = [True] * k
+    return parsed, gone
+
+
+def beside_their_parts(seed):
+    """Passages after documents that hold only their lines or parts, which then are the first places."""
+    rnd = random.Random(seed)
+    line = lambda k: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(k))
+    passages = [[line(k) for k in sizes] for sizes in ([30, 20, 20], [40, 12, 9, 3], [9, 12, 40], [26, 26, 26, 26], [5] * 14, [60, 2, 2])]
+    texts = []
+    for p in passages:
+        for _ in range(4):
+            a = rnd.randrange(len(p))
+            texts.append("\n".join([line(4), *p[a : rnd.randrange(a, len(p)) + 1], line(4)]))
+    rnd.shuffle(texts)
+    return texts + ["\n".join([line(3), *p, line(3)]) for p in passages for _ in range(3)]
+
+
+def test_repeated_runs_go_whole(spark):
+    texts = []
+    for seed in range(12):
+        texts += beside_their_parts(seed)
+    docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    kept = {r["doc_id"]: r["text"].split("\n") for r in lines.remove_repeated_lines(docs, tails=True).collect()}
+    parsed, gone = repeated_runs(texts, 50)
+    before = set()
+    for d, (own, away) in enumerate(zip(parsed, gone, strict=True)):
+        assert not {x for x, g in zip(own, away, strict=True) if g} & set(kept[d])
+        assert set(own) - set(kept[d]) <= before
+        before |= set(own)
+
+
 def test_every_shared_passage_is_cut(spark):
     passage = "\n".join(" ".join(f"p{i}q{j}" for j in range(12)) for i in range(5))  # 60 words on five lines
     rows = [(i, f"own{i} " * 9 + "\n" + passage + "\n" + f"end{i} " * 9, "s") for i in range(40)]

@@ -3,7 +3,8 @@
 A stretch is the shortest run of whole lines from a line on with at least ``stretch_words`` words. In every window (the
 shortest run from a line on with at least ``window_words`` words) the stretch with the smallest hash is a fingerprint,
 so any run of lines with that many words that stands in two places shares one. A fingerprint's later places are
-joined with its first place, the match is extended line by line both ways, and the later run goes.
+joined with its first place, and also with the first place of each window around them: where the fingerprint's first place
+stands alone, that of the window holds the rest. The match is extended line by line both ways, and the later run goes.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ def split_lines(text: str) -> tuple[list[str], list[int], np.ndarray, np.ndarray
     return lines, places, np.array(hashes, dtype=np.uint64).view(np.int64), np.array(words, dtype=np.int64)
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, window_words: int) -> list[tuple[int, bytes]]:
-    """(first line, 128-bit hash) of each window's smallest stretch, the first of equals.
+def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, window_words: int, tails: bool = False) -> list[tuple[int, bytes, list[int]]]:
+    """(first line, 128-bit hash, 64-bit hashes of windows) of each window's smallest stretch, the first of equals.
 
-    A text with less than ``window_words`` words is one window.
+    The windows are those the stretch is the smallest of and, with ``tails``, the shortest runs up to a line with at least
+    ``window_words`` words that begin with such a window: every line of a run with that many words is in one of either
+    kind inside the run. A text with less than ``window_words`` words is one window, whose hash is not taken.
     """
     total = np.concatenate(([0], np.cumsum(words)))
     n = len(hashes)
@@ -54,7 +57,13 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, wind
     raw = hashes.tobytes()
     prints = [xxhash.xxh3_128_digest(raw[8 * i : 8 * e]) for i, e in enumerate(stop[:count].tolist())]
     window = np.searchsorted(total, total[:-1] + window_words)
-    chosen: dict[int, bytes] = {}
+    # Runs [i, e) by their first line: the window at i and the longer ones that are the shortest up to a line.
+    back = np.searchsorted(total, total[1:] - window_words, side="right") - 1
+    ends: dict[int, list[int]] = {}
+    for e, i in enumerate(back.tolist() if tails else (), 1):
+        if i >= 0 and window[i] < e:
+            ends.setdefault(i, []).append(e)
+    chosen: dict[int, list[int]] = {}
     best = -1
     for i in range(max(1, int((window <= n).sum()))):
         # Stretches inside the window end no later than it does.
@@ -66,8 +75,10 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, wind
                 if prints[s] < prints[best]:
                     best = s
         previous = last
-        chosen[best] = prints[best]
-    return list(chosen.items())
+        hashed = chosen.setdefault(best, [])
+        if window[i] <= n:
+            hashed += [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) for e in (int(window[i]), *ends.get(i, ()))]
+    return [(at, prints[at], hashed) for at, hashed in chosen.items()]
 
 
 def extend(own: np.ndarray, first: np.ndarray, shift: int, places: list[int]) -> list[tuple[int, int]]:
@@ -80,15 +91,16 @@ def extend(own: np.ndarray, first: np.ndarray, shift: int, places: list[int]) ->
     return [(int(a[k]), int(b[k])) for k in np.unique(np.searchsorted(a, places, side="right") - 1)]
 
 
-def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, window_words: int = WINDOW_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, window_words: int = WINDOW_WORDS, keep: tuple[str, ...] = (), tails: bool = False) -> DataFrame:
     """Delete later copies of runs of lines from ``docs`` (doc_id, text).
 
     Per row: doc_id, n_lines, n_removed, n_runs (maximal removed runs, white lines between them not counted),
     kept_sha256 (of the text that stays), ``text`` (that text) and the columns named by ``keep``. Places are ordered by
     doc_id (null last), rows of one id in any fixed order, then line. A later place of a fingerprint goes with the lines
-    around it that equal those around its first place; a first place never goes, so every removed line stands earlier
-    somewhere. Every run of at least ``window_words`` words that also stands earlier loses at least the stretch of a
-    fingerprint; what has less than ``stretch_words`` words stays. Lines without words are not counted as lines, match
+    around it that equal those around its first place or around the first place of a window it is the fingerprint of; every
+    removed line stands earlier somewhere. Every window that also stands earlier goes whole. With ``tails`` so does every
+    longer run; without, its last lines, with less than ``window_words`` words, stay if they do not follow the first place
+    of the window before them. What has less than ``stretch_words`` words stays. Lines without words are not counted as lines, match
     nothing and stay, except for those next to a removed line after it. Null text is empty; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
@@ -108,20 +120,27 @@ def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, w
                 _, _, h, words = split_lines(text)
                 packed.append(pack.compress(text.encode("utf-8", "surrogatepass")))
                 hashes.append(h)
-                prints.append([{"at": at, "f": digest} for at, digest in fingerprints(h, words, stretch_words, window_words)])
+                found = fingerprints(h, words, stretch_words, window_words, tails)
+                prints.append([{"at": at, "f": digest, "w": np.array(w, dtype=np.uint64).view(np.int64)} for at, digest, w in found])
             out["packed"], out["lines"], out["prints"] = packed, hashes, prints
             yield out
 
     extra = "".join(f"`{k}` {kinds[k]}, " for k in own)
-    schema = f"doc_id long, {extra}row long, packed binary, lines array<long>, prints array<struct<at:int,f:binary>>"
+    schema = f"doc_id long, {extra}row long, packed binary, lines array<long>, prints array<struct<at:int,f:binary,w:array<bigint>>>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *own)
     rows = materialize(texts.mapInPandas(measure, schema), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("p.at").alias("at"))
-    places = rows.select("doc_id", "row", F.explode("prints").alias("p")).select("row", F.col("p.f").alias("f"), F.col("p.at").alias("at"), order.alias("o"))
+    places = rows.select("doc_id", "row", F.explode("prints").alias("p")).select("row", F.col("p.f").alias("f"), F.col("p.at").alias("at"), F.col("p.w").alias("w"), order.alias("o"))
     first = places.groupBy("f").agg(F.min("o").alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = places.join(first, "f").where(F.col("o") != F.col("first"))
+    shared = materialize(places.join(first.drop("k"), "f"), "places")
+    windows = shared.withColumn("w", F.explode("w"))
+    # Only windows that begin elsewhere than their fingerprint; the others are met by its first place.
+    heads = windows.groupBy("f", "w").agg(F.min("o").alias("head"), F.count("*").alias("k"), F.min("first").alias("first"))
+    heads = heads.where((F.col("k") > 1) & (F.col("head") != F.col("first"))).select("f", "w", "head")
+    inner = windows.drop("first").join(heads.withColumnRenamed("head", "first"), ["f", "w"])
+    later = shared.select("row", "at", "o", "first").union(inner.select("row", "at", "o", "first")).where(F.col("o") != F.col("first"))
     later = later.select("row", F.col("first.r").alias("first_row"), (F.col("at") - F.col("first.at")).alias("shift"), "at")
-    diagonals = later.groupBy("row", "first_row", "shift").agg(F.collect_list("at").alias("places"))
+    diagonals = later.groupBy("row", "first_row", "shift").agg(F.collect_set("at").alias("places"))
     diagonals = materialize(diagonals, "diagonals")
     lines = rows.select("row", "lines")
     met = diagonals.join(lines.withColumnRenamed("row", "first_row").withColumnRenamed("lines", "first_lines"), "first_row").join(lines, "row")

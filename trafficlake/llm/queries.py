@@ -94,7 +94,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_winnowing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove_repeated_lines(table(spark, sf_dir, "documents")).drop("text")
+    return lines.remove_repeated_lines(table(spark, sf_dir, "documents"), tails=True).drop("text")
 
 
 @query("op9_hyperminhash", _NEAR_TEXT_SQL)
