@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trafficlake.llm import packing, token_codes
+import corpus_pipeline
+from trafficlake.llm import packing, queries, token_codes
 from trafficlake.llm.tokens import Encoder
 from trafficlake.session import scratch_path
 
@@ -25,6 +26,40 @@ def test_cached_ids_equal_whole_text_ids(name):
     assert encoder.encode_each([]) == [] and [len(x) for x in encoder.encode_each(["", ""])] == [0, 0]
 
 
+SPECIAL = [
+    "one <|endoftext|> two", "one<|endoftext|>two", " <|endoftext|> <|endoftext|>\n two", "x  <|endoftext|>  \n y", "<|endoftext|>", "a\t<|endoftext|> b", "<|endoftext|>\x01 b",
+    "<|startoftext|>É <|endoftext|>'s  ", "<|ENDOFTEXT|> <|end oftext|>", "\n\n<|endoftext|><|endoftext|>\n", "e<|endoftext|>́ x", "<|endoftext|",
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_as_in_the_tokenizer_as_loaded(name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    rng = np.random.default_rng(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "\t", "a", "It's", "9", "é", "̈", "\x01", "<|", "|>", "."]
+    texts = SPECIAL + [t or "" for _, t, _ in odd_rows()] + ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)]
+    encoder = Encoder(public_tokenizers.path(name), special_tokens=True)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_queries_take_special_tokens_as_loaded(spark, tmp_path):
+    docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(SPECIAL)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for name, end in (("word_bpe_49k.json", 1), ("byte_bpe_50k.json", 0)):
+        plain, start = Tokenizer.from_file(public_tokenizers.path(name)), 0
+        for i, text in enumerate(SPECIAL):
+            ids = np.array([*plain.encode(text, add_special_tokens=False).ids, end], dtype="<u4")
+            want[end, i] = (start if end == 0 else 0, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+    packed = [queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, "")]
+    for got in packed:
+        assert {(1, r["doc_id"]): (r["start"], r["length"], r["ids_crc32"]) for r in got.collect()} == {k: v for k, v in want.items() if k[0] == 1}
+    got = queries.QUERIES["op4_token_codes"](spark, str(tmp_path)).collect()
+    assert {(0, r["doc_id"]): (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == {k: v for k, v in want.items() if k[0] == 0}
+
+
 @pytest.mark.parametrize("widths", [(1, 1, 2), (2, 2), (4,)])
 def test_any_token_by_random_access(widths):
     rng = np.random.default_rng(2)

@@ -69,12 +69,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special_tokens=True)
 
 
 @query("op4_token_codes")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_codes.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_codes.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_tokens=True)
 
 
 @query("op5_source_mixing")

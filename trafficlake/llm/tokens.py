@@ -2,7 +2,7 @@
 
 The vocabularies split a text before merging, and never across the end of a run of non-blank characters. Distinct
 chunks are therefore encoded once and looked up afterwards (by a 64-bit hash of their bytes); the ids equal those
-of the whole text.
+of the whole text. The vocabularies' special tokens hold no blank, so one in a text lies inside a chunk.
 """
 
 from __future__ import annotations
@@ -25,18 +25,23 @@ _BLANK[[0x20, 0x0A]] = True
 #: First bytes of white space other than blank and newline (many other characters start so, too).
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_OPEN: dict[str, "Encoder"] = {}
+_OPEN: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    """Encodes texts to unsigned 32-bit ids."""
+    """Encodes texts to unsigned 32-bit ids.
 
-    def __init__(self, path: str):
+    With ``special_tokens`` the tokenizer is as loaded: a special token's text is its id. Without, it is split as other text.
+    """
+
+    def __init__(self, path: str, special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special_tokens else []
+        self.special = re.compile("|".join([*special, _MARK]))
         # Blanks are dropped where " a" and "a" are the same; else they belong to the chunk that follows.
         self.drops_blanks = self._ids(" \n a").tolist() == self._ids("a").tolist()
         mark = self._ids(("a " if self.drops_blanks else "a\n") + _MARK)[len(self._ids("a")) :]
@@ -54,13 +59,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _encode_new(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk. Chunks that stay apart from a mark are encoded in one go and cut at the marks."""
+        """Ids of each chunk. Chunks that stay apart from a mark are encoded in one go and cut at the marks; others, and those
+        with a mark or a special token, go one by one."""
         out: list[np.ndarray | None] = [None] * len(chunks)
         if self.drops_blanks:
-            joined = [i for i, c in enumerate(chunks) if _MARK not in c]
+            joined = [i for i, c in enumerate(chunks) if not self.special.search(c)]
             glue = f" {_MARK} "
         else:
-            joined = [i for i, c in enumerate(chunks) if c[:1] in " \n" and c[-1:] not in " \n" and _MARK not in c and not _OTHER_BLANK.search(c)]
+            joined = [i for i, c in enumerate(chunks) if c[:1] in " \n" and c[-1:] not in " \n" and not self.special.search(c) and not _OTHER_BLANK.search(c)]
             glue = f"\n{_MARK}"
         for b in range(0, len(joined), 5_000):
             part = joined[b : b + 5_000]
@@ -142,8 +148,8 @@ class Encoder:
         return np.split(ids, ends[:-1]) if len(texts) else []
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_tokens: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file, opened once."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    if (path, special_tokens) not in _OPEN:
+        _OPEN[path, special_tokens] = Encoder(path, special_tokens)
+    return _OPEN[path, special_tokens]
