@@ -22,6 +22,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"],
     "op9": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op12": ["word", "n", "n_near", "form", "form_n", "root"],
+    "op13": ["item_id", "rank", "doc_id", "score"],
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="generated tables not present")

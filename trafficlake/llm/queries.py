@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact_search, lines, minhash, mixing, near_vectors, packing, quality, repeats, token_codes, toxicity
+from . import (
+    impact_search, lines, minhash, mixing, near_vectors, packing, quality, ranked_search, repeats, spelling, token_codes, token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +59,37 @@ _NEAR_TEXT_SQL = """WITH RECURSIVE d AS (SELECT doc_id,
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# levenshtein of SQL counts bytes, so letters beyond ASCII are exchanged for ASCII signs that no word holds.
+_WIDE, _NARROW = "".join(map(chr, range(0xC0, 0x100))), "0123456789" + _UPPER + "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+
+_SPELLING_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+  o AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM d WHERE length(run) >= 6 GROUP BY 1, 2),
+  b AS (SELECT run, n, list_prepend(4294967295, flatten(list_transform(range(length(x) // 2), lambda i: [CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS e FROM o),
+  h AS (SELECT run, n, xor(list_reduce(e, lambda c, y: xor(xor(c, y) >> 1, (xor(c, y) & 1) * 3988292384)), 4294967295) AS h FROM b),
+  k AS (SELECT n, CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+  w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS l, translate(word, '{_WIDE}', '{_NARROW}') AS t FROM k WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+  a AS (SELECT *, unnest([l - 1, l, l + 1]) AS m FROM w),
+  p AS (SELECT a.word, a.n, z.word AS near, z.n AS near_n FROM a JOIN w z ON z.l = a.m AND z.word <> a.word AND levenshtein(a.t, z.t) = 1),
+  q AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM p),
+  f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+    FROM w LEFT JOIN q ON q.word = w.word AND q.r = 1),
+  g(word, root) AS (SELECT word, word FROM f UNION SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, g.root FROM f JOIN g ON g.word = f.word JOIN f e ON e.word = g.root AND e.form IS NULL"""
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_RANKED_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+  g AS (SELECT count(*) AS c, CAST(sum(n) AS BIGINT) AS l FROM s),
+  t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+  i AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM benchmark)),
+  x AS (SELECT t, CAST(floor(1000 * ln((2 * c + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM t GROUP BY 1), g),
+  p AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * c) // l)))) AS BIGINT) AS score
+    FROM i JOIN x USING (t) JOIN t USING (t) JOIN s USING (r), g GROUP BY 1, 2, 3),
+  k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50"""
+
+
 @query("op1_nnpu_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -105,3 +138,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_additive_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_pivotal_spellings", _SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+@query("op13_interval_search", _RANKED_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
