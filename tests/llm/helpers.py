@@ -84,20 +84,24 @@ def line_repeats(docs, stretch, window):
     def key(run):
         return xxhash.xxh3_128_digest(np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in run], dtype=np.uint64).tobytes())
 
-    first, places = {}, []
+    first, places = {}, set()
     for d, (_, _, lines) in enumerate(parsed):
         windows = [(i, shortest(lines, i, window)) for i in range(len(lines))]
         windows = [(i, e) for i, e in windows if e] or ([(0, len(lines))] if lines else [])
-        chosen = {}
         for i, e in windows:
             inside = [(s, shortest(lines, s, stretch)) for s in range(i, e)]
             inside = [(key(lines[s:t]), s) for s, t in inside if t and t <= e]
-            if inside:
-                k, s = min(inside)
-                chosen[s] = k
-        for s, k in chosen.items():
-            places.append((k, d, s))
-            first[k] = min(first.get(k, (d, s)), (d, s))
+            if not inside:
+                continue
+            k, s = min(inside)
+            # A fingerprint stands for itself, for its window, and for longer runs that are the shortest up to their last line.
+            keys = {k}
+            if words(lines[i:e]) >= window:
+                tails = [t for t in range(e + 1, len(lines) + 1) if words(lines[i:t]) >= window > words(lines[i + 1 : t])]
+                keys |= {(k, key(lines[i:t])) for t in (e, *tails)}
+            for x in keys:
+                places.add((x, d, s))
+                first[x] = min(first.get(x, (d, s)), (d, s))
     gone = [[False] * len(p[2]) for p in parsed]
     for k, d, s in places:
         if first[k] == (d, s):

@@ -12,14 +12,14 @@ from trafficlake.llm import mixing, packing, quality, toxicity
 from .helpers import WORD, docs_frame, odd_rows
 
 
-def scored(seed=1, n=900):
+def scored(seed=1, n=900, share=0.25):
     """Texts of which some hold one of a few bad words, some are rows of marks; labels for half of them."""
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(400)]
     docs, labels = [], []
     for i in range(n):
         parts = [rnd.choice(words) for _ in range(rnd.randrange(20, 200))]
-        toxic, good = int(rnd.random() < 0.25), int(rnd.random() < 0.7)
+        toxic, good = int(rnd.random() < share), int(rnd.random() < 0.7)
         if toxic:
             for _ in range(3):
                 parts.insert(rnd.randrange(len(parts)), rnd.choice(["Vile!", "awful", "nasty."]))
@@ -43,6 +43,28 @@ def test_nnpu_finds_the_words(spark):
     assert sorted(got) == sorted(again)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.32, 0.4, 0.5])
+def test_recall_holds_at_any_toxic_share(spark, share):
+    docs, labels = scored(7, 1500, share)
+    toxic = {i: t for i, _, t in labels}
+    got = toxicity.score_toxicity(docs_frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(toxic[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in toxic]
+    assert np.mean([p for t, p in held if t]) > 0.9 and np.mean([not p for t, p in held if not t]) > 0.95
+
+
+def test_fits_hold_their_bounds_with_one_id_on_most_rows(spark, monkeypatch):
+    docs, labels = scored(4, 600)
+    docs += [(1, f"again {i} and again", "s1") for i in range(3000)]
+    frame, marks = docs_frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = {}
+    fit, fit_nnpu = quality.fit, toxicity.fit_nnpu
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.setdefault("quality", len(x)) and fit(x, y))
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, *a: seen.update(p=len(p), u=len(u)) or fit_nnpu(p, u, *a))
+    quality.score_quality(frame, marks, max_labelled=120)
+    toxicity.score_toxicity(frame, marks, max_positive=20, max_unlabelled=200)
+    assert 60 <= seen["quality"] <= 120 and seen["p"] <= 20 and 100 <= seen["u"] <= 200
+
+
 def test_non_negative_risk_does_not_fit_unlabelled_positives():
     rng = np.random.default_rng(0)
     positive = [np.array([0, *rng.integers(1, 50, 3)]) for _ in range(200)]

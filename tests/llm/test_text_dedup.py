@@ -108,7 +108,7 @@ def test_repeated_runs_go_whole(spark):
     for seed in range(12):
         texts += beside_their_parts(seed)
     docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    kept = {r["doc_id"]: r["text"].split("\n") for r in lines.remove_repeated_lines(docs, tails=True).collect()}
+    kept = {r["doc_id"]: r["text"].split("\n") for r in lines.remove_repeated_lines(docs).collect()}
     parsed, gone = repeated_runs(texts, 50)
     before = set()
     for d, (own, away) in enumerate(zip(parsed, gone, strict=True)):
@@ -131,6 +131,16 @@ def test_lines_of_odd_rows(spark):
     assert lines.remove_repeated_lines(docs_frame(spark, [])).count() == 0
 
 
+def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    pairs = [(n, word[:n], word[:n].translate({97: 98, 98: 97})) for n in (1024, 2048, 4096)]
+    rows = [r for n, a, b in pairs for r in ((n, a, "s"), (n + 1, b, "s"), (n + 2, a + " one two three four", "s"), (n + 3, b + " one two three four", "s"))]
+    got = minhash.near_duplicates(docs_frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == r["doc_id"] and r["kept"] for r in got)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 80), (5, 80), (2, 50)])
 def test_near_duplicates_match_brute_force(spark, k, percent):
     texts = made_up(k, n=120) + [None, "", "one two", "ONE two", "one two three"]

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trafficlake.llm import packing, queries, token_codes
+from trafficlake.llm import packing, queries, token_codes, tokens
 from trafficlake.llm.tokens import Encoder
 from trafficlake.session import scratch_path
 
@@ -18,7 +18,6 @@ from .helpers import docs_frame, odd_rows
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_ids_equal_whole_text_ids(name):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     texts = [t or "" for _, t, _ in odd_rows()] + ["a\t b", "a \n\n b\t\n\nc  ", " a", "  \n", "a b  ", "a \x01 b", "!\x01? b", "̈ x é", ".", "a  \nb"]
     encoder = Encoder(public_tokenizers.path(name))
     for _ in range(2):
@@ -26,6 +25,32 @@ def test_cached_ids_equal_whole_text_ids(name):
     assert encoder.encode_each([]) == [] and [len(x) for x in encoder.encode_each(["", ""])] == [0, 0]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("n", [128, 1024, 4096])
+def test_chunks_that_polynomial_hashes_confuse_keep_their_own_ids(name, n):
+    plain, encoder = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+    texts = [*thue_morse(n), " " + thue_morse(n)[1] + " x", "x\t" * n]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_full_cache_starts_anew(name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 50)
+    plain, encoder = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+    for k in range(6):
+        texts = [" ".join(f"w{i * k % 71}" for i in range(40)), "y" * 900, f"{k} \n"]
+        assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.places) < 150
+
+
 SPECIAL = [
     "one <|endoftext|> two", "one<|endoftext|>two", " <|endoftext|> <|endoftext|>\n two", "x  <|endoftext|>  \n y", "<|endoftext|>", "a\t<|endoftext|> b", "<|endoftext|>\x01 b",
     "<|startoftext|>É <|endoftext|>'s  ", "<|ENDOFTEXT|> <|end oftext|>", "\n\n<|endoftext|><|endoftext|>\n", "e<|endoftext|>́ x", "<|endoftext|",
@@ -38,7 +63,7 @@ def test_special_tokens_as_in_the_tokenizer_as_loaded(name):
     rng = np.random.default_rng(4)
     parts = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "\t", "a", "It's", "9", "é", "̈", "\x01", "<|", "|>", "."]
     texts = SPECIAL + [t or "" for _, t, _ in odd_rows()] + ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)]
-    encoder = Encoder(public_tokenizers.path(name), special_tokens=True)
+    encoder = Encoder(public_tokenizers.path(name))
     for _ in range(2):
         assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 

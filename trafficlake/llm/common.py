@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, limit: int, seed: int, *keys: str) -> DataFrame:
+    """At most ``limit`` rows of distinct ``keys``, those of smallest seeded hash; the same on every run.
+
+    A bound on the hash, taken from the number of rows, leaves about twice as many rows before they are ordered.
+    """
+    n = df.count()
+    rows = df.select(*keys).withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    if n > 4 * limit:
+        rows = rows.where(F.shiftrightunsigned("_h", 16) < F.lit(int((1 << 48) * 2 * limit / n)))
+    return rows.distinct().orderBy("_h", *keys).limit(limit).select(*keys)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
     """Hint a broadcast when the measured size of a written table is within the bound.
 
@@ -66,10 +79,7 @@ def in_groups(frames: Iterator[pd.DataFrame], column: str = "text", chars: int =
 
 # --- words of many texts at once -----------------------------------------------------------------------------------
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+_LOWER = bytes(c + 32 if 0x41 <= c < 0x5B else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -109,18 +119,36 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class _Hashes(dict):
+    """Keyed 64-bit hashes of byte strings, kept per worker; no texts are known that make two of them equal."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_HASHES = _Hashes()
+#: Words whose hashes a worker keeps.
+_KEPT_WORDS = 1_000_000
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    if len(_HASHES) > _KEPT_WORDS:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and where each text's words end."""
-    blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join([*blobs, b""]), dtype=np.uint8)
-    if not len(data):
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    data = _LOWER[data]
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    ends = np.cumsum([len(b) + 1 for b in blobs])
-    return span_hash(prefix_hash(data), start, stop), np.searchsorted(start, ends)
+    words: list[bytes] = []
+    ends = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        words += text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        ends[i] = len(words)
+    return hash_words(words), ends
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:

@@ -142,7 +142,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     index = materialize(build_index(vectors.repartition(blocks, spread)), "index")
     queries = vectors.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"])
     groups = max(1, -(-n // every // QUERIES))
-    queries = queries.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("dims", F.size("v"))
+    queries = queries.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(groups))).withColumn("dims", F.size("v"))
     packed = materialize(queries.groupBy("g", "dims").agg(F.collect_list(F.struct("id", "v")).alias("queries")), "queries")
     met = packed.join(index.select("block", "dims"), "dims").join(index, ["block", "dims"])
 

@@ -41,10 +41,10 @@ def split_lines(text: str) -> tuple[list[str], list[int], np.ndarray, np.ndarray
     return lines, places, np.array(hashes, dtype=np.uint64).view(np.int64), np.array(words, dtype=np.int64)
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, window_words: int, tails: bool = False) -> list[tuple[int, bytes, list[int]]]:
+def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, window_words: int) -> list[tuple[int, bytes, list[int]]]:
     """(first line, 128-bit hash, 64-bit hashes of windows) of each window's smallest stretch, the first of equals.
 
-    The windows are those the stretch is the smallest of and, with ``tails``, the shortest runs up to a line with at least
+    The windows are those the stretch is the smallest of and the shortest runs up to a line with at least
     ``window_words`` words that begin with such a window: every line of a run with that many words is in one of either
     kind inside the run. A text with less than ``window_words`` words is one window, whose hash is not taken.
     """
@@ -60,7 +60,7 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, stretch_words: int, wind
     # Runs [i, e) by their first line: the window at i and the longer ones that are the shortest up to a line.
     back = np.searchsorted(total, total[1:] - window_words, side="right") - 1
     ends: dict[int, list[int]] = {}
-    for e, i in enumerate(back.tolist() if tails else (), 1):
+    for e, i in enumerate(back.tolist(), 1):
         if i >= 0 and window[i] < e:
             ends.setdefault(i, []).append(e)
     chosen: dict[int, list[int]] = {}
@@ -91,16 +91,15 @@ def extend(own: np.ndarray, first: np.ndarray, shift: int, places: list[int]) ->
     return [(int(a[k]), int(b[k])) for k in np.unique(np.searchsorted(a, places, side="right") - 1)]
 
 
-def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, window_words: int = WINDOW_WORDS, keep: tuple[str, ...] = (), tails: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, window_words: int = WINDOW_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete later copies of runs of lines from ``docs`` (doc_id, text).
 
     Per row: doc_id, n_lines, n_removed, n_runs (maximal removed runs, white lines between them not counted),
     kept_sha256 (of the text that stays), ``text`` (that text) and the columns named by ``keep``. Places are ordered by
     doc_id (null last), rows of one id in any fixed order, then line. A later place of a fingerprint goes with the lines
     around it that equal those around its first place or around the first place of a window it is the fingerprint of; every
-    removed line stands earlier somewhere. Every window that also stands earlier goes whole. With ``tails`` so does every
-    longer run; without, its last lines, with less than ``window_words`` words, stay if they do not follow the first place
-    of the window before them. What has less than ``stretch_words`` words stays. Lines without words are not counted as lines, match
+    removed line stands earlier somewhere. Every window that also stands earlier goes whole, and so does every
+    longer run. What has less than ``stretch_words`` words stays. Lines without words are not counted as lines, match
     nothing and stay, except for those next to a removed line after it. Null text is empty; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
@@ -120,7 +119,7 @@ def remove_repeated_lines(docs: DataFrame, stretch_words: int = STRETCH_WORDS, w
                 _, _, h, words = split_lines(text)
                 packed.append(pack.compress(text.encode("utf-8", "surrogatepass")))
                 hashes.append(h)
-                found = fingerprints(h, words, stretch_words, window_words, tails)
+                found = fingerprints(h, words, stretch_words, window_words)
                 prints.append([{"at": at, "f": digest, "w": np.array(w, dtype=np.uint64).view(np.int64)} for at, digest, w in found])
             out["packed"], out["lines"], out["prints"] = packed, hashes, prints
             yield out

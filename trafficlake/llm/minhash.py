@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -112,8 +113,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         for f in in_groups(frames):
             sets = shingle_sets(f["text"].tolist(), shingle)
             out = pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n": [len(s) for s in sets]})
-            both = [(mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) for s in sets]
-            out["s1"], out["s2"] = np.array(both, dtype=np.uint64).reshape(-1, 2).view(np.int64).T
+            both = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64)
+            out["s1"], out["s2"] = both.reshape(-1, 2).T
             out["sketch"] = [r.tobytes() for r in sketches(sets)]
             yield out
 

@@ -178,11 +178,11 @@ def _rounded(histogram: dict[int, int], lengths: np.ndarray, counts: np.ndarray,
     return plan
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, special_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, and the batch and its rank by length in it."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, batch = encoder(tokenizer, special_tokens), TaskContext.get().partitionId() << 32
+        tokens, batch = encoder(tokenizer), TaskContext.get().partitionId() << 32
         for rows in in_groups(frames, chars=2_500_000):
             out = []
             for at, ids in enumerate(tokens.encode_each(rows["text"].tolist())):
@@ -225,12 +225,12 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*names, "rank", "before").mapInPandas(assign, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, special_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """Pack all ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty (one piece, the end id); documents longer than ``capacity`` are cut into pieces of it, the last
     one may be shorter. Null and repeated ids are packed as rows of their own; an empty table gives no rows. Only the
     histogram (at most ``capacity`` rows) reaches the driver; the plan's size depends on it, not on the number of rows.
-    With ``special_tokens`` a special token's text is its id, as in the tokenizer as loaded; without, it is split as other text.
+    A special token's text is its id, as in the tokenizer as loaded.
     """
-    return place_pieces(materialize(token_pieces(docs, tokenizer, capacity, end_id, special_tokens), "pieces"), capacity)
+    return place_pieces(materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, in_groups, text_batches, text_of
+from .common import bounded_sample, crc32_of, in_groups, text_batches, text_of
 
 #: Bound of the fit: labelled rows.
 MAX_LABELLED = 20_000
@@ -192,16 +192,18 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, pair_ro
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_labelled: int = MAX_LABELLED, seed: int = 5) -> Additive:
-    """Fit on a seeded sample of at most ``max_labelled`` labelled rows outside the held-out fold."""
+    """Fit on a seeded sample of at most ``max_labelled`` labelled rows outside the held-out fold; equal rows are learnt once."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = marks.where(F.pmod(crc32_of("doc_id"), F.lit(folds)) != held_out).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id")  # at most max_labelled ids
+    marks = marks.where(F.pmod(crc32_of("doc_id"), F.lit(folds)) != held_out)
+    chosen = F.broadcast(marks.join(bounded_sample(marks, max_labelled, seed, "doc_id"), "doc_id"))  # at most max_labelled ids
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.xxhash64("text")).join(chosen, "doc_id")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in in_groups(frames):
-            yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "x": list(feature_matrix(f["text"].tolist()))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "digest": f["digest"], "quality": f["quality"], "x": list(feature_matrix(f["text"].tolist()))})
 
-    seen = rows.mapInPandas(measure, "doc_id long, quality int, x array<double>").toPandas()
+    measured = rows.mapInPandas(measure, "doc_id long, digest long, quality int, x array<double>").dropDuplicates(["doc_id", "digest"])
+    seen = measured.orderBy(F.xxhash64(F.lit(seed), "doc_id", "digest"), "doc_id", "digest").limit(max_labelled).drop("digest").toPandas()
     if not len(seen):
         return Additive(0.0)
     x = np.stack(seen["x"].to_numpy())

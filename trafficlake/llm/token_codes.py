@@ -155,8 +155,7 @@ def _store(folder: str):
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, widths: tuple[int, ...] = (1, 1, 2), tokens_per_file: int = 2_000_000,
-    special_tokens: bool = False,
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, widths: tuple[int, ...] = (1, 1, 2), tokens_per_file: int = 2_000_000
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending ``doc_id`` order to token files in ``folder``; the files' table.
 
@@ -164,14 +163,14 @@ def write_tokens(
     place. A file is written under a name of its attempt and then moved to its own name; a repeated task writes the
     same bytes again. Null text is empty, null ids come first, rows of equal id are ordered by text, and a document
     is never cut: one longer than ``tokens_per_file`` has a file alone. ``folder`` must be shared by all executors.
-    With ``special_tokens`` a special token's text is its id, as in the tokenizer as loaded; without, it is split as other text.
+    A special token's text is its id, as in the tokenizer as loaded.
     """
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         part, attempt, seq = task.partitionId(), task.taskAttemptId(), 0
         store, base = _store(folder)
-        tokens = encoder(tokenizer, special_tokens)
+        tokens = encoder(tokenizer)
         names, lengths, held, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
@@ -234,13 +233,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(first, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, special_tokens: bool = False) -> DataFrame:
+def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write all documents' ids to files in the shared folder and return what the files hold.
 
     An empty table gives no file and no row; repeated rows are repeated; columns beyond doc_id and text are not read.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
-    if not write_tokens(docs, folder, tokenizer, end_id, special_tokens=special_tokens).limit(1).count():
+    if not write_tokens(docs, folder, tokenizer, end_id).limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_tokens(spark, folder)

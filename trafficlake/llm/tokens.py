@@ -1,8 +1,8 @@
 """Token ids by public tokenizers, with a per-worker cache of ids by chunk of text.
 
 The vocabularies split a text before merging, and never across the end of a run of non-blank characters. Distinct
-chunks are therefore encoded once and looked up afterwards (by a 64-bit hash of their bytes); the ids equal those
-of the whole text. The vocabularies' special tokens hold no blank, so one in a text lies inside a chunk.
+chunks are therefore encoded once and looked up afterwards by their bytes; the ids equal those of the whole text. The
+vocabularies' special tokens hold no blank, so one in a text lies inside a chunk.
 """
 
 from __future__ import annotations
@@ -12,35 +12,28 @@ import re
 
 import numpy as np
 
-from .common import prefix_hash, span_hash
-
-#: Chunks and ids kept per worker before the cache starts anew.
-CACHED_CHUNKS = 2_000_000
-CACHED_IDS = 10_000_000
+#: Chunks and bytes of chunks kept per worker before the cache starts anew; longer chunks are not kept.
+CACHED_CHUNKS = 1_000_000
+CACHED_BYTES = 32 << 20
+LONGEST_CHUNK = 256
 
+#: White space other than blank and newline can join blanks of both sides in one chunk: such a text is encoded whole.
 _OTHER_BLANK = re.compile(r"[^\S \n]")
+_WITH_BLANKS = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
+_WITHOUT_BLANKS = re.compile(rb"[^ \n]+")
 _MARK = "\x01"
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, 0x0A]] = True
-#: First bytes of white space other than blank and newline (many other characters start so, too).
-_ODD = np.zeros(256, dtype=bool)
-_ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_OPEN: dict[tuple[str, bool], "Encoder"] = {}
+_OPEN: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Encodes texts to unsigned 32-bit ids.
-
-    With ``special_tokens`` the tokenizer is as loaded: a special token's text is its id. Without, it is split as other text.
-    """
+    """Encodes texts to unsigned 32-bit ids as the tokenizer of a vocabulary file does as loaded; a special token's text is its id."""
 
-    def __init__(self, path: str, special_tokens: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special_tokens
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special_tokens else []
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join([*special, _MARK]))
         # Blanks are dropped where " a" and "a" are the same; else they belong to the chunk that follows.
         self.drops_blanks = self._ids(" \n a").tolist() == self._ids("a").tolist()
@@ -49,10 +42,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.empty(0, dtype=np.uint64)
-        self.at = np.empty(0, dtype=np.int64)
-        self.n = np.empty(0, dtype=np.int64)
-        self.pool = np.empty(1 << 16, dtype="<u4")
+        self.places: dict[bytes, int] = {}
+        self.bytes = 0
+        self.at = np.empty(1 << 10, dtype=np.int64)
+        self.n = np.empty(1 << 10, dtype=np.int64)
+        self.pool = np.empty(1 << 12, dtype="<u4")
         self.used = 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -79,68 +73,55 @@ class Encoder:
                 begin = end + 1
         return [self._ids(chunks[i]) if x is None else x for i, x in enumerate(out)]
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        if len(self.hashes) > CACHED_CHUNKS or self.used > CACHED_IDS:
-            raise MemoryError
-        ids = self._encode_new(chunks)
+    def _write(self, chunks: list[bytes]) -> int:
+        """Put the ids of chunks behind those that are kept; arrays grow by doubling. Returns the number of ids."""
+        ids = self._encode_new([c.decode("utf-8", "surrogatepass") for c in chunks])
+        known = len(self.places)
         n = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, dtype="<u4")
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.empty(max(self.used, 2 * len(flat)), dtype="<u4")))
-        self.pool[self.used : self.used + len(flat)] = flat
-        where = np.searchsorted(self.hashes, hashes)
-        at = self.used + np.cumsum(n) - n
-        self.hashes, self.at, self.n = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.n, where, n)
-        self.used += len(flat)
-
-    def _spans(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and stops of all chunks in order."""
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8)))
-        start, stop = edge[::2], edge[1::2]
-        if self.drops_blanks:
-            return start, stop
-        doc = np.searchsorted(stops, start, side="right")
-        before = np.concatenate(([0], stop[:-1]))
-        start = np.maximum(before, begins[doc])
-        last = np.searchsorted(doc, np.arange(len(texts)), side="right") - 1
-        ended = np.where((last >= 0) & (doc[last] == np.arange(len(texts))), stop[last], begins) if len(stop) else begins
-        tail = ended < stops
-        start, stop, doc = np.concatenate((start, ended[tail])), np.concatenate((stop, stops[tail])), np.concatenate((doc, np.flatnonzero(tail)))
-        odd = np.flatnonzero(np.add.reduceat(_ODD[data], begins)) if len(data) else []
-        # Other white space can join blanks of both sides in one chunk: such a text is one chunk.
-        whole = np.array([i for i in odd if stops[i] > begins[i] and _OTHER_BLANK.search(texts[i])], dtype=np.int64)
-        if len(whole):
-            keep = ~np.isin(doc, whole)
-            start, stop = np.concatenate((start[keep], begins[whole])), np.concatenate((stop[keep], stops[whole]))
-        order = np.argsort(start, kind="stable")
-        return start[order], stop[order]
+        total = int(n.sum())
+        while known + len(n) > len(self.at):
+            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
+        while self.used + total > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.at[known : known + len(n)] = self.used + np.cumsum(n) - n
+        self.n[known : known + len(n)] = n
+        return total
+
+    def _places(self, chunks: list[bytes]) -> np.ndarray:
+        """Where the ids of each chunk lie. Long chunks are written behind the kept ones and overwritten next time."""
+        places = list(map(self.places.get, chunks))
+        if None in places:
+            new = dict.fromkeys(c for c, p in zip(chunks, places, strict=True) if p is None)
+            short, long = [c for c in new if len(c) <= LONGEST_CHUNK], [c for c in new if len(c) > LONGEST_CHUNK]
+            self.used += self._write(short)
+            self.places.update(zip(short, range(len(self.places), len(self.places) + len(short)), strict=True))
+            self.bytes += sum(map(len, short))
+            self._write(long)
+            beyond = dict(zip(long, range(len(self.places), len(self.places) + len(long)), strict=True))
+            places = [self.places[c] if len(c) <= LONGEST_CHUNK else beyond[c] for c in chunks]
+        return np.array(places, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids end."""
-        blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = b"\n".join([*blobs, b""])
-        data = np.frombuffer(raw, dtype=np.uint8)
-        stops = np.cumsum([len(b) + 1 for b in blobs], dtype=np.int64) - 1
-        begins = stops - np.array([len(b) for b in blobs], dtype=np.int64)
-        start, stop = self._spans(data, begins, stops, texts)
-        if not len(start):
-            return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
-        hashes, first, inverse = np.unique(span_hash(prefix_hash(data), start, stop), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, hashes)
-        new = self.hashes[np.minimum(place, len(self.hashes) - 1)] != hashes if len(self.hashes) else np.ones(len(hashes), dtype=bool)
-        if new.any():
-            if len(self.hashes) > CACHED_CHUNKS or self.used > CACHED_IDS:
-                self._forget()
-                new = np.ones(len(hashes), dtype=bool)
-            at = first[new]
-            self._learn(hashes[new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
-            place = np.searchsorted(self.hashes, hashes)
-        known = place[inverse]
+        cut = (_WITHOUT_BLANKS if self.drops_blanks else _WITH_BLANKS).findall
+        chunks: list[bytes] = []
+        ends = []
+        for text in texts:
+            blob = text.encode("utf-8", "surrogatepass")
+            if self.drops_blanks or not _OTHER_BLANK.search(text):
+                chunks += cut(blob)
+            elif blob:
+                chunks.append(blob)
+            ends.append(len(chunks))
+        if len(self.places) > CACHED_CHUNKS or self.bytes > CACHED_BYTES:
+            self._forget()
+        known = self._places(chunks)
         n = self.n[known]
-        total = np.cumsum(n)
-        ids = self.pool[np.repeat(self.at[known] - (total - n), n) + np.arange(total[-1])]
-        chunks_before = np.searchsorted(start, stops, side="right")
-        return ids, np.concatenate(([0], total))[chunks_before]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.repeat(self.at[known] - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[np.array(ends, dtype=np.int64)]
 
     def encode_each(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -148,8 +129,8 @@ class Encoder:
         return np.split(ids, ends[:-1]) if len(texts) else []
 
 
-def encoder(path: str, special_tokens: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, opened once."""
-    if (path, special_tokens) not in _OPEN:
-        _OPEN[path, special_tokens] = Encoder(path, special_tokens)
-    return _OPEN[path, special_tokens]
+    if path not in _OPEN:
+        _OPEN[path] = Encoder(path)
+    return _OPEN[path]

@@ -10,42 +10,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, in_groups, materialize, prefix_hash, span_hash, text_batches, text_of
+from .common import bounded_sample, crc32_of, hash_words, in_groups, materialize, text_batches, text_of
 
 #: Bounds of the fit: confirmed examples, unlabelled texts, words of the vocabulary.
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 24_000
 MAX_WORDS = 20_000
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-
-
-def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters (A-Z lower-cased), and the text each belongs to."""
-    blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join([*blobs, b""]), dtype=np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], _LETTER[data], [False])).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    ends = np.cumsum([len(b) + 1 for b in blobs])
-    return span_hash(prefix_hash(data), start, stop), np.searchsorted(ends, start, side="right")
+#: Letters with A-Z lower-cased; every other byte is a blank.
+_LETTERS = bytes(c + 32 if 0x41 <= c < 0x5B else c if 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in range(256))
 
 
 def words_present(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text, word) without repeats; with a sorted vocabulary the word is its place there, others are left out."""
-    words, owner = letter_words(texts)
-    if vocabulary is None:
-        uniq, code = np.unique(words, return_inverse=True)
-        pair = np.unique(owner.astype(np.int64) * max(1, len(uniq)) + code)
-        return pair // max(1, len(uniq)), uniq[pair % max(1, len(uniq))]
-    if not len(vocabulary):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    at = np.searchsorted(vocabulary, words)
-    hit = vocabulary[np.minimum(at, len(vocabulary) - 1)] == words
-    pair = np.unique(owner[hit].astype(np.int64) * len(vocabulary) + at[hit])
-    return pair // len(vocabulary), pair % len(vocabulary)
+    """Pairs (text, word) without repeats, by text: words are hashes of runs of letters. With a sorted vocabulary the word is
+    its place there, others are left out."""
+    words: list[bytes] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        own = set(text.encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+        words += own
+        sizes[i] = len(own)
+    owner, word = np.repeat(np.arange(len(texts)), sizes), hash_words(words)
+    if vocabulary is not None:
+        at = np.searchsorted(vocabulary, word)
+        hit = vocabulary[np.minimum(at, len(vocabulary) - 1)] == word if len(vocabulary) else np.zeros(len(word), dtype=bool)
+        owner, word = owner[hit], at[hit]
+    order = np.lexsort((word, owner))
+    return owner[order], word[order]
 
 
 @dataclass
@@ -129,7 +120,7 @@ def fit(positive_texts: DataFrame, unlabelled_texts: DataFrame, prior: float, cl
     """Fit on two bounded tables with a ``text``.
 
     The vocabulary is the words whose share of confirmed texts is above their share of unlabelled ones by ``min_z``
-    standard errors and ``min_lift`` times (counted on executors); only these and each text's few words of them reach the driver. Without
+    standard errors, and above the share among negatives that the prior implies ``min_lift`` times (counted on executors); only these and each text's few words of them reach the driver. Without
     confirmed texts or such words the score is the prior.
     """
     both = positive_texts.select("text", F.lit(1).alias("p")).union(unlabelled_texts.select("text", F.lit(0).alias("p")))
@@ -150,7 +141,9 @@ def fit(positive_texts: DataFrame, unlabelled_texts: DataFrame, prior: float, cl
     counts = both.mapInPandas(count, "word long, np long, nu long").groupBy("word").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     share = (F.col("np") + F.col("nu") + 1) / (n[0] + n[1] + 2)
     z = (F.col("np") / n[1] - F.col("nu") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    lifted = F.col("np") / n[1] >= min_lift * F.col("nu") / n[0]
+    # Unlabelled texts hold the positives, too: what is left of a word's share without them is the negatives'.
+    negatives = F.greatest((F.col("nu") / n[0] - prior * F.col("np") / n[1]) / (1 - prior), F.lit(0.0))
+    lifted = F.col("np") / n[1] >= min_lift * negatives
     found = counts.where((F.col("np") >= 3) & lifted).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect()
     vocabulary = np.sort(np.array([r["word"] for r in found], dtype=np.int64).view(np.uint64))
     if not len(vocabulary):
@@ -175,7 +168,8 @@ def score_toxicity(
 
     Labels (doc_id, toxic) are learnt outside the held-out fold only: rows whose crc32(doc_id) mod ``folds`` is
     ``held_out``. Confirmed examples are texts labelled 1 (of several labels of an id, the largest), unlabelled ones any
-    texts outside the fold, labels not looked at; both are seeded samples of at most the given numbers. The class prior
+    texts outside the fold, labels not looked at; both are seeded samples of at most the given numbers of rows of different
+    id or text (equal rows are learnt once). The class prior
     is the share of 1 among labels outside the fold. Null text is empty, null ids are scored but never learnt from, and
     every row gives one row. With no labels the score is the smallest prior.
     """
@@ -184,11 +178,15 @@ def score_toxicity(
     rows = docs.select(F.col("doc_id"), text_of().alias("text"), fold.alias("held_out"))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~fold)
     prior = marks.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    confirmed = marks.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id")
-    positive = rows.join(F.broadcast(confirmed), "doc_id", "left_semi")  # at most max_positive ids
-    others = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled)
-    unlabelled = rows.join(F.broadcast(others.distinct()), "doc_id", "left_semi")
+    known = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()).withColumn("digest", F.xxhash64("text"))
+    confirmed = bounded_sample(marks.where("toxic = 1"), max_positive, seed, "doc_id")
+    confirmed = known.join(F.broadcast(confirmed), "doc_id", "left_semi")  # at most max_positive ids, of any number of rows
+
+    def sampled(part: DataFrame, limit: int) -> DataFrame:
+        keys = materialize(bounded_sample(part, limit, seed, "doc_id", "digest"), "toxicity-sample")
+        return known.join(F.broadcast(keys), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])  # at most limit keys
+
+    positive, unlabelled = sampled(confirmed, max_positive), sampled(known, max_unlabelled)
     model = fit(positive, unlabelled, prior)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
