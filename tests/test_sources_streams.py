@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trafficlake.operators import quota as Q
 from trafficlake.operators.assemble import stream_latency
-from trafficlake.operators.cost import expression_cost
+from trafficlake.operators.cost import expression_cost, validate_cost_expression
 from trafficlake.session import scratch_path, shared_folder
 from trafficlake.sources import access_log, batch, bodies, sinks
 from trafficlake.streaming import traffic as S
@@ -168,3 +168,72 @@ def test_late_rows_draw_on_their_own_window(spark, tmp_path):
     q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r["request_id"]: (r["used"], r["refused"]) for r in spark.table("late_rows").collect()}
     assert got == {1: (0, False), 2: (0, False), 3: (1, False), 4: (6, False)}
+
+
+def shuffled(spark, df, folder, parts=8):
+    """Rows dealt over files at random; each file is a micro-batch."""
+    os.makedirs(folder, exist_ok=True)
+    for n in range(parts):
+        df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == n).toPandas().to_parquet(f"{folder}/{n:03d}.parquet", coerce_timestamps="us")
+        os.utime(f"{folder}/{n:03d}.parquet", (time.time() - 1000 + n * 10,) * 2)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def chunk_rows(spark):
+    return spark.range(120).selectExpr("id AS request_id", "explode(sequence(0, CAST(id % 9 AS INT))) AS seq").selectExpr(
+        "request_id", "seq", "CAST(10 + seq * 7 AS BIGINT) AS recv_ms", "CAST(seq * 3 AS BIGINT) AS output_tokens", "seq = request_id % 9 AS end_of_stream",
+        f"{HOUR} + seq * 1000000L + request_id AS at_us",
+    ).withColumn("at", F.timestamp_micros("at_us"))
+
+
+def test_stream_latency_does_not_depend_on_arrival(spark, tmp_path):
+    df = chunk_rows(spark)
+    got = run(spark, S.stream_latency_state(shuffled(spark, df, str(tmp_path / "in")), "at"), tmp_path).collect()
+    want = {r["request_id"]: (r["ttft_s"], r["tpot_s"]) for r in stream_latency(df).collect()}
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["ttft_s"], r["tpot_s"]) == pytest.approx(want[r["request_id"]])
+
+
+def test_a_stream_with_a_lost_chunk_waits_for_the_watermark(spark, tmp_path):
+    df = chunk_rows(spark)
+    lost = df.where("NOT (request_id % 9 = 5 AND seq = 3)")
+    later = df.where("request_id = 0").withColumns({"request_id": F.lit(5000).cast("bigint"), "at": F.col("at") + F.expr("INTERVAL 1 DAY")})
+    src = shuffled(spark, lost, str(tmp_path / "in"))
+    later.toPandas().to_parquet(str(tmp_path / "in" / "900.parquet"), coerce_timestamps="us")
+    got = {r["request_id"]: (r["ttft_s"], r["tpot_s"]) for r in run(spark, S.stream_latency_state(src, "at"), tmp_path).collect()}
+    want = {r["request_id"]: (r["ttft_s"], r["tpot_s"]) for r in stream_latency(lost.union(later)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_stream_inflight_follows_event_time(spark, tmp_path):
+    calls = spark.range(300).selectExpr("id", "concat('r', id % 3) AS route", f"{24 * HOUR} + (id * 7919) % 3000 * 1000000 AS start_us", "id % 50 * 1000000 AS width")
+    moves = calls.selectExpr("id", "route", "explode(array(named_struct('at_us', start_us, 'delta', 1L), named_struct('at_us', start_us + width, 'delta', -1L))) AS m").select("id", "route", "m.*")
+    last = spark.range(1).selectExpr("999L AS id", "'later' AS route", f"{72 * HOUR} AS at_us", "1L AS delta")
+    src = shuffled(spark, moves, str(tmp_path / "in"))
+    last.toPandas().to_parquet(str(tmp_path / "in" / "900.parquet"))
+    got = run(spark, S.stream_inflight(src, ["route"], "2 hours"), tmp_path).collect()
+    net = {}
+    for r in moves.collect():
+        net[r["route"], r["at_us"]] = net.get((r["route"], r["at_us"]), 0) + r["delta"]
+    want, gauge = set(), {}
+    for (route, at), d in sorted(net.items()):
+        gauge[route] = gauge.get(route, 0) + d
+        want.add((route, at, gauge[route]))
+    assert len(got) == len(want) and {(r["route"], r["at_us"], r["inflight"]) for r in got} == want
+
+
+def test_versions_by_event_time_and_no_second_copy_of_a_batch(spark, tmp_path):
+    df = requests(spark, 120).withColumnRenamed("cost", "input_tokens")
+    first = 24 * HOUR
+    table = [(1, first, "input_tokens"), (2, first + 30 * 60_000_000, "broken +"), (3, first + 60 * 60_000_000, "input_tokens + 100")]
+    conf = S.VersionedConfig(lambda: spark.createDataFrame(table, "version long, effective_us long, value string"), lambda e: validate_cost_expression(spark, e))
+    out = str(tmp_path / "out")
+    for attempt in range(2):  # the second run begins anew and writes its batches in place of the first one's
+        folder = str(tmp_path / "in")
+        src = shuffled(spark, df, folder, 3) if not attempt else spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        q = S.stream_with_versions(src.select("request_id", "at_us", "input_tokens"), conf, "at_us", expression_cost, out)
+        q.option("checkpointLocation", str(tmp_path / f"cp{attempt}")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["request_id"], r["cost"], r["config_version"]) for r in spark.read.parquet(out).collect())
+    want = [(r["request_id"], r["input_tokens"] + 100 * (r["at_us"] >= table[2][1]), 3 if r["at_us"] >= table[2][1] else 1) for r in df.collect()]
+    assert got == sorted(want)

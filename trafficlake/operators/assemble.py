@@ -7,6 +7,9 @@ text (roles, finish reasons, usage) uses order-free aggregates that combine map-
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from ..functions.columns import computed_once, exploded, non_empty, parse_struct
 
 BLOCK = 4096
 
+# Names of span events.
+FIRST_TOKEN = "First Token Stream Event"
+COMPLETED = "Response Completed Event"
+
 
 def joined_text(order: str, text: str) -> Column:
     """Group aggregate: texts joined in order, NULLs skipped."""
@@ -37,10 +44,15 @@ def _last(value: Column, order: str) -> Column:
 
 
 _USAGE = "struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>"
+_CHAT_USAGE = (
+    "struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint, "
+    "prompt_tokens_details: struct<audio_tokens: bigint, cached_tokens: bigint, cache_creation_input_tokens: bigint>, "
+    "completion_tokens_details: struct<audio_tokens: bigint, reasoning_tokens: bigint>>"
+)
 _CHAT_DDL = (
     "id string, model string, created bigint, service_tier string, system_fingerprint string, obfuscation string, "
     "choices array<struct<index: int, finish_reason: string, delta: struct<role: string, content: string, "
-    f"annotations: array<string>>>>, usage {_USAGE}"
+    f"annotations: array<string>>>>, usage {_CHAT_USAGE}"
 )
 
 
@@ -102,12 +114,8 @@ def assemble_chat(chunks: DataFrame, key: str = "request_id", order: str = "seq"
     )
 
 
-def assemble_completions(chunks: DataFrame, key: str = "request_id", order: str = "seq", chunk: str = "chunk") -> DataFrame:
-    """Completion chunks to one row per choice of the first chunk.
-
-    Text and finish reason per choice index (0 when absent); id, creation time, model and usage are
-    those of the last chunk (usage: last one given).
-    """
+def _completions(chunks: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
+    """Per response ``_h`` (metadata, usage and choices of the first chunk) and ``_parts`` (text and finish reason by choice)."""
     ddl = (
         f"id string, model string, created bigint, usage {_USAGE}, "
         "choices array<struct<index: int, text: string, finish_reason: string>>"
@@ -145,13 +153,25 @@ def assemble_completions(chunks: DataFrame, key: str = "request_id", order: str
 
     per_choice = combine(combine(rows, [key, "choice", "_b"], "_o"), [key, "choice"], "_b")
     head = F.when(F.col("choice") < 0, F.lit(1))
-    whole = per_choice.groupBy(key).agg(
+    return per_choice.groupBy(key).agg(
         F.max_by(F.struct("meta", "usage", "choices"), head).alias("_h"),
         F.collect_list(F.when(F.col("choice") >= 0, F.struct("choice", "text", "finish"))).alias("_parts"),
     )
+
+
+def _part(choice: Column) -> Column:
+    return F.get(F.filter("_parts", lambda p: p["choice"] == choice), F.lit(0))
+
+
+def assemble_completions(chunks: DataFrame, key: str = "request_id", order: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """Completion chunks to one row per choice of the first chunk.
+
+    Text and finish reason per choice index (0 when absent); id, creation time, model and usage are
+    those of the last chunk (usage: last one given).
+    """
+    whole = _completions(chunks, key, order, chunk)
     return exploded(whole, [key, "_h", "_parts"], F.col("_h.choices"), "_i", "choice").select(
-        key, "choice", "_h.meta.id", "_h.meta.model", "_h.meta.created", "_h.usage",
-        F.get(F.filter("_parts", lambda p: p["choice"] == F.col("choice")), F.lit(0)).alias("_p"),
+        key, "choice", "_h.meta.id", "_h.meta.model", "_h.meta.created", "_h.usage", _part(F.col("choice")).alias("_p"),
     ).select(
         key, "choice", "id", "model", "created", "usage", F.coalesce("_p.text", F.lit("")).alias("text"),
         F.col("_p.finish").alias("finish_reason"),
@@ -172,7 +192,7 @@ def assemble_messages(events: DataFrame, key: str = "request_id", order: str = "
     """
     ddl = (
         "type string, index int, message struct<id: string, model: string, role: string, "
-        "usage: struct<input_tokens: bigint, output_tokens: bigint>>, "
+        "usage: struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>>, "
         "content_block struct<type: string, text: string, id: string, name: string, thinking: string, signature: string>, "
         "delta struct<text: string, partial_json: string, thinking: string, signature: string, "
         "stop_reason: string, stop_sequence: string>, usage struct<output_tokens: bigint>"
@@ -227,11 +247,88 @@ def assemble_messages(events: DataFrame, key: str = "request_id", order: str = "
         F.col("_h._m.role").alias("role"),
         F.col("_h._m.usage.input_tokens").alias("input_tokens"),
         F.coalesce("_h._out", "_h._m.usage.output_tokens").alias("output_tokens"),
+        F.col("_h._m.usage.cache_read_input_tokens").alias("cache_read_input_tokens"),
+        F.col("_h._m.usage.cache_creation_input_tokens").alias("cache_creation_input_tokens"),
         F.col("_h._reason").alias("stop_reason"),
         "content",
     )
 
 
+# --- folded streams as response bodies --------------------------------------------------------------
+
+
+def _chat_body(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    message = F.struct("role", "content", F.when(F.size("annotations") > 0, F.col("annotations")).alias("annotations"))
+    choice = F.struct(F.lit(0).alias("index"), message.alias("message"), F.col("finish_reason"))
+    return assemble_chat(chunks, key, order, data).select(
+        key,
+        F.to_json(
+            F.struct(
+                "id", F.lit("chat.completion.chunk").alias("object"), "created", "model", "service_tier", "system_fingerprint", "obfuscation",
+                F.array(choice).alias("choices"), "usage",
+            )
+        ).alias("response_body"),
+    )
+
+
+def _completion_body(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    def choice(n: Column) -> Column:
+        return F.struct(n.alias("index"), F.coalesce(_part(n)["text"], F.lit("")).alias("text"), _part(n)["finish"].alias("finish_reason"))
+
+    return _completions(chunks, key, order, data).select(
+        key, F.to_json(F.struct("_h.meta.id", "_h.meta.created", "_h.meta.model", F.transform("_h.choices", choice).alias("choices"), "_h.usage")).alias("response_body")
+    )
+
+
+def _messages_body(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    def block(i: Column) -> Column:
+        # An index without a start is an empty block, so that later ones keep their place.
+        b = F.get(F.filter("content", lambda x: x["idx"] == i), F.lit(0))
+        return F.struct(
+            b["type"].alias("type"), b["text"].alias("text"), b["thinking"].alias("thinking"), b["signature"].alias("signature"),
+            b["tool_id"].alias("id"), b["tool_name"].alias("name"), F.try_parse_json(b["tool_input"]).alias("input"),
+        )
+
+    last = F.array_max(F.transform("content", lambda x: x["idx"]))
+    content = F.when(last.isNotNull(), F.transform(F.sequence(F.lit(0), last), block))
+    usage = F.struct("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    return assemble_messages(chunks, key, order, data).select(
+        key, F.to_json(F.struct("id", "model", "role", content.alias("content"), "stop_reason", usage.alias("usage"))).alias("response_body")
+    )
+
+
+_BODIES = {"chat": _chat_body, "completion": _completion_body, "responses": assemble_responses, "messages": _messages_body}
+STREAM_OPERATIONS = tuple(_BODIES)
+
+
+def stream_bodies(
+    chunks: DataFrame, key: str = "request_id", order: str = "seq", data: str = "chunk", operation: str = "operation",
+    operations: Sequence[str] = STREAM_OPERATIONS,
+) -> DataFrame:
+    """Chunk streams of several operations folded to ``(key, response_body)``, the body an unstreamed answer would have.
+
+    Each operation in ``operations`` is one branch that reads its own chunks only (a table partitioned by operation is read
+    once in all); other chunks give no row. A responses stream that never completed has no body.
+    """
+    parts = [_BODIES[name](chunks.where(F.col(operation) == name), key, order, data) for name in operations]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stream_events(
+    chunks: DataFrame, key: str = "request_id", order: str = "seq", data: str = "chunk", operation: str = "operation", recv_ms: str = "recv_ms"
+) -> DataFrame:
+    """Events of each stream's span: ``(key, events)``, an array of ``(name, at_ms)`` by time.
+
+    The first chunk of any kind is an event, and so is the completion of a responses stream.
+    """
+    done = (F.col(operation) == "responses") & (F.get_json_object(data, "$.type") == "response.completed")
+    chunks = chunks.where(F.col(operation).isin(*STREAM_OPERATIONS))
+    first = F.array(F.struct(F.lit(FIRST_TOKEN).alias("name"), F.col("_first").alias("at_ms")))
+    completed = F.transform(F.array_sort("_done"), lambda x: F.struct(F.lit(COMPLETED).alias("name"), x.alias("at_ms")))
+    grouped = chunks.groupBy(key).agg(F.min_by(recv_ms, order).alias("_first"), F.collect_list(F.when(done, F.col(recv_ms))).alias("_done"))
+    return grouped.select(key, F.concat(first, completed).alias("events"))
+
+
 def stream_latency(
     chunks: DataFrame, keys: list[str] | None = None, order: str = "seq", recv_ms: str = "recv_ms",
     tokens: str = "output_tokens", end: str = "end_of_stream",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded, json_text, let, map_case, non_empty, parse_struct
+from .assemble import STREAM_OPERATIONS, stream_bodies, stream_events
 from .filtering import MAX_IMAGE_URL, TRACE_PLACEHOLDER, trimmed_image
 from .parse import MCP_SPAN_NAMES, http_error_message, http_error_type, mcp_error_label
 from .vectors import decode_embedding_list
@@ -600,6 +601,9 @@ _RESPONSES = {
 }
 
 
+_EVENTS = "array<struct<name: string, at_ms: bigint>>"
+
+
 def build_spans(
     df: DataFrame, operations: Sequence[str] = tuple(_REQUESTS), header_mapping: dict[str, str] | None = None,
     headers: str = "headers", ids: Sequence[str] = ("request_id",),
@@ -643,6 +647,30 @@ def build_spans(
     )
 
 
+def build_stream_spans(
+    requests: DataFrame, chunks: DataFrame, operations: Sequence[str] = tuple(_REQUESTS), header_mapping: dict[str, str] | None = None,
+    headers: str = "headers", key: str = "request_id", order: str = "seq", data: str = "chunk", operation: str = "operation", recv_ms: str = "recv_ms",
+) -> DataFrame:
+    """``build_spans`` for answers that came as chunk streams, with the span's ``events``.
+
+    ``requests`` is what ``build_spans`` reads; ``chunks`` holds ``(key, operation, order, data, recv_ms)``. A request's chunks
+    are folded to the body of its answer; a request without chunks keeps its own ``response_body`` and has no events. A failed
+    request has neither events nor response attributes, whatever arrived before. Chunks without a request give no row.
+    """
+    streamed = [name for name in operations if name in STREAM_OPERATIONS]
+    spans = requests.withColumn("_own", F.col("response_body") if "response_body" in requests.columns else F.lit(None).cast("string")).drop("response_body")
+    bodies = stream_bodies(chunks, key, order, data, operation, streamed) if streamed else None
+    if bodies is not None:
+        events = stream_events(chunks, key, order, data, operation, recv_ms)
+        spans = spans.join(bodies, key, "left").join(events, key, "left")
+    else:
+        spans = spans.withColumns({"response_body": F.lit(None).cast("string"), "events": F.lit(None).cast(_EVENTS)})
+    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    body = F.when(ok & F.col("events").isNotNull(), F.col("response_body")).otherwise(F.col("_own"))
+    spans = spans.withColumns({"response_body": body, "events": F.when(ok, F.coalesce("events", F.array().cast(_EVENTS))).otherwise(F.array().cast(_EVENTS))})
+    return build_spans(spans, operations, header_mapping, headers, (key, "events"))
+
+
 def build_mcp_spans(calls: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
     """Spans of paired MCP calls: name by method, attributes, error label."""
     code = F.col("error_code")

@@ -48,16 +48,18 @@ def _(t: Tables):
     )
 
 
+RESPONSE_EVENTS = """SELECT conv_id * 100 + turn AS request_id, pos AS seq, data FROM {c} LATERAL VIEW posexplode(array(
+    to_json(named_struct('type', 'response.created', 'response', named_struct('id', 'x'))),
+    to_json(named_struct('type', 'response.output_text.delta', 'delta', text)),
+    to_json(named_struct('type', 'response.completed', 'response', named_struct('id', 'x', 'model', 'r-1', 'text', text,
+      'output', array(named_struct('type', 'message', 'role', 'assistant', 'content', array(named_struct('type', 'output_text', 'text', text)))),
+      'usage', named_struct('input_tokens', turn + 1, 'output_tokens', 2, 'total_tokens', turn + 3)))))) p AS pos, data
+  WHERE role = 'assistant'"""
+
+
 @query("assemble_responses", f"SELECT {CONV}, text {_ASSISTANT}")
 def _(t: Tables):
-    events = t.sql(
-        """SELECT conv_id * 100 + turn AS request_id, pos AS seq, data FROM {c} LATERAL VIEW posexplode(array(
-             to_json(named_struct('type', 'response.created', 'response', named_struct('id', 'x'))),
-             to_json(named_struct('type', 'response.output_text.delta', 'delta', text)),
-             to_json(named_struct('type', 'response.completed', 'response', named_struct('id', 'x', 'text', text))))) p AS pos, data
-           WHERE role = 'assistant'""",
-        c=t.conversations,
-    )
+    events = t.sql(RESPONSE_EVENTS, c=t.conversations)
     return A.assemble_responses(events).select("request_id", F.get_json_object("response_body", "$.text").alias("text"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, Tables, with_views
-from ..operators.cost import expression_cost
+from ..operators.cost import expression_cost, validate_cost_expression
 from ..session import scratch_path
 from ..streaming import traffic as S
 from . import query
@@ -106,19 +106,41 @@ def _(t: Tables):
         S.stream_with_live_config(
             request_stream(t).select("request_id", "input_tokens"), conf,
             lambda batch, expr: expression_cost(batch, expr).select("request_id", "cost"),
-            lambda batch, _id: batch.write.mode("append").parquet(out),
+            lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}"),
         ).option("checkpointLocation", scratch_path(t.spark, "cp")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return t.spark.read.schema("request_id bigint, cost bigint").parquet(out)
+    return t.spark.read.schema("request_id bigint, cost bigint").parquet(out).select("request_id", "cost")
+
+
+CONFIGS = """SELECT version, lo + (hi - lo) * part DIV 4 AS effective_us, value FROM (SELECT min(start_us) AS lo, max(start_us) AS hi FROM {r}),
+  (VALUES (1, 1, 'input_tokens * 2'), (2, 2, 'input_tokens +'), (3, 3, 'input_tokens + 100'), (4, 3, 'no_such_counter')) AS v(version, part, value)"""
+
+
+@query(
+    "stream_with_versions",
+    REQ
+    + """, m AS (SELECT min(start_us) AS lo, max(start_us) AS hi FROM llm_requests)
+  SELECT request_id, CASE WHEN start_us >= lo + (hi - lo) * 3 // 4 THEN input_tokens + 100 ELSE input_tokens * 2 END AS cost,
+    CAST(CASE WHEN start_us >= lo + (hi - lo) * 3 // 4 THEN 3 ELSE 1 END AS BIGINT) AS config_version
+  FROM llm_requests, m WHERE start_us >= lo + (hi - lo) // 4""",
+)
+def _(t: Tables):
+    out = scratch_path(t.spark, "versions")
+    conf = S.VersionedConfig(lambda: t.sql(CONFIGS, r=t.llm_requests), lambda expr: validate_cost_expression(t.spark, expr))
+    requests = request_stream(t).select("request_id", "start_us", "input_tokens")
+    q = S.stream_with_versions(requests, conf, "start_us", expression_cost, out)
+    q.option("checkpointLocation", scratch_path(t.spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("request_id bigint, cost bigint, config_version bigint").parquet(out).select("request_id", "cost", "config_version")
 
 
 @query(
     "stream_inflight",
     FILT
     + """, m AS (SELECT route, start_us AS at_us, 1 AS d FROM filter_calls UNION ALL SELECT route, start_us + duration_ms * 60000000, -1 FROM filter_calls),
-   n AS (SELECT route, at_us, sum(d) AS d FROM m GROUP BY 1, 2)
-   SELECT route, at_us, CAST(sum(d) OVER (PARTITION BY route ORDER BY at_us) AS BIGINT) AS inflight FROM n""",
+   n AS (SELECT route, at_us, sum(d) AS d FROM m GROUP BY 1, 2), w AS (SELECT max(at_us) // 1000 * 1000 - 600000000 AS wm FROM m),
+   g AS (SELECT route, at_us, CAST(sum(d) OVER (PARTITION BY route ORDER BY at_us) AS BIGINT) AS inflight FROM n)
+   SELECT g.* FROM g, w WHERE at_us <= wm""",
 )
 def _(t: Tables):
     events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")

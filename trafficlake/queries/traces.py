@@ -9,6 +9,7 @@ from ..operators import traces as J
 from ..operators.filtering import apply_trace_visibility
 from ..operators.parse import parse_jsonrpc
 from . import query
+from .assemble import COMPLETION_CHUNKS, MESSAGE_EVENTS, RESPONSE_EVENTS
 from .parse import mcp_raw
 from .vectors import RERANK_SQL, _encode, rerank_bodies
 
@@ -217,6 +218,73 @@ def _(t: Tables):
     return s.select("request_id", "span_name", "span_status", at("tenant.id", "tenant"), at(J.MODEL, "model"), "exception_type")
 
 
+STREAM_KINDS = ("chat", "completion", "responses", "messages")
+
+
+def stream_requests(t: Tables):
+    """One streamed request of each kind per assistant turn; every fifth conversation fails after its first chunks."""
+    return t.sql(
+        """SELECT (conv_id * 100 + turn) * 4 + k AS request_id, operation, to_json(named_struct('model', 'asked')) AS request_body,
+             CASE WHEN conv_id % 5 = 0 THEN 'overloaded' END AS response_body, CASE WHEN conv_id % 5 = 0 THEN 429 ELSE 200 END AS status,
+             map('x-tenant', CAST(conv_id AS STRING)) AS headers
+           FROM {c} LATERAL VIEW posexplode(array('chat', 'completion', 'responses', 'messages')) o AS k, operation WHERE role = 'assistant'""",
+        c=t.conversations,
+    )
+
+
+def stream_chunks(t: Tables):
+    kinds = [t.chat_chunks.select("request_id", "seq", "chunk"), t.sql(COMPLETION_CHUNKS, c=t.conversations)]
+    kinds += [t.sql(sql, c=t.conversations).withColumnRenamed("data", "chunk") for sql in (RESPONSE_EVENTS, MESSAGE_EVENTS)]
+    parts = [
+        df.selectExpr(f"request_id * 4 + {k} AS request_id", f"'{name}' AS operation", "CAST(seq AS BIGINT) AS seq", "chunk", "CAST(seq * 10 + 7 AS BIGINT) AS recv_ms")
+        for k, (name, df) in enumerate(zip(STREAM_KINDS, kinds, strict=True))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_STREAMED = f"""WITH a AS (SELECT {CONV}, conv_id, turn, text, CAST(len(regexp_extract_all(text, ' ')) + 1 AS BIGINT) AS n, conv_id % 5 <> 0 AS ok FROM conversations WHERE role = 'assistant'),
+  r AS (SELECT request_id * 4 AS request_id, conv_id, ok, 'ChatCompletion' AS span_name, concat('model-', CAST(conv_id % 5 AS STRING)) AS model, text AS text0, CAST(NULL AS STRING) AS text1,
+      CAST(NULL AS STRING) AS call2, nullif(conv_id, 0) AS prompt, n AS completion, NULL AS done_ms FROM a
+    UNION ALL SELECT request_id * 4 + 1, conv_id, ok, 'Completion', concat('m', CAST(conv_id % 3 AS STRING)), text, translate(text, 'e', '3'), NULL, 1, n, NULL FROM a
+    UNION ALL SELECT request_id * 4 + 2, conv_id, ok, 'Responses', 'r-1', text, NULL, NULL, turn + 1, 2, 27 FROM a
+    UNION ALL SELECT request_id * 4 + 3, conv_id, ok, 'Message', 'claude-x', NULL, text, CASE WHEN turn % 3 <> 0 THEN concat('{{"turn":', CAST(turn AS STRING), '}}') END, turn, length(text), NULL FROM a)
+  SELECT request_id, span_name, CASE WHEN ok THEN 'Ok' ELSE 'Error' END AS span_status, CAST(conv_id AS STRING) AS tenant, CASE WHEN ok THEN model ELSE 'asked' END AS model,
+    CASE WHEN ok THEN text0 END AS text0, CASE WHEN ok THEN text1 END AS text1, CASE WHEN ok THEN call2 END AS call2, CASE WHEN ok THEN CAST(prompt AS STRING) END AS prompt,
+    CASE WHEN ok THEN CAST(completion AS STRING) END AS completion, CASE WHEN ok THEN 'First Token Stream Event' END AS event0, CASE WHEN ok THEN 7 END AS at0,
+    CASE WHEN ok THEN done_ms END AS done_ms, CASE WHEN NOT ok THEN 'RateLimitError' END AS exception_type, CASE WHEN NOT ok THEN 'Error code: 429 - overloaded' END AS exception_message FROM r"""
+
+
+@query("build_stream_spans", _STREAMED)
+def _(t: Tables):
+    s = J.build_stream_spans(stream_requests(t), stream_chunks(t), STREAM_KINDS, {"x-tenant": "tenant.id"})
+    o, c = "llm.output_messages", "llm.choices"
+
+    def either(*keys):
+        return F.coalesce(*[F.try_element_at("attributes", F.lit(k)) for k in keys])
+
+    return s.select(
+        "request_id", "span_name", "span_status", at("tenant.id", "tenant"), at(J.MODEL, "model"),
+        either(f"{o}.0.message.content", f"{c}.0.completion.text", f"{o}.0.message.contents.0.message_content.text").alias("text0"),
+        either(f"{o}.1.message.content", f"{c}.1.completion.text").alias("text1"), at(f"{o}.2.message.tool_calls.0.tool_call.function.arguments", "call2"),
+        at(J.TOKENS_PROMPT, "prompt"), at(J.TOKENS_COMPLETION, "completion"),
+        F.get("events", F.lit(0))["name"].alias("event0"), F.get("events", F.lit(0))["at_ms"].cast("int").alias("at0"),
+        F.get(F.filter("events", lambda e: e["name"] == "Response Completed Event"), F.lit(0))["at_ms"].cast("int").alias("done_ms"),
+        "exception_type", "exception_message",
+    )
+
+
+@query(
+    "build_mcp_spans",
+    MCP
+    + """, m AS (SELECT call_id, 'tools/call' AS method, full_tool_name AS tool, CASE WHEN error_code IS NULL THEN 'Ok' ELSE 'Error' END AS span_status,
+    CASE error_code WHEN -32602 THEN 'invalid_param' WHEN -32601 THEN 'unsupported_method' WHEN -32700 THEN 'invalid_json_rpc' WHEN -32603 THEN 'internal_error' END AS exception_type FROM mcp_calls)
+  SELECT call_id, 'CallTool' AS span_name, tool, span_status, exception_type FROM m""",
+)
+def _(t: Tables):
+    calls = t.mcp_calls.selectExpr("call_id", "CAST(call_id AS STRING) AS id", "'tools/call' AS method", "to_json(named_struct('name', full_tool_name)) AS params", "CAST(error_code AS BIGINT) AS error_code")
+    return J.build_mcp_spans(calls, ["call_id"]).select("call_id", "span_name", at("mcp.tool.name", "tool"), "span_status", "exception_type")
+
+
 @query(
     "unflatten_attrs",
     f"""SELECT {CONV}, 'input' AS side, 0 AS msg_idx, 'message' AS "group", CAST(NULL AS INT) AS sub_idx, 'role' AS field, 'user' AS value FROM conversations

@@ -7,7 +7,9 @@ dropped by timers.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,13 +76,35 @@ def _drop_timers(handle: StatefulProcessorHandle) -> None:
         handle.deleteTimer(t)
 
 
-STATE_BUCKETS = 256
 _BUCKET = "_bucket"
+#: Buckets of keys per shuffle partition, so that partitions hold about the same number of them.
+_SHARE = 4
 
 
-def _bucketed(stream: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Groups of many keys share one state call per micro-batch, which costs far more than its rows."""
-    return stream.withColumn(_BUCKET, F.pmod(F.hash(*keys), F.lit(buckets)))
+def _bucketed(stream: DataFrame, keys: Sequence[str], buckets: int | None) -> DataFrame:
+    """Groups of many keys share one state call per micro-batch, which costs far more than its rows.
+
+    Without a number there are as many as the session's shuffle partitions ask for; a stream that is restarted with
+    another number of partitions must name the one it began with, as a key's state lies in its bucket.
+    """
+    n = buckets or _SHARE * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stream.withColumn(_BUCKET, F.pmod(F.hash(*keys), F.lit(n)))
+
+
+class _Blob:
+    """One value of any shape per group, read and written once per micro-batch."""
+
+    def __init__(self, handle: StatefulProcessorHandle, empty: Callable[[], object]):
+        self.state, self.empty = handle.getValueState("held", "data binary"), empty
+
+    def read(self):
+        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.empty()
+
+    def write(self, value) -> None:
+        if value:
+            self.state.update((pickle.dumps(value, protocol=5),))
+        elif self.state.exists():
+            self.state.clear()
 
 
 def _schema_of(stream: DataFrame, names: Sequence[str], ddl: str = "") -> T.StructType:
@@ -94,39 +118,42 @@ def _plain(values) -> tuple:
 
 
 class _FixedWindow(StatefulProcessor):
-    """State per key of a bucket and open window: the cost used in it. A timer sweeps a window once the watermark has
-    passed its end, so a late row draws on the window it belongs to."""
+    """State of a bucket: the cost used per key and open window. Windows go once the watermark has passed their end, so a
+    late row draws on the window it belongs to."""
 
-    def __init__(self, limit: int, width_us: int, keys: list[str], key_schema: T.StructType):
+    def __init__(self, limit: int, width_us: int, keys: list[str]):
         self.limit, self.width, self.keys = limit, width_us, keys
-        self.key_schema = T.StructType([*key_schema.fields, T.StructField("window_us", T.LongType())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("windows", self.key_schema, "used long")
+        self.used = _Blob(handle, dict)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _sorted_rows(rows, ["at_us", "request_id"])
         pdf["_w"] = pdf["at_us"] // self.width * self.width
         by = [*self.keys, "_w"]
-        pdf["_owner"] = pdf.groupby(by, dropna=False, sort=False).ngroup()
-        names = pdf.drop_duplicates("_owner").set_index("_owner")[by]
-        ids = {i: _plain(row) for i, row in zip(names.index, names.itertuples(index=False))}
-        carried = {i: (self.state.getValue(k) or (0,))[0] for i, k in ids.items()}
-        pdf["used"] = pdf.groupby("_owner")["cost"].cumsum() - pdf["cost"] + pdf["_owner"].map(carried)
-        last = pdf.drop_duplicates("_owner", keep="last")
-        for i, used in zip(last["_owner"], last["used"] + last["cost"]):
-            self.state.updateValue(ids[i], (int(used),))
-        for w in last["_w"].unique():
-            self.handle.registerTimer((int(w) + self.width) // 1000 + 1)
-        pdf["refused"] = pdf["used"] >= self.limit
+        owner = pdf.groupby(by, dropna=False, sort=False).ngroup()
+        names = [_plain(row) for row in pdf.loc[~owner.duplicated(), by].itertuples(index=False)]
+        used = self.used.read()
+        carried = np.array([used.get(n, 0) for n in names], dtype=np.int64)
+        before = pdf.groupby(owner.to_numpy())["cost"].cumsum() - pdf["cost"] + carried[owner]
+        spent = np.zeros(len(names), dtype=np.int64)
+        np.add.at(spent, owner.to_numpy(), pdf["cost"].to_numpy())
+        used.update(zip(names, (carried + spent).tolist()))
+        self._keep(used, timerValues.getCurrentWatermarkInMs() * 1000)
+        pdf["used"], pdf["refused"] = before, before >= self.limit
         yield pdf[[*self.keys, "request_id", "at_us", "used", "refused"]]
 
+    def _keep(self, used: dict, now_us: int) -> None:
+        """Write the windows that are still open and set the timer of the one that ends first."""
+        used = {k: n for k, n in used.items() if k[-1] + self.width > now_us}
+        self.used.write(used)
+        _drop_timers(self.handle)
+        if used:
+            self.handle.registerTimer((min(k[-1] for k in used) + self.width) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for k, _used in list(self.state.iterator()):
-            if k[-1] + self.width <= now_us:
-                self.state.removeKey(k)
+        self._keep(self.used.read(), timerValues.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
@@ -175,7 +202,7 @@ class _TrailingWindow(StatefulProcessor):
 
 def stream_rate_limit(
     stream: DataFrame, keys: Sequence[str], at: str, cost: str, limit: int, unit: str | None = "Hour",
-    duration_s: int | None = None, request_id: str = "request_id", delay: str = "10 minutes",
+    duration_s: int | None = None, request_id: str = "request_id", delay: str = "10 minutes", buckets: int | None = None,
 ) -> DataFrame:
     """Fixed-window limit per key (``unit``), or a trailing one (``duration_s``), over a stream.
 
@@ -193,8 +220,8 @@ def stream_rate_limit(
     if duration_s:
         grouped, processor = rows.groupBy(*keys), _Keyed(_TrailingWindow(limit, duration_s), keys)
     else:
-        grouped = _bucketed(rows, keys, STATE_BUCKETS).groupBy(_BUCKET)
-        processor = _FixedWindow(limit, UNIT_SECONDS[unit] * 1_000_000, keys, _schema_of(stream, keys))
+        grouped = _bucketed(rows, keys, buckets).groupBy(_BUCKET)
+        processor = _FixedWindow(limit, UNIT_SECONDS[unit] * 1_000_000, keys)
     return grouped.transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=_schema_of(stream, keys, result), outputMode="Append", timeMode="EventTime"
     )
@@ -226,87 +253,85 @@ class _Keyed(StatefulProcessor):
 
 
 class _Latency(StatefulProcessor):
-    """State per unfinished stream of a bucket: first chunk time, highest token count, last event time.
+    """State of a bucket: per unfinished stream its first chunk time, time of its end, highest token count, last event time,
+    number of its end chunk and the numbers seen (how many from 0 on, and those beyond a gap).
 
-    Chunks combine without order, frame by frame; a stream that begins and ends inside one micro-batch
-    never touches the state. Silent streams are swept by a timer.
+    Chunks combine without order. A stream is complete when all numbers up to its end have been seen; one with a gap waits
+    for it until the watermark has passed its last chunk, and one without an end is forgotten after a silence.
     """
 
-    def __init__(self, key: str, key_schema: T.StructType, timeout_ms: int):
-        self.key, self.key_schema, self.timeout_ms = key, key_schema, timeout_ms
+    _BEST = {"first": "min", "end": "max", "tokens": "max", "last": "max", "end_seq": "max", "seq": "nunique"}
+
+    def __init__(self, key: str, timeout_ms: int):
+        self.key, self.timeout_ms = key, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", self.key_schema, "first_ms long, tokens long, last_ms long")
+        self.open = _Blob(handle, dict)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = []
         for pdf in rows:
-            later, ends = pdf["seq"] > 0, pdf["end_of_stream"].astype(bool)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "id": pdf[self.key], "first": pdf["recv_ms"], "tokens": pdf["output_tokens"].where(later).astype("float64"),
-                        "end": pdf["recv_ms"].where(later & ends).astype("float64"), "single": ends & ~later, "last": pdf["at_ms"],
-                    }
-                ).groupby("id").agg({"first": "min", "tokens": "max", "end": "max", "single": "max", "last": "max"})
-            )
-        g = pd.concat(parts).groupby(level=0).agg({"first": "min", "tokens": "max", "end": "max", "single": "max", "last": "max"})
-        pending = {k[0]: v for k, v in self.open.iterator()}
-        for rid in g.index.intersection(list(pending)):
-            first, tokens, last = pending[rid]
-            g.loc[rid, "first"] = min(first, g.loc[rid, "first"])
-            g.loc[rid, "tokens"] = np.nanmax([tokens, g.loc[rid, "tokens"]])
-            g.loc[rid, "last"] = max(last, g.loc[rid, "last"])
-        done = g["end"].notna() | g["single"]
-        for rid in g.index[done].intersection(list(pending)):
-            self.open.removeKey(_plain((rid,)))
-            del pending[rid]
-        for rid, first, tokens, last in g.loc[~done, ["first", "tokens", "last"]].itertuples():
-            entry = (int(first), 0 if tokens != tokens else int(tokens), int(last))
-            self.open.updateValue(_plain((rid,)), entry)
-            pending[rid] = entry
-        self._set_timer(v[2] for v in pending.values())
-        out = g[done]
-        tpot = ((out["end"] - out["first"]) / 1000.0 / (out["tokens"] - 1)).where(out["tokens"] > 1)
-        yield pd.DataFrame(
-            {self.key: out.index, "ttft_s": (out["first"] / 1000.0).to_numpy(), "tpot_s": pd.array(tpot.to_numpy(), dtype="Float64")}
-        )
-
-    def _set_timer(self, last_seen) -> None:
+            later, ends = pdf["seq"] > 0, pdf["end_of_stream"].fillna(False).astype(bool)
+            part = {
+                "id": pdf[self.key], "first": pdf["recv_ms"], "end": pdf["recv_ms"].where(later & ends), "tokens": pdf["output_tokens"].where(later),
+                "last": pdf["at_ms"], "end_seq": pdf["seq"].where(ends), "seq": pdf["seq"],
+            }
+            parts.append(pd.DataFrame(part).astype({c: "float64" for c in ("first", "end", "tokens", "end_seq")}))
+        pdf = pd.concat(parts)
+        got = pdf.groupby("id").agg(self._BEST)
+        held = self.open.read()
+        ids = [_plain((i,))[0] for i in got.index]
+        whole = (got["seq"] == got["end_seq"] + 1).to_numpy() & ~np.array([i in held for i in ids], dtype=bool)
+        done = {i: v for i, v, w in zip(ids, got[["first", "end", "tokens"]].itertuples(index=False), whole) if w}
+        numbers = pdf[pdf["id"].isin(got.index[~whole])].groupby("id")["seq"].agg(set)
+        for i, row, w in zip(ids, got.itertuples(index=False), whole):
+            if not w:
+                old = held.get(i, (np.inf, np.nan, np.nan, row.last, np.nan, 0, frozenset()))
+                prefix, beyond = old[5], {n for n in old[6] | numbers[i] if n >= old[5]}
+                while prefix in beyond:
+                    beyond.remove(prefix)
+                    prefix += 1
+                best = (np.fmax(old[1], row.end), np.fmax(old[2], row.tokens), max(old[3], int(row.last)), np.fmax(old[4], row.end_seq))
+                held[i] = (min(old[0], row.first), *best, prefix, frozenset(beyond))
+        yield from self._settle(done, held, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, done: dict, held: dict, now: int) -> Iterator[pd.DataFrame]:
+        """Emit what is complete or can wait no longer, forget what stays silent, keep the rest and set the next timer."""
+        done = {**done, **{k: v for k, v in held.items() if v[5] > v[4] or (v[4] == v[4] and v[3] <= now)}}
+        kept = {k: v for k, v in held.items() if k not in done and (v[4] == v[4] or v[3] + self.timeout_ms > now)}
+        self.open.write(kept)
         _drop_timers(self.handle)
-        oldest = min(last_seen, default=None)
-        if oldest is not None:
-            self.handle.registerTimer(oldest + self.timeout_ms)
+        if kept:
+            self.handle.registerTimer(min(v[3] if v[4] == v[4] else v[3] + self.timeout_ms for v in kept.values()))
+        if done:
+            first, end, tokens = (np.array([v[i] for v in done.values()], dtype=np.float64) for i in range(3))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                tpot = np.where(tokens > 1, (end - first) / 1000.0 / (tokens - 1), np.nan)
+            yield pd.DataFrame({self.key: list(done), "ttft_s": first / 1000.0, "tpot_s": pd.array(tpot, dtype="Float64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, kept = expiredTimerInfo.getExpiryTimeInMs(), []
-        for k, (_first, _tokens, last) in list(self.open.iterator()):
-            if last + self.timeout_ms <= now:
-                self.open.removeKey(k)
-            else:
-                kept.append(last)
-        self._set_timer(kept)
-        return iter([])
+        yield from self._settle({}, self.open.read(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stream_latency_state(
-    chunks: DataFrame, at: str, key: str = "request_id", timeout: int = 600, delay: str = "10 minutes"
+    chunks: DataFrame, at: str, key: str = "request_id", timeout: int = 600, delay: str = "10 minutes", buckets: int | None = None
 ) -> DataFrame:
-    """TTFT and time per output token of each chunk stream, emitted when the stream ends.
+    """TTFT and time per output token of each chunk stream, emitted once its chunks, numbered from 0, are all there up to the end.
 
-    A stream that stays silent for ``timeout`` seconds of event time is forgotten.
+    Chunks may arrive in any order within ``delay`` and come once each; a stream whose gap is not filled by then is emitted
+    without it. One without an end that stays silent for ``timeout`` seconds of event time is forgotten.
     """
     use_rocksdb(chunks.sparkSession)
     rows = chunks.withWatermark(at, delay).select(
-        key, at, "seq", F.col("recv_ms").cast("bigint").alias("recv_ms"), F.col("output_tokens").cast("bigint").alias("output_tokens"),
+        key, at, F.col("seq").cast("bigint").alias("seq"), F.col("recv_ms").cast("bigint").alias("recv_ms"), F.col("output_tokens").cast("bigint").alias("output_tokens"),
         "end_of_stream", F.unix_millis(at).alias("at_ms"),
     )
-    return _bucketed(rows, [key], STATE_BUCKETS).groupBy(_BUCKET).transformWithStateInPandas(
-        statefulProcessor=_Latency(key, _schema_of(chunks, [key]), timeout * 1000),
+    return _bucketed(rows, [key], buckets).groupBy(_BUCKET).transformWithStateInPandas(
+        statefulProcessor=_Latency(key, timeout * 1000),
         outputStructType=_schema_of(chunks, [key], "ttft_s double, tpot_s double"),
         outputMode="Append",
         timeMode="EventTime",
@@ -314,31 +339,56 @@ def stream_latency_state(
 
 
 class _Inflight(StatefulProcessor):
-    """State: the gauge of one label set."""
+    """State of one label set: the gauge at the last instant emitted, and the net moves of the instants after it.
+
+    Moves are held by instant until the watermark passes them, so the gauge follows event time whatever the order of
+    arrival; what is held is bounded by the moves of one delay.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gauge", "inflight long")
+        self.handle = handle
+        self.held = _Blob(handle, lambda: (0, None))
+
+    def _read(self) -> tuple[int, pd.Series]:
+        gauge, waiting = self.held.read()
+        return gauge, pd.Series(dtype="int64", index=pd.Index([], dtype="int64")) if waiting is None else waiting
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        gauge = self.state.get()[0] if self.state.exists() else 0
+        gauge, waiting = self._read()
         # Frames are netted one by one; only distinct instants are kept.
-        net = pd.concat([f.groupby("at_us")["delta"].sum() for f in rows]).groupby(level=0).sum().sort_index()
-        values = net.cumsum() + gauge
-        self.state.update((int(values.iloc[-1]),))
-        yield pd.DataFrame({"at_us": values.index.astype("int64"), "inflight": values.to_numpy()})
+        net = pd.concat([waiting, *(f.groupby("at_us")["delta"].sum() for f in rows)]).groupby(level=0).sum().sort_index()
+        yield from self._emit(gauge, net, timerValues.getCurrentWatermarkInMs())
+
+    def _emit(self, gauge: int, net: pd.Series, now_ms: int) -> Iterator[pd.DataFrame]:
+        passed = int(np.searchsorted(net.index.to_numpy(), now_ms * 1000, side="right"))
+        values, rest = net.iloc[:passed].cumsum() + gauge, net.iloc[passed:]
+        self.held.write((int(values.iloc[-1]) if passed else gauge, rest if len(rest) else None))
+        _drop_timers(self.handle)
+        if len(rest):
+            self.handle.registerTimer(-(-int(rest.index[0]) // 1000))
+        if passed:
+            yield pd.DataFrame({"at_us": values.index.astype("int64"), "inflight": values.to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._emit(*self._read(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def stream_inflight(moves: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Running gauge over a stream of ``(labels, at_us, delta)`` moves, +1 at start and -1 at end."""
+def stream_inflight(moves: DataFrame, by: Sequence[str], delay: str = "10 minutes") -> DataFrame:
+    """Running gauge over a stream of ``(labels, at_us, delta)`` moves, +1 at start and -1 at end.
+
+    Instants are emitted in order once the watermark, ``delay`` behind the latest move, has passed them; moves that come
+    later than that are dropped, as in every stream of this module.
+    """
     use_rocksdb(moves.sparkSession)
-    return moves.select(*by, "at_us", "delta").groupBy(*by).transformWithStateInPandas(
+    rows = moves.select(*by, "at_us", F.col("delta").cast("bigint").alias("delta"), F.timestamp_micros("at_us").alias("_at")).withWatermark("_at", delay)
+    return rows.groupBy(*by).transformWithStateInPandas(
         statefulProcessor=_Keyed(_Inflight(), list(by)),
         outputStructType=_schema_of(moves, by, "at_us long, inflight long"),
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -376,3 +426,56 @@ def stream_with_live_config(
 def cost_expression_config(spark, load: Callable[[], str]) -> LiveConfig:
     """Live configuration holding one cost expression."""
     return LiveConfig(load, lambda expr: validate_cost_expression(spark, expr))
+
+
+class VersionedConfig:
+    """Versions of a configuration table ``(version, effective_us, value)``; each row takes the one in force at its time.
+
+    The table is read before every micro-batch. A version that does not validate is left out, so the one before it stays in
+    force. A row's version depends on its own time alone: a micro-batch that is run again gives the same rows.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], validate: Callable[[str], None]):
+        self.load, self.validate = load, validate
+        self.known: dict[tuple, bool] = {}
+
+    def versions(self) -> list[tuple[int, int, str]]:
+        """Valid versions by time; a configuration has few of them."""
+        rows = self.load().select("version", "effective_us", "value").collect()
+        return sorted((tuple(r) for r in rows if self._valid(tuple(r))), key=lambda r: (r[1], r[0]))
+
+    def _valid(self, row: tuple) -> bool:
+        if row not in self.known:
+            try:
+                self.validate(row[2])
+                self.known[row] = True
+            except ValueError:
+                self.known[row] = False
+        return self.known[row]
+
+    def assign(self, batch: DataFrame, at_us: str, out: str = "config_version") -> tuple[DataFrame, list[tuple[int, int, str]]]:
+        """``batch`` with the version of each row (NULL before the first), and the versions."""
+        versions = self.versions()
+        chosen = F.lit(None).cast("bigint")
+        for version, since, _ in versions:
+            chosen = F.when(F.col(at_us) >= since, F.lit(version).cast("bigint")).otherwise(chosen)
+        return batch.withColumn(out, chosen), versions
+
+
+def stream_with_versions(
+    stream: DataFrame, config: VersionedConfig, at_us: str, apply: Callable[[DataFrame, str], DataFrame], path: str, out: str = "config_version"
+) -> DataStreamWriter:
+    """Each row is processed by the configuration in force at its time and written below ``path``.
+
+    A micro-batch is written to ``batch=<id>`` in place of what is there, so one that is run again leaves no second copy.
+    Rows before the first version are left out.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows, versions = config.assign(batch, at_us, out)
+        parts = [apply(rows.where(F.col(out) == version), value) for version, _, value in versions]
+        done = reduce(DataFrame.unionByName, parts) if parts else None
+        if done is not None:
+            done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(run)
