@@ -169,3 +169,63 @@ def test_bad_values_keep_the_body(spark, rows):
     df = spark.createDataFrame([(1, '{"a":1,"b":null}', {"t": "1-2"}, ["a"]), (2, '{"a":1,"b":null}', {"t": "null"}, None), (3, "[1]", {}, []), (4, '{"a":1}', None, ["a"])], schema)
     out = [(r["request_body"], r["mutation_error"] is None) for r in rows(H.apply_body_mutation(df), "id")]
     assert out == [('{"a":1,"b":null}', False), ('{"a":1,"b":null,"t":null}', True), (None, False), ("{}", True)]
+
+
+def test_rules_of_each_route_decide_as_the_single_list_does(spark):
+    rules = {
+        "a": [
+            H.AuthRule("Deny", condition="tool = 'drop'"),
+            H.AuthRule("Allow", targets=(("b", "t"),), claims=(H.ClaimRule("org.unit", ("x", "y")),), scopes=("read", "write")),
+            H.AuthRule("Allow", scopes=("admin",)),
+            H.AuthRule("Deny", claims=(H.ClaimRule("groups", ("ops",), "StringArray"),)),
+        ],
+        "b": [H.AuthRule("Allow", claims=(H.ClaimRule("scope", ("read",)),)), H.AuthRule("Allow", condition="CAST(tool AS INT) > 3"), H.AuthRule("Allow", scopes=("q", "r", "s"))],
+        "c": [],
+    }
+    defaults = {"a": "Deny", "b": "Allow", "c": "Deny"}
+    bodies = [None, {}, {"scope": "read write", "org": {"unit": "x"}}, {"scope": ["admin"]}, {"groups": ["dev", "ops"]}, {"groups": "ops", "scp": "read"}, {"org": {"unit": 3}}]
+    rows = [(r, token(b) if b is not None else None, t[0], t[1]) for r in "abcd" for b in bodies for t in (("b", "t"), ("b", "drop"), ("z", "7"), (None, None))]
+    calls_ = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, route string, authorization string, backend string, tool string")
+    table = [
+        (r, i, x.action, x.condition, [list(t) for t in x.targets] or None, [(c.path, list(c.values), c.kind) for c in x.claims] or None, list(x.scopes) or None)
+        for r, xs in rules.items() for i, x in enumerate(xs)
+    ]
+    schema = "route string, " + ", ".join(f"{c} {k}" for c, k in H.RULE_COLUMNS.items())
+    got = H.authorize_calls_by_route(
+        calls_, spark.createDataFrame(table, schema), spark.createDataFrame(list(defaults.items()), "route string, default_action string"), resource_metadata="https://m"
+    )
+    assert {"i", "route", "allowed", "rule_idx", "scope_challenge"} <= set(got.columns) and not [c for c in got.columns if c.startswith("_")]
+    want = {}
+    for r in "abcd":
+        one = H.authorize_calls(calls_.where(F.col("route") == r), rules.get(r), defaults.get(r, "Deny"), resource_metadata="https://m")
+        want |= {x["i"]: (x["allowed"], x["rule_idx"], x["scope_challenge"]) for x in one.collect()}
+    assert {x["i"]: (x["allowed"], x["rule_idx"], x["scope_challenge"]) for x in got.collect()} == want
+
+
+def test_routes_weigh_as_their_own_list_does(spark):
+    refs = {"a": [("x", 0, 3), ("y", 0, 2), ("z", 1, 9)], "b": [("m", 5, 1), ("n", 2, 0)], "c": [("n", 0, 0)]}
+    requests = spark.range(400).selectExpr("id AS request_id", "element_at(array('a', 'b', 'c', 'd'), CAST(1 + id % 4 AS INT)) AS route")
+    table = spark.createDataFrame([(r, *x) for r, xs in refs.items() for x in xs], "route string, backend string, priority int, weight int")
+    got = {r["request_id"]: r["selected_backend"] for r in H.weighted_backend_by_route(requests, table).collect()}
+    want = {}
+    for r in "abcd":
+        one = H.weighted_backend(requests.where(F.col("route") == r), [H.BackendRef(*x) for x in refs.get(r, [])])
+        want |= {x["request_id"]: x["selected_backend"] for x in one.collect()}
+    assert got == want and {"x", "y", "m", None} == set(got.values())
+
+
+@pytest.mark.parametrize(
+    "condition",
+    ["to_date(arg) IS NOT NULL", "to_timestamp(arg) > TIMESTAMP'2020-01-01 00:00:00'", "element_at(split(arg, ','), 3) = 'c'", "int(arg) > 3", "to_number(arg, '99') = 3", "mod(n, n) = 0"],
+)
+def test_conditions_that_fail_are_no_match(spark, condition):
+    df = spark.createDataFrame([(1, None, "b", "t", "a,b", 0)], "i int, authorization string, backend string, tool string, arg string, n int")
+    out = H.authorize_calls(df, [H.AuthRule("Allow", condition=condition)]).collect()[0]
+    assert out["allowed"] is False and out["rule_idx"] is None
+
+
+@pytest.mark.parametrize("condition", ["raise_error('x') IS NULL", "split(arg, ',')[5] = 'a'", "pmod(n, 0) = 1", "assert_true(false) IS NULL", "arg RLIKE backend", "regexp_like(arg, tool)", "sequence(1, n)[3] = 1"])
+def test_conditions_that_could_end_a_job_are_refused_when_read(spark, condition):
+    df = spark.createDataFrame([(1, None, "b", "t", "a,b", 0)], "i int, authorization string, backend string, tool string, arg string, n int")
+    with pytest.raises(ValueError, match="can end the job"):
+        H.authorize_calls(df, [H.AuthRule("Allow", condition=condition)])

@@ -58,6 +58,7 @@ def validate_cost_expression(spark: SparkSession, expr: str) -> None:
     try:
         zeros = [F.lit(0).cast("bigint").alias(c) for c in USAGE]
         probe = spark.range(1).select(F.lit("dummy").alias("model"), F.lit("dummy").alias("backend"), *zeros)
+        tolerant(spark, expr)
         probe.where(F.expr(expr).isNotNull())  # aggregates and windows are not allowed in a filter
         result = probe.select(F.expr(expr).alias("cost"))
         kind = result.schema["cost"].dataType

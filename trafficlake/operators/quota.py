@@ -186,6 +186,26 @@ def quota_aware_route(
     )
 
 
+def quota_aware_route_by_policy(
+    requests: DataFrame, backends: DataFrame, violations: DataFrame, route: str = "route", keys: Sequence[str] = ("tenant", "model")
+) -> DataFrame:
+    """First backend of a request's route, by priority then listing order, whose quota its ``keys`` do not violate; none is a 429.
+
+    ``backends`` holds ``(route, backend, priority, listed)``, ``violations`` ``(keys, backend)`` with a row per quota that is
+    used up, repeated ones and NULL keys included. Both are collected per key into one row, so requests are joined once with each
+    and never multiplied. A route without backends is a 429, too.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("priority", F.lit(0)).alias("priority"), "listed", "backend")))
+    order = backends.groupBy(route).agg(listed.alias("_order"))
+    key = F.to_json(F.struct(*keys))
+    out = violations.select(key.alias("_key"), "backend").groupBy("_key").agg(F.collect_set("backend").alias("_out"))
+    joined = requests.withColumn("_key", key).join(order, route, "left").join(out, "_key", "left")
+    used_up = F.coalesce("_out", F.array().cast("array<string>"))
+    free = F.get(F.filter("_order", lambda b: ~F.array_contains(used_up, b["backend"])), F.lit(0))
+    routed = joined.withColumn("selected_backend", free["backend"]).drop("_key", "_order", "_out")
+    return routed.withColumn("status", F.when(F.col("selected_backend").isNull(), REFUSED_STATUS).otherwise(ALLOWED_STATUS))
+
+
 def charge_at_completion(
     df: DataFrame, keys: Sequence[str], start_us: str, end_us: str, tie: str, cost: str, limit: int, unit: str = "Hour",
     hot_rows: int = HOT_ROWS,

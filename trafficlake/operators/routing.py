@@ -87,6 +87,30 @@ def weighted_backend(requests: DataFrame, backends: Sequence[BackendRef], id_col
     return requests.withColumn("_roll", roll).withColumn("selected_backend", choice).drop("_roll")
 
 
+def weighted_backend_by_route(requests: DataFrame, refs: DataFrame, route: str = "route", id_col: str = "request_id") -> DataFrame:
+    """Pick a backend of the top priority by weight, each route by its own rows of ``refs``.
+
+    ``refs`` holds ``(route, backend, priority, weight)``; a NULL weight is 1, a NULL priority 0, weight 0 is never picked, and
+    a route without a usable backend gives NULL. Backends of a route are summed up into one row of cumulative weights, so
+    requests are joined once and never multiplied; the roll is the hash of the request id, as in ``weighted_backend``.
+    """
+    weight, priority = F.coalesce("weight", F.lit(1)).cast("bigint"), F.coalesce("priority", F.lit(0))
+    usable = refs.select(route, "backend", weight.alias("weight"), priority.alias("priority")).where("weight > 0")
+    ranked = usable.groupBy(route).agg(F.array_sort(F.collect_list(F.struct("priority", "backend", "weight"))).alias("_all"))
+    top = F.filter("_all", lambda b: b["priority"] == F.get("_all", F.lit(0))["priority"])
+
+    def cumulated(_: Column, i: Column) -> Column:
+        upper = F.aggregate(F.slice("_top", 1, i + 1), F.lit(0).cast("bigint"), lambda total, b: total + b["weight"])
+        return F.struct(upper.alias("upper"), F.get("_top", i)["backend"].alias("backend"))
+
+    table = ranked.select(route, top.alias("_top")).select(route, F.transform("_top", cumulated).alias("_ranges"))
+    joined = requests.join(table, route, "left")
+    total = F.get("_ranges", F.size("_ranges") - 1)["upper"]
+    rolled = joined.withColumn("_roll", F.when(F.col("_ranges").isNotNull(), hash_roll(id_col, total)))
+    chosen = F.get(F.filter("_ranges", lambda b: F.col("_roll") < b["upper"]), F.lit(0))["backend"]
+    return rolled.withColumn("selected_backend", chosen).drop("_ranges", "_roll")
+
+
 def fallback_outcome(attempts: DataFrame, keys: Sequence[str] = ("request_id",), order: str = "attempt") -> DataFrame:
     """Per request: serving backend (first success), number of attempts, whether it was retried."""
     ok = F.col("success")
@@ -358,6 +382,89 @@ def authorize_calls(
     return out.withColumns({"allowed": allowed, "scope_challenge": shown}).drop("_payload", "_scopes", "_claims")
 
 
+#: Columns of a rule table besides its route; all but ``rule_idx`` may be NULL.
+RULE_COLUMNS = {
+    "rule_idx": "int", "action": "string", "condition": "string", "targets": "array<struct<backend: string, tool: string>>",
+    "claims": "array<struct<path: string, values: array<string>, kind: string>>", "scopes": "array<string>",
+}
+
+
+def authorize_calls_by_route(
+    calls: DataFrame, rules: DataFrame, defaults: DataFrame, route: str = "route", header: str = "authorization", resource_metadata: str = ""
+) -> DataFrame:
+    """``authorize_calls`` with the rules of each call's own route.
+
+    ``rules`` holds ``route`` and ``RULE_COLUMNS``, ``defaults`` holds ``(route, default_action)``; a route in neither has no rule
+    list and allows everything, one in ``defaults`` alone has an empty list. The rules of a route are collected into one row, so
+    calls are joined once. Distinct conditions and claim paths are compiled once (a configuration has few) and looked up by number;
+    each call then walks its route's rules as an array.
+    """
+    spark = calls.sparkSession
+    table = rules.select(route, *[(F.col(c) if c in rules.columns else F.lit(None)).cast(k).alias(c) for c, k in RULE_COLUMNS.items()])
+    conditions = sorted(r[0] for r in table.where("condition IS NOT NULL").select("condition").distinct().collect())
+    paths = sorted(r[0] for r in table.select(F.explode("claims.path")).distinct().collect())
+    number = F.create_map(*[x for i, c in enumerate(conditions) for x in (F.lit(c), F.lit(i))]) if conditions else None
+    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p), F.lit(i))]) if paths else None
+    none = F.lit(None).cast("int")
+
+    def claim(c: Column) -> Column:
+        at = none if place is None else F.try_element_at(place, c["path"])
+        return F.struct(at.alias("at"), c["values"].alias("values"), F.coalesce(c["kind"], F.lit("String")).alias("kind"))
+
+    entry = F.struct(
+        "rule_idx", (F.coalesce("action", F.lit("Allow")) == "Allow").alias("allow"),
+        F.when(F.col("condition").isNotNull(), none if number is None else F.try_element_at(number, F.col("condition"))).alias("condition"),
+        "targets", F.transform("claims", claim).alias("claims"), F.coalesce("scopes", F.array().cast("array<string>")).alias("scopes"),
+    )
+    by_route = table.groupBy(route).agg(F.array_sort(F.collect_list(entry), lambda a, b: a["rule_idx"] - b["rule_idx"]).alias("_rules"))
+    policy = defaults.select(route, (F.col("default_action") == "Allow").alias("_default")).join(by_route, route, "full_outer")
+    policy = policy.select(route, F.coalesce("_default", F.lit(False)).alias("_default"), F.coalesce("_rules", F.array()).alias("_rules"))
+
+    tmp = calls.join(policy, route, "left").withColumn("_payload", F.coalesce(jwt_payload(F.col(header)), F.lit("{}")))
+    tmp = computed_once(tmp, {"_scopes": scopes_of(F.col("_payload")), "_claims": F.try_parse_json("_payload")})
+    holds = [F.coalesce(F.expr(tolerant(spark, c)).cast("boolean"), F.lit(False)) for c in conditions]
+
+    def value(path: str) -> Column:
+        """Kind, text and list of a claim; scope claims are never compared as values."""
+        if path.split(".")[0] in ("scope", "scp"):
+            return F.struct(F.lit("").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("list"))
+        text = json_text("_payload", "$." + path)
+        kind = F.schema_of_variant(F.try_variant_get(F.col("_claims"), "$." + path, "variant"))
+        return F.struct(kind.alias("kind"), text.alias("text"), F.when(kind.startswith("ARRAY"), F.from_json(text, "array<string>")).alias("list"))
+
+    tmp = computed_once(tmp, {"_holds": F.array(*holds).cast("array<boolean>"), "_values": F.array(*[value(p) for p in paths] or [value("scope")])})
+
+    def claim_holds(c: Column) -> Column:
+        v = F.get("_values", c["at"])
+        text = (v["kind"] == "STRING") & F.array_contains(c["values"], v["text"])
+        listed = (c["kind"] == "StringArray") & F.arrays_overlap(v["list"], c["values"])
+        return c["kind"].isin("String", "StringArray") & (F.coalesce(text, F.lit(False)) | F.coalesce(listed, F.lit(False)))
+
+    def applies(r: Column) -> Column:
+        on_target = F.exists(r["targets"], lambda x: F.coalesce((x["backend"] == F.col("backend")) & (x["tool"] == F.col("tool")), F.lit(False)))
+        return (
+            F.when(r["condition"].isNull(), True).otherwise(F.coalesce(F.get("_holds", r["condition"]), F.lit(False)))
+            & F.when(F.coalesce(F.size(r["targets"]), F.lit(0)) <= 0, True).otherwise(on_target)
+            & F.coalesce(F.forall(r["claims"], claim_holds), F.lit(True))
+        )
+
+    scopes_ok = lambda r: F.forall(r["scopes"], lambda s: F.array_contains("_scopes", s))
+    out = computed_once(tmp, {"_open": F.filter("_rules", applies)})
+    hit = F.get(F.filter("_open", scopes_ok), F.lit(0))
+    gaps = F.filter("_open", lambda r: r["allow"] & (F.size(r["scopes"]) > 0) & ~scopes_ok(r))
+    gap = F.get(F.array_sort(F.transform(gaps, lambda r: F.struct(F.size(r["scopes"]).alias("n"), r["rule_idx"].alias("i"), r["scopes"].alias("scopes")))), F.lit(0))
+    before, after = scope_challenge(["\0"], resource_metadata).split("\0")
+    challenge = F.when(gap.isNotNull(), F.concat(F.lit(before), F.array_join(gap["scopes"], " "), F.lit(after)))
+    open_ = F.col("_rules").isNull()
+    return out.withColumns(
+        {
+            "rule_idx": hit["rule_idx"],
+            "allowed": F.when(open_, True).when(hit.isNotNull(), hit["allow"]).otherwise(F.col("_default")),
+            "scope_challenge": F.when(~open_ & hit.isNull(), challenge),
+        }
+    ).drop("_payload", "_scopes", "_claims", "_holds", "_values", "_open", "_rules", "_default")
+
+
 # The scheme and texts of the challenge header.
 _CHALLENGE = 'Bearer {}'
 _CHALLENGE_ERROR = "insufficient_scope"

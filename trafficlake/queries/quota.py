@@ -185,6 +185,24 @@ def _(t: Tables):
     return Q.quota_aware_route(r, [(b, p, i + 2) for i, (b, _s, p, _w) in enumerate(BACKENDS)]).select("event_id", "selected_backend", "status")
 
 
+@query(
+    "quota_aware_route_by_policy",
+    """WITH e AS (SELECT event_id, CASE WHEN user_id % 6 < 5 THEN user_id % 6 END AS tenant, event_type AS model, event_id % 3 AS k FROM events),
+  v AS (SELECT DISTINCT tenant, model FROM e WHERE tenant = 1 OR tenant IS NULL), u AS (SELECT DISTINCT tenant, model FROM e WHERE model = 'view')
+  SELECT event_id, CASE k WHEN 0 THEN CASE WHEN v.model IS NULL THEN 'pt-west' WHEN u.model IS NULL THEN 'pt-east' ELSE 'on-demand' END
+      WHEN 1 THEN CASE WHEN u.model IS NULL THEN 'pt-east' END END AS selected_backend,
+    CASE WHEN k = 2 OR (k = 1 AND u.model IS NOT NULL) THEN 429 ELSE 200 END AS status
+  FROM e LEFT JOIN v ON e.tenant IS NOT DISTINCT FROM v.tenant AND e.model = v.model LEFT JOIN u ON e.tenant IS NOT DISTINCT FROM u.tenant AND e.model = u.model""",
+)
+def _(t: Tables):
+    calls = t.events.selectExpr("event_id", "CASE WHEN user_id % 6 < 5 THEN user_id % 6 END AS tenant", "event_type AS model", "concat('r', event_id % 3) AS route")
+    rows = [("r0", "on-demand", 1, 0), ("r0", "pt-west", 0, 1), ("r0", "pt-east", 0, 2), ("r1", "pt-east", 4, 0)]
+    backends = t.spark.createDataFrame(rows, "route string, backend string, priority int, listed int")
+    out = calls.where("tenant = 1 OR tenant IS NULL").selectExpr("tenant", "model", "'pt-west' AS backend")
+    out = out.union(calls.where("model = 'view'").selectExpr("tenant", "model", "'pt-east' AS backend"))
+    return Q.quota_aware_route_by_policy(calls, backends, out).select("event_id", "selected_backend", "status")
+
+
 @query(
     "charge_at_completion",
     REQ

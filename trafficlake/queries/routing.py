@@ -46,6 +46,24 @@ def _(t: Tables):
     return H.weighted_backend(t.llm_requests.select("request_id"), refs)
 
 
+ROUTE_REFS = [
+    ("route-0", "pt-east", 0, 3), ("route-0", "pt-west", 0, 1), ("route-0", "on-demand", 1, 9), ("route-1", "alone", 2, None), ("route-1", "never", 0, 0), ("route-1", "later", 3, 5),
+    ("route-2", "a", None, 2), ("route-2", "b", 0, 0), ("route-2", "c", 0, 5), ("route-3", "never", 0, 0),
+]
+
+
+@query(
+    "weighted_backend_by_route",
+    REQ
+    + """, r AS (SELECT request_id, request_id % 5 AS k, CAST('0x' || substr(sha256(CAST(request_id AS STRING)), 1, 8) AS BIGINT) AS h FROM llm_requests)
+  SELECT request_id, CASE k WHEN 0 THEN CASE WHEN h % 4 < 3 THEN 'pt-east' ELSE 'pt-west' END WHEN 1 THEN 'alone' WHEN 2 THEN CASE WHEN h % 7 < 2 THEN 'a' ELSE 'c' END END AS selected_backend FROM r""",
+)
+def _(t: Tables):
+    refs = t.spark.createDataFrame(ROUTE_REFS, "route string, backend string, priority int, weight int")
+    requests = t.llm_requests.selectExpr("request_id", "concat('route-', request_id % 5) AS route")
+    return H.weighted_backend_by_route(requests, refs).select("request_id", "selected_backend")
+
+
 ATTEMPTS = """SELECT request_id, attempt, concat('b', attempt) AS backend, success AND attempt = 1 + request_id % 3 AS success
   FROM {r} LATERAL VIEW explode(sequence(1, 1 + CAST(request_id % 3 AS INT))) a AS attempt"""
 
@@ -223,6 +241,34 @@ def _(t: Tables):
     return H.authorize_calls(auth_calls(t), AUTH_RULES).select("event_id", "scope_challenge")
 
 
+def rule_rows(rules, route):
+    """Rules as rows of a table."""
+    return [
+        (route, i, r.action, r.condition, [list(x) for x in r.targets] or None, [(c.path, list(c.values), c.kind) for c in r.claims] or None, list(r.scopes) or None)
+        for i, r in enumerate(rules)
+    ]
+
+
+_RULE_SCHEMA = "route string, " + ", ".join(f"{c} {k}" for c, k in H.RULE_COLUMNS.items())
+OTHER_RULES = [H.AuthRule("Allow", condition="to_date(concat('2024-', event_id % 20, '-01')) IS NOT NULL AND element_at(split(event_type, 'i'), 2) = 'ew'"), H.AuthRule("Deny", scopes=("read",))]
+
+
+@query(
+    "authorize_calls_by_route",
+    _AUTH
+    + """, e AS (SELECT *, event_id % 4 AS k, event_type = 'view' AND event_id % 20 BETWEEN 1 AND 12 AS dated FROM d),
+  f AS (SELECT event_id, k, CASE k WHEN 0 THEN rule_idx WHEN 1 THEN CASE WHEN dated THEN 0 WHEN rw THEN 1 END END AS rule_idx, event_type, backend, u7, ten FROM e)
+  SELECT event_id, rule_idx, CASE k WHEN 0 THEN coalesce(rule_idx > 0, false) WHEN 1 THEN coalesce(rule_idx = 0, true) ELSE k = 3 END AS allowed,
+    CASE WHEN k = 0 AND rule_idx IS NULL THEN concat('Bearer error="insufficient_scope", scope="', CASE WHEN u7 THEN 'read'
+     WHEN backend = 'github' AND event_type = 'click' AND ten THEN 'read write' ELSE 'admin signup' END, '", error_description="The token is missing required scopes"') END AS scope_challenge FROM f""",
+)
+def _(t: Tables):
+    rules = t.spark.createDataFrame(rule_rows(AUTH_RULES, "r0") + rule_rows(OTHER_RULES, "r1"), _RULE_SCHEMA)
+    defaults = t.spark.createDataFrame([("r0", "Deny"), ("r1", "Allow"), ("r2", "Deny")], "route string, default_action string")
+    calls = auth_calls(t).withColumn("route", F.expr("concat('r', event_id % 4)"))
+    return H.authorize_calls_by_route(calls, rules, defaults).select("event_id", "rule_idx", "allowed", "scope_challenge")
+
+
 @query(
     "authorize_failing_condition",
     """WITH e AS (SELECT event_id, event_type, user_id FROM events)
