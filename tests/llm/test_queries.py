@@ -18,7 +18,7 @@ COLUMNS = {
     "op4": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op5": ["doc_id", "size", "source_size", "target", "taken"],
     "op6": ["vec_id", "n_links", "component_id", "kept"],
-    "op7": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op7": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
     "op8": ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"],
     "op9": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10": ["doc_id", "held_out", "score", "predicted"],

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from trafficlake.llm import lines, minhash, repeats
+from trafficlake.llm import lines, minhash, queries, repeats
 from trafficlake.llm.common import components
 
 from .helpers import components as slow_components
@@ -131,6 +131,14 @@ def test_lines_of_odd_rows(spark):
     assert lines.remove_repeated_lines(docs_frame(spark, [])).count() == 0
 
 
+def test_the_query_shows_what_stays(spark, tmp_path):
+    passage = "".join(chr(0x4E00 + i * 7 % 997) for i in range(300))
+    docs_frame(spark, [(1, "abc " + passage + " tail", "s"), (2, passage, "s"), (3, None, "s"), (4, "alone", "s"), (5, "x" + passage[1:] + " e", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_bwt_repeats"](spark, str(tmp_path)).collect()}
+    assert (got[1]["text"], got[3]["text"], got[4]["text"]) == ("abc  tail", "", "alone")
+    assert got[5]["text"] == "x e" and got[2]["text"] == "" and got[2]["n_removed"] == 900
+
+
 def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
     word = "a"
     while len(word) < 4096:

@@ -181,6 +181,12 @@ def crc32_ids(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
 
+def gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """``span_hash`` of every ``gram`` neighbouring bytes."""
+    raw = (prefix[gram:] - prefix[:-gram]) * powers(_UNBASE, len(prefix) - gram)
+    return mix(raw + np.uint64(gram) * np.uint64(0xD6E8FEB86659FD93))
+
+
 # --- connected components ------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     impact_search, lines, minhash, mixing, near_vectors, packing, quality, ranked_search, repeats, spelling, token_codes, token_counts, toxicity,
@@ -122,7 +123,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_bwt_repeats")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    # Cuts can fall inside a character: what is left of one is shown as U+FFFD in ``text``; the hash is of the bytes.
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True)
+    return kept.withColumn("text", F.expr("make_valid_utf8(CAST(kept AS STRING))")).drop("kept", "spans")
 
 
 @query("op8_line_winnowing")

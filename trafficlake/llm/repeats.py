@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import in_groups, materialize, prefix_hash, span_hash, text_batches, text_of
+from .common import gram_hashes, in_groups, materialize, prefix_hash, span_hash, text_batches, text_of
 
 LENGTH = 400
 GRAM = 64
@@ -154,11 +154,11 @@ def anchors(blobs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     ends = np.cumsum([len(b) for b in blobs])
     prefix = prefix_hash(data)
     places = np.arange(len(data) - gram + 1)
-    hashes = span_hash(prefix, places, places + gram)
+    hashes = gram_hashes(prefix, gram)
     low = np.uint64((1 << _POSITION_BITS) - 1)
     best = (sliding_min((hashes & ~low) | places.astype(np.uint64), length - gram + 1) & low).astype(np.int64)
     start = np.arange(len(best))
-    blob = np.searchsorted(ends, start, side="right")
+    blob = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])[: len(start)]
     inside = start + length <= ends[blob]
     start, best, blob = start[inside], best[inside], blob[inside]
     if not len(start):
