@@ -41,6 +41,17 @@ def test_chunks_that_polynomial_hashes_confuse_keep_their_own_ids(name, n):
         assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_chunks_of_equal_hash_keep_their_own_ids(name, buckets, monkeypatch):
+    plain, hashed = Tokenizer.from_file(public_tokenizers.path(name)), tokens.span_hash
+    monkeypatch.setattr(tokens, "span_hash", lambda *a: hashed(*a) % np.uint64(buckets))
+    encoder = Encoder(public_tokenizers.path(name))
+    texts = [" ".join(f"w{i}" for i in range(k)) for k in range(30)] + ["a b c", "b c a", "ab cd\nef", "", "y" * 600]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_a_full_cache_starts_anew(name, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_CHUNKS", 50)
@@ -48,7 +59,7 @@ def test_a_full_cache_starts_anew(name, monkeypatch):
     for k in range(6):
         texts = [" ".join(f"w{i * k % 71}" for i in range(40)), "y" * 900, f"{k} \n"]
         assert [x.tolist() for x in encoder.encode_each(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert len(encoder.places) < 150
+    assert len(encoder.hashes) < 150
 
 
 SPECIAL = [

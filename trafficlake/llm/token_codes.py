@@ -138,9 +138,9 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, place of the first token in this file, and token ids of each document."""
-        begin = 0
+        begin, ids = 0, self.span(0, len(self))
         for number, null, end in zip(self.doc_ids.tolist(), self.is_null.tolist(), self.ends.tolist(), strict=True):
-            yield None if null else number, begin, self.span(begin, end)
+            yield None if null else number, begin, ids[begin:end]
             begin = end
 
 

@@ -1,8 +1,9 @@
 """Token ids by public tokenizers, with a per-worker cache of ids by chunk of text.
 
 The vocabularies split a text before merging, and never across the end of a run of non-blank characters. Distinct
-chunks are therefore encoded once and looked up afterwards by their bytes; the ids equal those of the whole text. The
-vocabularies' special tokens hold no blank, so one in a text lies inside a chunk.
+chunks are therefore encoded once and looked up afterwards; the ids equal those of the whole text. A hash finds a chunk in
+the cache and its bytes are compared before its ids are used. The vocabularies' special tokens hold no blank, so one in a
+text lies inside a chunk.
 """
 
 from __future__ import annotations
@@ -12,19 +13,44 @@ import re
 
 import numpy as np
 
-#: Chunks and bytes of chunks kept per worker before the cache starts anew; longer chunks are not kept.
-CACHED_CHUNKS = 1_000_000
-CACHED_BYTES = 32 << 20
+from .common import prefix_hash, span_hash
+
+#: Chunks, ids and bytes kept per worker before the cache starts anew; longer chunks are not kept.
+CACHED_CHUNKS = 1_500_000
+CACHED_IDS = 10_000_000
 LONGEST_CHUNK = 256
+#: Chunks of one string that the library encodes; longer strings cost more per chunk.
+GLUED = 500
 
-#: White space other than blank and newline can join blanks of both sides in one chunk: such a text is encoded whole.
 _OTHER_BLANK = re.compile(r"[^\S \n]")
-_WITH_BLANKS = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
-_WITHOUT_BLANKS = re.compile(rb"[^ \n]+")
 _MARK = "\x01"
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, 0x0A]] = True
+#: First bytes of white space other than blank and newline (many other characters start so, too).
+_ODD = np.zeros(256, dtype=bool)
+_ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _OPEN: dict[str, "Encoder"] = {}
 
 
+def _positions(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin ``at`` and are ``n`` long, one run after another."""
+    total = np.cumsum(n)
+    return np.repeat(at - (total - n), n) + np.arange(total[-1] if len(n) else 0)
+
+
+class _Pool:
+    """Runs of values put one after another; grows by doubling."""
+
+    def __init__(self, dtype: str):
+        self.values, self.used = np.empty(1 << 12, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.used + len(values) > len(self.values):
+            self.values = np.resize(self.values, 2 * len(self.values))
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class Encoder:
     """Encodes texts to unsigned 32-bit ids as the tokenizer of a vocabulary file does as loaded; a special token's text is its id."""
 
@@ -42,86 +68,132 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.bytes = 0
-        self.at = np.empty(1 << 10, dtype=np.int64)
-        self.n = np.empty(1 << 10, dtype=np.int64)
-        self.pool = np.empty(1 << 12, dtype="<u4")
-        self.used = 0
+        self.hashes, self.slot = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # by hash: which chunk
+        self.at, self.n, self.begins, self.sizes = (_Pool("i8") for _ in range(4))  # of each chunk: its ids and its bytes
+        self.ids, self.bytes = _Pool("u4"), _Pool("u1")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _encode_new(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk. Chunks that stay apart from a mark are encoded in one go and cut at the marks; others, and those
-        with a mark or a special token, go one by one."""
-        out: list[np.ndarray | None] = [None] * len(chunks)
-        if self.drops_blanks:
-            joined = [i for i, c in enumerate(chunks) if not self.special.search(c)]
-            glue = f" {_MARK} "
-        else:
-            joined = [i for i, c in enumerate(chunks) if c[:1] in " \n" and c[-1:] not in " \n" and not self.special.search(c) and not _OTHER_BLANK.search(c)]
-            glue = f"\n{_MARK}"
-        for b in range(0, len(joined), 5_000):
-            part = joined[b : b + 5_000]
-            enc = self.tokenizer.encode_batch_fast([glue.join(chunks[i] for i in part)], add_special_tokens=False)[0]
+    def _encode_new(self, chunks: list[str], glued: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and how many each has.
+
+        Chunks marked in ``glued`` stay apart from a mark: they are encoded in a few strings and cut at the marks, unless one of
+        them holds a mark or a special token; the others go one by one.
+        """
+        glue = f" {_MARK} " if self.drops_blanks else f"\n{_MARK}"
+        which = np.flatnonzero(glued)
+        if self.special.search(joined := "\n".join(chunks)) or (not self.drops_blanks and _OTHER_BLANK.search(joined)):
+            bad = [i for i in which.tolist() if self.special.search(chunks[i]) or (not self.drops_blanks and _OTHER_BLANK.search(chunks[i]))]
+            which = np.setdiff1d(which, bad)
+        parts = [[chunks[i] for i in which[b : b + GLUED].tolist()] for b in range(0, len(which), GLUED)]
+        found, sizes = [], []
+        for part, enc in zip(parts, self.tokenizer.encode_batch_fast([glue.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids) + self.mark_len - 1)
-            begin = 0
-            for i, end in zip(part, ends.tolist(), strict=True):
-                out[i] = ids[begin : end - self.mark_len + 1]
-                begin = end + 1
-        return [self._ids(chunks[i]) if x is None else x for i, x in enumerate(out)]
-
-    def _write(self, chunks: list[bytes]) -> int:
-        """Put the ids of chunks behind those that are kept; arrays grow by doubling. Returns the number of ids."""
-        ids = self._encode_new([c.decode("utf-8", "surrogatepass") for c in chunks])
-        known = len(self.places)
-        n = np.array([len(x) for x in ids], dtype=np.int64)
-        total = int(n.sum())
-        while known + len(n) > len(self.at):
-            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        if total:
-            self.pool[self.used : self.used + total] = np.concatenate(ids)
-        self.at[known : known + len(n)] = self.used + np.cumsum(n) - n
-        self.n[known : known + len(n)] = n
-        return total
-
-    def _places(self, chunks: list[bytes]) -> np.ndarray:
-        """Where the ids of each chunk lie. Long chunks are written behind the kept ones and overwritten next time."""
-        places = list(map(self.places.get, chunks))
-        if None in places:
-            new = dict.fromkeys(c for c, p in zip(chunks, places, strict=True) if p is None)
-            short, long = [c for c in new if len(c) <= LONGEST_CHUNK], [c for c in new if len(c) > LONGEST_CHUNK]
-            self.used += self._write(short)
-            self.places.update(zip(short, range(len(self.places), len(self.places) + len(short)), strict=True))
-            self.bytes += sum(map(len, short))
-            self._write(long)
-            beyond = dict(zip(long, range(len(self.places), len(self.places) + len(long)), strict=True))
-            places = [self.places[c] if len(c) <= LONGEST_CHUNK else beyond[c] for c in chunks]
-        return np.array(places, dtype=np.int64)
+            marks = np.flatnonzero(ids == self.mark_id)
+            edges = np.concatenate(([-1], marks, [len(ids) + self.mark_len - 1]))
+            sizes.append(np.diff(edges) - self.mark_len)
+            found.append(np.delete(ids, (marks[:, None] - np.arange(self.mark_len)).ravel()) if len(marks) else ids)
+            assert len(sizes[-1]) == len(part)
+        n = np.zeros(len(chunks), dtype=np.int64)
+        n[which] = np.concatenate(sizes) if sizes else 0
+        alone = np.setdiff1d(np.arange(len(chunks)), which)
+        single = [self._ids(chunks[i]) for i in alone.tolist()]
+        n[alone] = [len(x) for x in single]
+        at = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), dtype="<u4")
+        for where, ids in ((which, found), (alone, single)):
+            if len(where):
+                out[_positions(at[where], n[where])] = np.concatenate(ids)
+        return out, n
+
+    def _spans(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and stops of all chunks in order."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        if self.drops_blanks:
+            return start, stop
+        doc = np.searchsorted(stops, start, side="right")
+        before = np.concatenate(([0], stop[:-1]))
+        start = np.maximum(before, begins[doc])
+        last = np.searchsorted(doc, np.arange(len(texts)), side="right") - 1
+        ended = np.where((last >= 0) & (doc[last] == np.arange(len(texts))), stop[last], begins) if len(stop) else begins
+        tail = ended < stops
+        start, stop, doc = np.concatenate((start, ended[tail])), np.concatenate((stop, stops[tail])), np.concatenate((doc, np.flatnonzero(tail)))
+        odd = np.flatnonzero(np.add.reduceat(_ODD[data], begins)) if len(data) else []
+        # Other white space can join blanks of both sides in one chunk: such a text is one chunk.
+        whole = np.array([i for i in odd if stops[i] > begins[i] and _OTHER_BLANK.search(texts[i])], dtype=np.int64)
+        if len(whole):
+            keep = ~np.isin(doc, whole)
+            start, stop = np.concatenate((start[keep], begins[whole])), np.concatenate((stop[keep], stops[whole]))
+        order = np.argsort(start, kind="stable")
+        return start[order], stop[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The chunk of each hash, -1 where none is kept."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.slot[place], -1)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes], glued: np.ndarray) -> None:
+        ids, n = self._encode_new([c.decode("utf-8", "surrogatepass") for c in chunks], glued)
+        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slot = np.insert(self.hashes, where, hashes[order]), np.insert(self.slot, where, self.at.used + order)
+        self.at.add(self.ids.used + np.cumsum(n) - n)
+        self.begins.add(self.bytes.used + np.cumsum(sizes) - sizes)
+        self.n.add(n)
+        self.sizes.add(sizes)
+        self.ids.add(ids)
+        self.bytes.add(np.frombuffer(b"".join(chunks), dtype=np.uint8))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids end."""
-        cut = (_WITHOUT_BLANKS if self.drops_blanks else _WITH_BLANKS).findall
-        chunks: list[bytes] = []
-        ends = []
-        for text in texts:
-            blob = text.encode("utf-8", "surrogatepass")
-            if self.drops_blanks or not _OTHER_BLANK.search(text):
-                chunks += cut(blob)
-            elif blob:
-                chunks.append(blob)
-            ends.append(len(chunks))
-        if len(self.places) > CACHED_CHUNKS or self.bytes > CACHED_BYTES:
+        blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"\n".join([*blobs, b""])
+        data = np.frombuffer(raw, dtype=np.uint8)
+        stops = np.cumsum([len(b) + 1 for b in blobs], dtype=np.int64) - 1
+        begins = stops - np.array([len(b) for b in blobs], dtype=np.int64)
+        start, stop = self._spans(data, begins, stops, texts)
+        if not len(start):
+            return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+        if len(self.hashes) > CACHED_CHUNKS or self.ids.used > CACHED_IDS:
             self._forget()
-        known = self._places(chunks)
-        n = self.n[known]
+        hashes = span_hash(prefix_hash(data), start, stop)
+        short = stop - start <= LONGEST_CHUNK
+        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        kept = self._find(uniq)
+        new = (kept < 0) & short[first]
+        if new.any():
+            at = first[new]
+            chunks = [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+            glued = np.ones(len(at), dtype=bool) if self.drops_blanks else _BLANK[data[start[at]]] & ~_BLANK[data[stop[at] - 1]]
+            self._learn(uniq[new], chunks, glued)
+            kept = self._find(uniq)
+        known = kept[inverse]
+        known[~short] = -1
+        # A chunk has its ids only if its bytes are those of the chunk that is kept.
+        size = stop - start
+        same = (known >= 0) & (self.sizes.values[known] == size)
+        here = np.flatnonzero(same)
+        equal = self.bytes.values[_positions(self.begins.values[known[here]], size[here])] == data[_positions(start[here], size[here])]
+        if not equal.all():
+            same[here] = np.logical_and.reduceat(equal, np.cumsum(size[here]) - size[here])
+        other = np.flatnonzero(~same)
+        single = [self._ids(raw[start[i] : stop[i]].decode("utf-8", "surrogatepass")) for i in other.tolist()]
+        n = np.where(same, self.n.values[known], 0)
+        n[other] = [len(x) for x in single]
         total = np.concatenate(([0], np.cumsum(n)))
-        ids = self.pool[np.repeat(self.at[known] - total[:-1], n) + np.arange(total[-1])]
-        return ids, total[np.array(ends, dtype=np.int64)]
+        if not len(other):
+            ids = self.ids.values[_positions(self.at.values[known], n)]
+        else:
+            ids = np.empty(total[-1], dtype="<u4")
+            here = np.flatnonzero(same)
+            ids[_positions(total[here], n[here])] = self.ids.values[_positions(self.at.values[known[here]], n[here])]
+            ids[_positions(total[other], n[other])] = np.concatenate(single)
+        return ids, total[np.searchsorted(start, stops, side="right")]
 
     def encode_each(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
