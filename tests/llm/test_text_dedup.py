@@ -133,10 +133,11 @@ def test_lines_of_odd_rows(spark):
 
 def test_the_query_shows_what_stays(spark, tmp_path):
     passage = "".join(chr(0x4E00 + i * 7 % 997) for i in range(300))
+    # The blank after the passage ends a repeated string of its own in 1 and 5.
     docs_frame(spark, [(1, "abc " + passage + " tail", "s"), (2, passage, "s"), (3, None, "s"), (4, "alone", "s"), (5, "x" + passage[1:] + " e", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in queries.QUERIES["op7_bwt_repeats"](spark, str(tmp_path)).collect()}
-    assert (got[1]["text"], got[3]["text"], got[4]["text"]) == ("abc  tail", "", "alone"), [tuple(r) for r in got.values()]
-    assert got[5]["text"] == "x e" and got[2]["text"] == "" and got[2]["n_removed"] == 900
+    assert (got[1]["text"], got[3]["text"], got[4]["text"]) == ("abc tail", "", "alone")
+    assert got[5]["text"] == "xe" and got[2]["text"] == "" and got[2]["n_removed"] == 900
 
 
 def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
