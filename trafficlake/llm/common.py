@@ -131,7 +131,7 @@ class _Hashes(dict):
 
 _HASHES = _Hashes()
 #: Words whose hashes a worker keeps.
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 150_000
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
