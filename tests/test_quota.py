@@ -119,3 +119,90 @@ def test_selectors_and_routing(spark, rows):
     df = spark.createDataFrame([(0, [2]), (1, [2, 3]), (2, [2, 3, 4]), (3, [])], "i int, violated array<int>")
     out = rows(Q.quota_aware_route(df, [("od", 1, 4), ("east", 0, 2), ("west", 0, 3)]), "i")
     assert [(r["selected_backend"], r["status"]) for r in out] == [("west", 200), ("od", 200), (None, 429), ("east", 200)]
+
+
+POLICY_QUOTAS = "backend string, model string, mode string, expression string, limit long, duration string"
+POLICY_RULES = "backend string, model string, rule int, selectors array<struct<header: string, kind: string, value: string>>, limit long, duration string, shadow boolean"
+QUOTA_ROWS = [("a", "m", "Shared", None, 90, "1h"), ("a", "x", "Exclusive", "input_tokens * 2", 30, "1800"), ("a", None, None, None, 60, "40m"), ("b", "m", "Exclusive", None, None, None)]
+RULE_ROWS = [
+    ("a", "m", 0, [("team", "Distinct", None)], 9, "30m", None),
+    ("a", "m", 3, [("tier", "Exact", "free"), ("team", "Distinct", None)], 10, "1h", True),
+    ("a", "x", 0, [("team", "Distinct", None)], 40, "20m", False),
+    ("a", "x", 1, [("tier", "Exact", "free")], 12, "60m", False),
+    ("b", "m", 0, None, 70, "600s", False),
+]
+
+
+def serial_policy(data):
+    """Straight re-computation: every request looks at all charges made before it."""
+    seconds = {"1h": 3600, "1800": 1800, "40m": 2400, "30m": 1800, "20m": 1200, "60m": 3600, "600s": 600}
+    quotas = {(b, m): (mode or "Shared", e, limit, d) for b, m, mode, e, limit, d in QUOTA_ROWS}
+    charges, out = {}, {}
+    for i, b, m, at, cost, headers in sorted(data, key=lambda r: (r[3], r[0])):
+        key = (b, m) if (b, m) in quotas else (b, None)
+        if key not in quotas:
+            out[i] = (True, [])
+            continue
+        mode, expression, limit, duration = quotas[key]
+        drawn = []
+        for rb, rm, rule, selectors, rlimit, rduration, shadow in RULE_ROWS:
+            have = [(headers or {}).get(h) for h, _, _ in selectors or []]
+            if (rb, rm) == key and all(v is not None if s[1] == "Distinct" else v == s[2] for v, s in zip(have, selectors or [])):
+                drawn.append(((rule, tuple(v for v, s in zip(have, selectors or []) if s[1] == "Distinct")), rlimit, seconds[rduration], bool(shadow)))
+        if limit is not None and (mode == "Shared" or not drawn):
+            drawn.append(((-1, ()), limit, seconds[duration], False))
+        mine = charges.setdefault(key, [])
+        full = [sum(c for t, c, names in mine if name in names and t > at - span * 1_000_000) >= lim for name, lim, span, _ in drawn]
+        room = [d[3] or not f for d, f in zip(drawn, full)]
+        ok = not room or (all(room) if mode == "Shared" else any(room))
+        if ok:
+            mine.append((at, (cost or 0) * (2 if expression else 1), [d[0] for d in drawn]))
+        out[i] = (ok, [d[0][0] for d, f in zip(drawn, full) if f])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_policy_of_many_quotas_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    data = []
+    for i in range(900):
+        headers = {h: v for h, v in (("team", rnd.choice(["r", "g", "b", None])), ("tier", rnd.choice(["free", "paid"]))) if v}
+        at = rnd.randrange(0, 4 * HOUR) if i % 7 else 5 * HOUR
+        data.append((i, rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice(["m", "m", "x", "y", None]), at, rnd.choice([None, 0, 1, 3, 8]), headers if i % 11 else None))
+    # columns named like those that the operator uses or adds
+    df = spark.createDataFrame([(*r, r[0], "old", r[4]) for r in data], "id long, backend string, model string, at long, input_tokens long, headers map<string,string>, _row long, status string, total_tokens long").repartition(5)
+    got = Q.quota_policy_limit(df, spark.createDataFrame(QUOTA_ROWS, POLICY_QUOTAS), spark.createDataFrame(RULE_ROWS, POLICY_RULES), "at", "id")
+    assert got.columns == ["id", "backend", "model", "at", "input_tokens", "headers", "_row", "total_tokens", "quota_model", "quota_cost", "allowed", "exhausted", "status"]
+    want = serial_policy(data)
+    found = {r["id"]: (r["allowed"], r["exhausted"]) for r in got.collect()}
+    assert found == want
+    refused = {r for ok, out in want.values() if not ok for r in out}
+    assert {0, 1, -1} <= refused and any(ok and 3 in out for ok, out in want.values())
+
+
+def test_policy_without_requests_or_entries(spark, rows):
+    df = spark.createDataFrame([(1, "a", "m", 0, 5, None), (2, None, None, 1, None, {"team": "r"})], "id long, backend string, model string, at long, total_tokens long, headers map<string,string>")
+    quotas, rules = spark.createDataFrame(QUOTA_ROWS, POLICY_QUOTAS), spark.createDataFrame(RULE_ROWS, POLICY_RULES)
+    assert Q.quota_policy_limit(df.limit(0), quotas, rules, "at", "id").collect() == []
+    free = rows(Q.quota_policy_limit(df, quotas.limit(0), rules.limit(0), "at", "id"), "id")
+    assert [(r["allowed"], r["exhausted"], r["quota_cost"], r["status"]) for r in free] == [(True, [], None, 200)] * 2
+
+
+@pytest.mark.parametrize("quota, rule", [
+    (("a", "m", "Other", None, 1, "1s"), None), ((None, "m", "Shared", None, 1, "1s"), None), (("a", "m", "Shared", None, -1, "1s"), None),
+    (("a", "m", "Shared", None, 1, "1d"), None), (("a", "m", "Shared", "input_tokens +", 1, "1s"), None), (("a", "m", "Shared", None, 1, "1s"), ("a", "n", 0, None, 1, "1s", None)),
+    (("a", "m", "Shared", None, 1, "1s"), ("a", "m", 0, [("h", "Regex", "x")], 1, "1s", None)), (("a", "m", "Shared", None, 1, "1s"), ("a", "m", 0, None, None, "1s", None)),
+    (("a", "m", "Shared", None, 1, "1s"), ("a", "m", None, None, 1, "1s", None)),
+])
+def test_a_policy_that_cannot_be_carried_out_is_refused(spark, quota, rule):
+    df = spark.createDataFrame([(1, "a", "m", 0, {"h": "x"})], "id long, backend string, model string, at long, headers map<string,string>")
+    with pytest.raises(ValueError):
+        Q.quota_policy_limit(df, spark.createDataFrame([quota], POLICY_QUOTAS), spark.createDataFrame([rule] if rule else [], POLICY_RULES), "at", "id")
+
+
+def test_forgotten_buckets_keep_no_state():
+    fold = Q.PolicyFold()
+    for i in range(5000):
+        fold.admit(i, 1, [(f"c{i}", 0, 10, 100, False)], True)
+    assert len(fold.open) < 2500
+    assert fold.admit(5000, 1, [("c4999", 0, 1, 100, False)], True) == (False, [0])

@@ -14,11 +14,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import computed_once
 from ..plans.running import HOT_ROWS, prior_totals
+from .cost import cost_expression
+from .usage import USAGE
 
 # Seconds per duration suffix (no suffix means seconds) and per limit unit.
 DURATION_SECONDS = {"s": 1, "m": 60, "h": 3600}
@@ -246,20 +251,24 @@ class Bucket:
     shadow: bool = False
 
 
-def independent_stretches(df: DataFrame, keys: Sequence[str], at_us: str, cost: str, limit: int, duration_us: int) -> DataFrame:
+def independent_stretches(
+    df: DataFrame, keys: Sequence[str], at_us: str, cost: str, limit: int | Column, duration_us: int | Column
+) -> DataFrame:
     """Add ``_stretch``: runs of time slices whose verdicts depend on nothing before the run.
 
     Time is cut into slices as long as the trailing window. If the costs of a slice and of the one
     before it stay below the limit, nothing in the slice can be refused, whatever came earlier; the
     next slice then sees only admitted requests of this one. So a fold may start fresh at such a slice,
-    and after an empty one. Slice totals combine map-side.
+    and after an empty one. Slice totals combine map-side. Limit and duration may be columns that are the
+    same in all rows of a key.
     """
     sliced = df.withColumn("_slice", F.floor(F.col(at_us) / duration_us).cast("bigint"))
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum(F.coalesce(F.col(cost), F.lit(0))).alias("_total"))
+    least = F.min(limit) if isinstance(limit, Column) else F.lit(limit)
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum(F.coalesce(F.col(cost), F.lit(0))).alias("_total"), least.alias("_least"))
     by_time = Window.partitionBy(*keys).orderBy("_slice")
     before = F.when(F.lag("_slice").over(by_time) == F.col("_slice") - 1, F.lag("_total").over(by_time))
     marked = totals.withColumn(
-        "_fresh", F.when(before.isNull() | (before + F.col("_total") < limit), F.col("_slice"))
+        "_fresh", F.when(before.isNull() | (before + F.col("_total") < F.col("_least")), F.col("_slice"))
     )
     stretches = marked.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -409,3 +418,193 @@ def quota_shadow_rule(
 ) -> DataFrame:
     """A shadow rule: use is counted and ``over_limit`` shown, nothing is refused."""
     return fixed_window_limit(df, keys, at_us, tie, cost, limit, unit, shadow=True)
+
+
+# --- a policy table: quotas per backend and model, with rules for clients ---------------------------
+
+#: Columns of a quota table; all but ``backend`` may be NULL or missing.
+QUOTA_COLUMNS = {"backend": "string", "model": "string", "mode": "string", "expression": "string", "limit": "bigint", "duration": "string"}
+#: Columns of its rule table; ``model``, ``selectors`` and ``shadow`` may be NULL or missing.
+QUOTA_RULE_COLUMNS = {
+    "backend": "string", "model": "string", "rule": "int", "selectors": "array<struct<header: string, kind: string, value: string>>",
+    "limit": "bigint", "duration": "string", "shadow": "boolean",
+}
+#: Number of a quota's default bucket among the exhausted ones.
+DEFAULT_BUCKET = -1
+
+
+def _policy_table(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    typed = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+    keyed = parse_duration(df.select(*typed), "duration", "_seconds")
+    return keyed.withColumn("_key", F.to_json(F.struct("backend", "model")))
+
+
+def _check_policy(quotas: DataFrame, rules: DataFrame) -> None:
+    """Refuse a policy that cannot be carried out, naming one of its faults."""
+    unlimited = "`limit` < 0 OR (`limit` IS NOT NULL AND coalesce(_seconds, 0) <= 0)"
+    fault = F.expr(
+        f"""CASE WHEN backend IS NULL THEN 'no backend' WHEN mode NOT IN ('Exclusive', 'Shared') THEN 'an unknown mode'
+        WHEN {unlimited} THEN 'a bad limit or duration' WHEN count(*) OVER (PARTITION BY _key) > 1 THEN 'a second entry' END"""
+    )
+    rule_fault = F.expr(
+        f"""CASE WHEN backend IS NULL OR rule IS NULL OR rule < 0 THEN 'no backend or no number' WHEN `limit` IS NULL OR {unlimited} THEN 'a bad limit or duration'
+        WHEN exists(selectors, s -> s.header IS NULL OR s.kind IS NULL OR s.kind NOT IN ('Exact', 'Distinct') OR (s.kind = 'Exact' AND s.value IS NULL)) THEN 'a bad selector'
+        WHEN count(*) OVER (PARTITION BY _key, rule) > 1 THEN 'a second entry' END"""
+    )
+    orphans = rules.join(quotas.select("_key"), "_key", "left_anti").select("_key", F.lit("rules but no quota").alias("_fault"))
+    found = quotas.select("_key", fault.alias("_fault")).union(rules.select("_key", rule_fault.alias("_fault"))).union(orphans)
+    bad = found.where("_fault IS NOT NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"quota policy of {bad[0]['_key']} has {bad[0]['_fault']}")
+
+
+class PolicyFold:
+    """Admission over one stretch of a quota; every request brings the buckets it draws on."""
+
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.open: dict[str, list] = {}
+        self.until_sweep = 1024
+
+    def _use(self, bucket: str, at_us: int, span_us: int) -> int:
+        state = self.open.get(bucket)
+        if state is None:
+            return 0
+        spent, edge = state[0], at_us - span_us
+        while spent and spent[0][0] <= edge:
+            state[1] -= spent.popleft()[1]
+        return state[1]
+
+    def _sweep(self, at_us: int) -> None:
+        """Forget buckets that nothing was charged to within their span, so that state stays one window."""
+        self.open = {k: s for k, s in self.open.items() if s[0] and s[0][-1][0] > at_us - s[2]}
+        self.until_sweep = max(1024, 2 * len(self.open))
+
+    def admit(self, at_us: int, cost: int, buckets: Sequence[tuple], every: bool) -> tuple[bool, list[int]]:
+        """``buckets`` are ``(id, rule, limit, span_us, shadow)``; ``every``: all of them must have room, else one of them."""
+        full = [self._use(name, at_us, span) >= limit for name, _rule, limit, span, _shadow in buckets]
+        room = [b[4] or not f for b, f in zip(buckets, full)]
+        allowed = not room or (all(room) if every else any(room))
+        if allowed and cost > 0:
+            for name, _rule, _limit, span, _shadow in buckets:
+                state = self.open.setdefault(name, [deque(), 0, span])
+                state[0].append((at_us, cost))
+                state[1] += cost
+            self.until_sweep -= 1
+            if self.until_sweep <= 0:
+                self._sweep(at_us)
+        return allowed, [b[1] for b, f in zip(buckets, full) if f]
+
+
+def _fold_policy(batches):
+    fold, current = PolicyFold(), None
+    for batch in batches:
+        charged = batch.column("_charged")
+        flat = charged.flatten()
+        buckets = list(zip(*[flat.field(f).to_pylist() for f in ("id", "rule", "limit", "span", "shadow")]))
+        counts = pc.list_value_length(charged).to_pylist()
+        columns = [batch.column(c).to_pylist() for c in ("_group", "_stretch", "_at", "_charge", "_every")]
+        allowed, exhausted, at = [], [], 0
+        for group, stretch, time, cost, every, n in zip(*columns, counts):
+            if (group, stretch) != current:
+                fold.reset()
+                current = (group, stretch)
+            ok, out = fold.admit(time, cost, buckets[at : at + n], every)
+            at += n
+            allowed.append(ok)
+            exhausted.append(out)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_row"), batch.column("quota_model"), batch.column("quota_cost"), pa.array(allowed, pa.bool_()), pa.array(exhausted, pa.list_(pa.int32()))],
+            names=["_row", "quota_model", "quota_cost", "allowed", "exhausted"],
+        )
+
+
+def quota_policy_limit(
+    requests: DataFrame, quotas: DataFrame, rules: DataFrame, at_us: str, tie: str, backend: str = "backend", model: str = "model",
+    headers: str = "headers",
+) -> DataFrame:
+    """Trailing-window quotas of a whole policy: backends, models, clients, limits and durations are rows of two tables.
+
+    ``quotas`` holds ``QUOTA_COLUMNS``: a row with a model is that model's own quota, one without is the backend's quota for all
+    models that have none; its limit and duration are the default bucket (no limit: no such bucket), its expression prices requests
+    (none: ``total_tokens``). ``rules`` holds ``QUOTA_RULE_COLUMNS``: each is a bucket for the requests whose headers meet all its
+    selectors, one per list of ``Distinct`` header values; a rule without selectors meets every request. ``Exclusive`` draws on the
+    rules met, or on the default bucket if there are none, and refuses when all of those are used up; ``Shared`` (also where no mode
+    is given) draws on both and refuses when one is. A shadow rule counts and never refuses. Refused requests are not charged.
+
+    Adds ``quota_model`` (model of the quota that applied, NULL for a backend's), ``quota_cost`` (NULL where the expression has no
+    result: charged as zero), ``allowed``, ``exhausted`` (numbers of the buckets without room, shadow ones included,
+    ``DEFAULT_BUCKET`` for the default one) and ``status``; columns of these names are replaced. Requests without a quota or
+    headers for a rule are allowed, or draw on what remains. A policy with an unknown mode or selector kind, a bad limit, duration
+    or expression, a repeated entry or rules without a quota is refused when read.
+
+    The policy (a configuration) is joined as one row per quota, so requests are never multiplied, and each distinct expression is
+    compiled once. Rows are cut into stretches that cannot depend on each other, by the smallest limit and the longest duration of
+    their own quota, hashed by (quota, stretch), sorted and streamed through a fold that holds one window of charges.
+    """
+    q, r = _policy_table(quotas, QUOTA_COLUMNS), _policy_table(rules, QUOTA_RULE_COLUMNS)
+    _check_policy(q, r)
+    priced_by = F.coalesce("expression", F.lit(DEFAULT_QUOTA_EXPRESSION))
+    expressions = sorted(x[0] for x in q.select(priced_by).distinct().collect())
+
+    span = (F.col("_seconds") * 1_000_000).alias("span")
+    entry = F.struct("rule", "limit", span, F.coalesce("shadow", F.lit(False)).alias("shadow"), F.coalesce("selectors", F.array().cast(QUOTA_RULE_COLUMNS["selectors"])).alias("selectors"))
+    listed = r.groupBy("_key").agg(F.array_sort(F.collect_list(entry)).alias("_rules"), F.min("limit").alias("_least"), F.max(span).alias("_widest"))
+    number = F.lit(None).cast("int")
+    for i, e in enumerate(expressions):
+        number = F.when(priced_by == e, i).otherwise(number)
+    policy = q.join(listed, "_key", "left").select(
+        "_key",
+        F.struct(
+            F.col("_key").alias("key"), F.col("model").alias("model"), (F.coalesce("mode", F.lit("Shared")) == "Shared").alias("every"), number.alias("price"),
+            F.coalesce("_rules", F.array()).alias("rules"),
+            F.when(F.col("limit").isNotNull(), F.struct(F.lit("default").alias("id"), F.lit(DEFAULT_BUCKET).alias("rule"), "limit", span, F.lit(False).alias("shadow"))).alias("default"),
+            F.least("limit", "_least").alias("least"), F.greatest(span, "_widest").alias("widest"),
+        ).alias("_p"),
+    )
+
+    added = ["quota_model", "quota_cost", "allowed", "exhausted", "status"]
+    kept = [c for c in requests.columns if c not in added]
+    rows = requests.select(
+        F.struct(*kept).alias("_row"), F.col(backend).alias("backend"), F.col(model).alias("model"), F.col(headers).alias("_headers"),
+        F.col(at_us).alias("_at"), F.col(tie).alias("_tie"), *[c for c in USAGE if c in requests.columns],
+    )
+    for i, e in enumerate(expressions):
+        rows = cost_expression(rows, e, f"_cost{i}", f"_error{i}")
+    costs = F.array(*[f"_cost{i}" for i in range(len(expressions))]).cast("array<bigint>")
+    keyed = rows.withColumns({"_own_key": F.to_json(F.struct("backend", "model")), "_all_key": F.to_json(F.struct("backend")), "_costs": costs})
+    own = policy.select(F.col("_key").alias("_own_key"), F.col("_p").alias("_own"))
+    whole = policy.select(F.col("_key").alias("_all_key"), F.col("_p").alias("_all"))
+    joined = keyed.join(own, "_own_key", "left").join(whole, "_all_key", "left").withColumn("_p", F.coalesce("_own", "_all"))
+
+    def value(s: Column) -> Column:
+        return F.try_element_at("_headers", s["header"])
+
+    def met(x: Column) -> Column:
+        return F.forall(x["selectors"], lambda s: F.when(s["kind"] == "Exact", F.coalesce(value(s) == s["value"], F.lit(False))).otherwise(value(s).isNotNull()))
+
+    def bucket(x: Column) -> Column:
+        client = F.transform(F.filter(x["selectors"], lambda s: s["kind"] == "Distinct"), value)
+        name = F.to_json(F.struct(x["rule"].alias("rule"), client.alias("client")))
+        return F.struct(name.alias("id"), x["rule"].alias("rule"), x["limit"].alias("limit"), x["span"].alias("span"), x["shadow"].alias("shadow"))
+
+    kind = "array<struct<id: string, rule: int, limit: bigint, span: bigint, shadow: boolean>>"
+    by_rule = F.coalesce(F.transform(F.filter("_p.rules", met), bucket).cast(kind), F.array().cast(kind))
+    default = F.array_compact(F.array(F.col("_p.default"))).cast(kind)
+    matched = computed_once(joined, {"_matched": by_rule})
+    every = F.coalesce("_p.every", F.lit(True))
+    ready = matched.select(
+        "_row", "_at", "_tie", F.col("_p.model").alias("quota_model"), F.get("_costs", F.col("_p.price")).alias("quota_cost"),
+        F.col("_p.key").alias("_group"), every.alias("_every"),
+        F.when(~every & (F.size("_matched") > 0), F.col("_matched")).otherwise(F.concat("_matched", default)).alias("_charged"),
+        F.coalesce(F.get("_costs", F.col("_p.price")), F.lit(0).cast("bigint")).alias("_charge"),
+        F.coalesce("_p.least", F.lit(2**62)).alias("_min_limit"), F.coalesce("_p.widest", F.lit(3_600_000_000)).alias("_max_span"),
+    )
+    cut = independent_stretches(ready, ["_group"], "_at", "_charge", F.col("_min_limit"), F.col("_max_span"))
+    ordered = cut.repartition("_group", "_stretch").sortWithinPartitions("_group", "_stretch", "_at", "_tie")
+    fields = [cut.schema[c] for c in ("_row", "quota_model", "quota_cost")]
+    schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType()), T.StructField("exhausted", T.ArrayType(T.IntegerType()))])
+    status = F.when(F.col("allowed"), ALLOWED_STATUS).otherwise(REFUSED_STATUS)
+    return ordered.mapInArrow(_fold_policy, schema).select("_row.*", *added[:-1], status.alias("status"))

@@ -214,3 +214,61 @@ def _(t: Tables):
 def _(t: Tables):
     r = t.llm_requests.withColumn("end_us", F.col("start_us") + F.col("duration_ms") * 60_000_000)
     return Q.charge_at_completion(r, ["tenant"], "start_us", "end_us", "request_id", "input_tokens", 20, "Day").select("request_id", "window_us", "used", "refused")
+
+
+POLICY_QUOTAS = [
+    ("OpenAI", "model-1", "Shared", None, 400, "12h"),
+    ("OpenAI", "model-2", "Exclusive", "input_tokens + output_tokens * 2", 100, "86400"),
+    ("AzureOpenAI", "model-3", "Exclusive", None, None, None),
+    ("AzureOpenAI", None, None, "input_tokens", 500, "1440m"),
+]
+POLICY_RULES = [
+    ("OpenAI", "model-1", 0, [("x-operation", "Exact", "chat")], 150, "6h", False),
+    ("OpenAI", "model-1", 1, [("x-tenant-id", "Distinct", None)], 60, "1440m", None),
+    ("OpenAI", "model-1", 2, [("x-stream", "Exact", "true")], 100, "3600s", True),
+    ("OpenAI", "model-2", 0, [("x-tenant-id", "Distinct", None), ("x-operation", "Exact", "chat")], 40, "12h", False),
+    ("OpenAI", "model-2", 1, [("x-stream", "Exact", "true")], 200, "24h", False),
+    ("AzureOpenAI", "model-3", 5, None, 300, "2h", False),
+]
+
+
+def _policy_sql() -> str:
+    """The same policy as a recursive query; state are the admitted requests of the last day with the buckets they drew on."""
+    def bucket(name: str, rule: int, limit: int, seconds: int, shadow: str = "false") -> str:
+        return f"{{'id': {name}, 'r': {rule}, 'lim': {limit}, 'span': {seconds}000000, 'sh': {shadow}}}"
+
+    used = "coalesce(list_sum(list_transform(list_filter(f.q, lambda x: x.a > o.t - b.span AND list_contains(x.ids, b.id)), lambda x: x.c)), 0)"
+    day = "list_filter(q, lambda x: x.a > t - 86400000000)"
+    return f""", m AS (SELECT request_id, start_us AS t, tenant AS cl, operation = 'chat' AS k, stream AS s, request_id % 4 <> 0 AS known, input_tokens, coalesce(output_tokens, 0) AS output_tokens,
+      CASE WHEN api_schema = 'OpenAI' AND original_model = 'model-1' THEN 1 WHEN api_schema = 'OpenAI' AND original_model = 'model-2' THEN 2
+           WHEN api_schema = 'AzureOpenAI' AND original_model = 'model-3' THEN 3 WHEN api_schema = 'AzureOpenAI' THEN 4 END AS g FROM llm_requests),
+  c AS (SELECT request_id, g, t, CAST(CASE g WHEN 2 THEN input_tokens + output_tokens * 2 WHEN 4 THEN input_tokens ELSE input_tokens + output_tokens END AS BIGINT) AS c,
+      CASE g WHEN 1 THEN [CASE WHEN k THEN {bucket("'0'", 0, 150, 21600)} END, CASE WHEN known THEN {bucket("'1' || cl", 1, 60, 86400)} END,
+             CASE WHEN s THEN {bucket("'2'", 2, 100, 3600, "true")} END, {bucket("'d'", -1, 400, 43200)}]
+           WHEN 2 THEN [CASE WHEN k AND known THEN {bucket("'0' || cl", 0, 40, 43200)} END, CASE WHEN s THEN {bucket("'1'", 1, 200, 86400)} END,
+             CASE WHEN NOT s AND NOT (k AND known) THEN {bucket("'d'", -1, 100, 86400)} END]
+           WHEN 3 THEN [{bucket("'5'", 5, 300, 7200)}] ELSE [{bucket("'d'", -1, 500, 86400)}] END AS listed FROM m WHERE g IS NOT NULL),
+  o AS (SELECT *, list_filter(listed, lambda b: b IS NOT NULL) AS bs, row_number() OVER (PARTITION BY g ORDER BY t, request_id) AS rn FROM c),
+  f AS (SELECT g, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS cost, true AS allowed, CAST('' AS VARCHAR) AS exhausted,
+      CAST([] AS STRUCT(a BIGINT, c BIGINT, ids VARCHAR[])[]) AS q FROM (SELECT DISTINCT g FROM o)
+    UNION ALL
+    SELECT g, rn, request_id, c, ok, out, CASE WHEN ok AND c > 0 THEN list_append({day}, {{'a': t, 'c': c, 'ids': list_transform(bs, lambda b: b.id)}}) ELSE {day} END FROM (
+      SELECT *, CASE WHEN g IN (1, 4) THEN NOT list_contains(room, false) ELSE list_contains(room, true) END AS ok FROM (
+        SELECT o.g, o.rn, o.request_id, o.c, o.t, o.bs, f.q, list_transform(o.bs, lambda b: b.sh OR {used} < b.lim) AS room,
+          array_to_string(list_transform(list_filter(o.bs, lambda b: {used} >= b.lim), lambda b: b.r), ',') AS out
+        FROM f JOIN o ON o.g = f.g AND o.rn = f.rn + 1)))
+  SELECT m.request_id, CASE m.g WHEN 1 THEN 'model-1' WHEN 2 THEN 'model-2' WHEN 3 THEN 'model-3' END AS quota_model, f.cost AS quota_cost, coalesce(f.allowed, true) AS allowed,
+    coalesce(f.exhausted, '') AS exhausted, CASE WHEN f.allowed THEN 200 WHEN m.g IS NULL THEN 200 ELSE 429 END AS status
+  FROM m LEFT JOIN f ON f.request_id = m.request_id"""
+
+
+@query("quota_policy_limit", REQ.replace("WITH ", "WITH RECURSIVE ", 1) + _policy_sql())
+def _(t: Tables):
+    quotas = t.spark.createDataFrame(POLICY_QUOTAS, "backend string, model string, mode string, expression string, limit long, duration string")
+    rules = t.spark.createDataFrame(
+        POLICY_RULES, "backend string, model string, rule int, selectors array<struct<header: string, kind: string, value: string>>, limit long, duration string, shadow boolean"
+    )
+    headers = F.expr("map('x-tenant-id', CASE WHEN request_id % 4 <> 0 THEN tenant END, 'x-operation', operation, 'x-stream', CAST(stream AS STRING))")
+    calls = costed(t).withColumn("headers", headers)
+    r = Q.quota_policy_limit(calls, quotas, rules, "start_us", "request_id", "api_schema", "original_model")
+    return r.select("request_id", "quota_model", "quota_cost", "allowed", F.array_join(F.col("exhausted").cast("array<string>"), ",").alias("exhausted"), "status")
