@@ -141,6 +141,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def forget_words() -> None:
+    """Free the kept hashes at the end of a task; the worker may go on with work that needs its memory."""
+    _HASHES.clear()
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and where each text's words end."""
     words: list[bytes] = []

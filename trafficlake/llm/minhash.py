@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, in_groups, materialize, mix, shingle_sets, text_batches, text_of
+from .common import Forest, broadcast_if_small, components, forget_words, in_groups, materialize, mix, shingle_sets, text_batches, text_of
 
 BUCKETS = 128
 ROWS = 4
@@ -117,6 +117,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             out["s1"], out["s2"] = both.reshape(-1, 2).T
             out["sketch"] = [r.tobytes() for r in sketches(sets)]
             yield out
+        forget_words()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = materialize(texts.mapInPandas(measure, "doc_id long, n long, s1 long, s2 long, sketch binary"), "sketches")
@@ -139,6 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     def set_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in in_groups(frames):
             yield pd.DataFrame({"id": f["doc_id"], "set": [s.tobytes() for s in shingle_sets(f["text"].tolist(), shingle)]})
+        forget_words()
 
     members = materialize(groups.select(F.col("id").alias("doc_id")).distinct(), "members")
     wanted = texts.join(broadcast_if_small(members, 16), "doc_id", "left_semi")

@@ -16,8 +16,8 @@ import numpy as np
 from .common import prefix_hash, span_hash
 
 #: Chunks, ids and bytes kept per worker before the cache starts anew; longer chunks are not kept.
-CACHED_CHUNKS = 1_500_000
-CACHED_IDS = 10_000_000
+CACHED_CHUNKS = 900_000
+CACHED_IDS = 8_000_000
 LONGEST_CHUNK = 256
 #: Chunks of one string that the library encodes; longer strings cost more per chunk.
 GLUED = 500
@@ -68,8 +68,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.slot = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # by hash: which chunk
-        self.at, self.n, self.begins, self.sizes = (_Pool("i8") for _ in range(4))  # of each chunk: its ids and its bytes
+        self.hashes, self.slot = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)  # by hash: which chunk
+        self.at, self.n, self.begins, self.sizes = (_Pool(t) for t in ("u4", "i4", "u4", "i4"))  # of each chunk: its ids and its bytes
         self.ids, self.bytes = _Pool("u4"), _Pool("u1")
 
     def _ids(self, text: str) -> np.ndarray:
