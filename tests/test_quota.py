@@ -3,7 +3,7 @@ import random
 import pytest
 
 from trafficlake.operators import quota as Q
-from trafficlake.plans.running import prior_totals
+from trafficlake.plans.running import prior_totals, time_slices
 
 HOUR = 3_600_000_000
 
@@ -29,6 +29,17 @@ def test_running_total_is_the_same_with_hot_groups_split(spark, hot_rows, per_sl
     assert {r["id"]: r["u"] for r in got.collect()} == serial_prior(data)
 
 
+def test_a_stray_time_leaves_the_slices_of_a_hot_key_small(spark):
+    rnd = random.Random(5)
+    data = [(i, "hot", rnd.randrange(0, HOUR), 1) for i in range(6000)] + [(6000, "hot", 10**17, 1), (6001, "hot", -(10**15), 1), (6002, "cold", 5, 1)]
+    df = spark.createDataFrame(data, "id long, k string, at long, cost long").repartition(5)
+    every, hot, slices = time_slices(df, ["k"], "at", 1000, 100)
+    sizes = [r["count"] for r in every.where("k = 'hot'").groupBy(*slices).count().collect()]
+    assert sum(sizes) == 6002 and max(sizes) < 200 and hot.count() == 6002
+    got = prior_totals(df, ["k"], "at", ["id"], {"u": "cost"}, 1000, 100)
+    assert {r["id"]: r["u"] for r in got.collect()} == serial_prior(data)
+
+
 def test_fixed_window_crossing_request_passes(spark, rows):
     df = spark.createDataFrame([("u", i, i, c) for i, c in enumerate([0, 20, 10000, 0])], "k string, id long, at long, cost long")
     out = rows(Q.fixed_window_limit(df, ["k"], "at", "id", "cost", 1000), "id")
