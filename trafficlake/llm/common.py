@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,31 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, TEXT_ROWS)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system.
+
+    A worker serves one task after another, and what its allocators keep of earlier groups counts as the executor's
+    memory. C libraries without ``malloc_trim`` keep theirs.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_groups(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
-    """Cut batches so that one group holds about ``chars`` characters (one longer text is a group alone)."""
+    """Cut batches so that one group holds about ``chars`` characters (one longer text is a group alone).
+
+    Memory that is free goes back to the system before each batch and after the last one.
+    """
     for frame in frames:
+        release_memory()
         if not len(frame):
             continue
         ends = np.cumsum(frame[column].str.len().to_numpy())
         for _, rows in frame.groupby(ends // chars, sort=True):
             yield rows
+    release_memory()
 
 
 # --- words of many texts at once -----------------------------------------------------------------------------------

@@ -183,7 +183,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, batch = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        for rows in in_groups(frames, chars=2_500_000):
+        for rows in in_groups(frames, chars=500_000):
             out = []
             for at, ids in enumerate(tokens.encode_each(rows["text"].tolist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
