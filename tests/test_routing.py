@@ -157,6 +157,21 @@ def test_repeated_ids_pair_by_occurrence(spark, rows):
     assert [(r["requested_us"], r["answered_us"], r["result"]) for r in out] == [(1, None, None), (5, 6, "x")]
 
 
+def test_hot_repeated_id_pairs_in_slices(spark, rows):
+    schema = "session string, backend string, id string, kind string, at_us long, method string, params string, result string, error_code long, error_message string"
+    m, want = [], []
+    for i in range(300):
+        name, at = ("1" if i % 3 else f"r{i}"), 10 * i
+        m.append(("s", "b", name, "request", at, "ping", None, None, None, None))
+        m += [("s", "b", name, "response", at + d, None, None, f"{i}:{d}", None, None) for d in (0, 4) if i % 2]
+        want.append((name, at, f"{i}:0" if i % 2 else None))
+    m.append(("s", "b", "1", "response", 10**9, None, None, "stray", None, None))
+    last = max(i for i in range(300) if i % 3)
+    want = [(n, at, "stray" if at == 10 * last and r is None else r) for n, at, r in want]
+    out = H.pair_jsonrpc(spark.createDataFrame(m, schema).repartition(5), hot_rows=50, rows_per_slice=20)
+    assert sorted((r["requested_us"], r["id"], r["result"]) for r in rows(out, "requested_us")) == sorted((at, n, r) for n, at, r in want)
+
+
 def test_header_patterns_of_routes(spark, rows):
     schema = "rule_idx int, match_idx int, model string, headers map<string,string>, header_patterns map<string,string>"
     rules = spark.createDataFrame([(0, 0, None, {"a": "1"}, {"b": "x[0-9]+"}), (1, 0, None, None, {"b": "x.*"})], schema)

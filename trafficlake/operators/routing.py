@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import computed_once, hash_roll, json_text
 from ..functions.tolerant import tolerant
+from ..plans.running import HOT_ROWS, ROWS_PER_SLICE, prior_totals
 from .parse import (
     CAPABILITY_BITS,
     TOOL_SEPARATOR,
@@ -480,16 +481,20 @@ def scope_challenge(scopes: Sequence[str], resource_metadata: str = "") -> str:
 # --- messages, batches, configuration -------------------------------------------------------------
 
 
-def pair_jsonrpc(messages: DataFrame, keys: Sequence[str] = ("session", "backend"), order: str = "at_us") -> DataFrame:
+def pair_jsonrpc(
+    messages: DataFrame, keys: Sequence[str] = ("session", "backend"), order: str = "at_us", hot_rows: int = HOT_ROWS, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Requests with their responses by (session, backend, id); unanswered ones keep NULLs.
 
     A repeated id pairs by occurrence in time: an answer belongs to the latest request of its id that came before it,
     and of several answers to one request the first counts. Every request gives one row. Requests at the same time are
-    told apart by method and parameters. The window holds the messages of one id in one session.
+    told apart by method and parameters. Occurrences are running totals, so an id that a client reuses for more than
+    ``hot_rows`` messages is counted in time slices, and only the pairs are grouped afterwards.
     """
     asked = F.col("kind") == "request"
-    near = Window.partitionBy(*keys, "id").orderBy(order, F.when(asked, 0).otherwise(1), "method", "params").rowsBetween(Window.unboundedPreceding, 0)
-    turn = messages.where(F.col("kind").isin("request", "response")).withColumn("_turn", F.sum(asked.cast("int")).over(near))
+    steps = messages.where(F.col("kind").isin("request", "response")).withColumns({"_asked": asked.cast("int"), "_reply": (~asked).cast("int")})
+    counted = prior_totals(steps, [*keys, "id"], order, ["_reply", "method", "params"], {"_turn": "_asked"}, hot_rows, rows_per_slice)
+    turn = counted.withColumn("_turn", F.col("_turn") + F.col("_asked"))
     cols = ["result", "error_code", "error_message"]
     answer = F.when(~asked, F.struct(order, *cols))
     question = F.max(F.when(asked, F.struct(order, "method", "params")))
